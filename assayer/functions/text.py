@@ -91,3 +91,8 @@ def count_of(text: Column, char: str) -> Column:
 def members(values) -> Column:
     """Array literal."""
     return F.array(*[F.lit(v) for v in values])
+
+
+def matches(text: Column, pattern: Column | str) -> Column:
+    """``rlike`` whose pattern may be a column."""
+    return text.rlike(pattern) if isinstance(pattern, str) else F.rlike(text, pattern)
