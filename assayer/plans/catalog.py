@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from assayer.plans import q_trace  # noqa: F401
+from assayer.plans import q_findings, q_sources, q_trace  # noqa: F401
 from assayer.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -110,16 +110,16 @@ STREAM = "CAST(l_suppkey % 3 AS BIGINT)"
 SELECT cid, ordinal, tag, line FROM v_streamed s WHERE stream_rank = 0
 UNION ALL
 SELECT s.cid, s.ordinal, s.tag, s.line FROM v_streamed s JOIN (
- SELECT cid, min(r) AS stream_rank FROM (SELECT cid, stream_rank AS r FROM v_streamed s WHERE stream_rank > 0 UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_custkey % 5 = 0) GROUP BY cid
+ SELECT cid, min(r) AS stream_rank FROM (SELECT cid, stream_rank AS r FROM v_streamed s WHERE stream_rank > 0 UNION ALL SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 9 END FROM orders) GROUP BY cid
 ) w USING (cid, stream_rank) WHERE s.cid NOT IN (SELECT cid FROM v_streamed s WHERE stream_rank = 0)""",
     {"v_streamed": f"SELECT t.*, stream_rank FROM v_trace t JOIN (SELECT l_orderkey AS cid, CAST((l_partkey * 8 + l_linenumber) * 1024 + l_suppkey % 1024 AS BIGINT) AS ordinal, {STREAM} AS stream_rank FROM lineitem) USING (cid, ordinal)"},
 )
 def gap_filled_traces(spark, d):
-    """Rank 0 is the finding's own trace; stream 1 lists some findings without events."""
+    """Rank 0 is the finding's own trace; streams 1 and 9 also list findings without events."""
     raw = v.table(spark, d, "lineitem").selectExpr(*v.TRACE, f"{STREAM} AS stream_rank")
     own = raw.where("stream_rank = 0").drop("stream_rank")
     others = raw.where("stream_rank > 0")
-    empty = v.table(spark, d, "orders").where("o_custkey % 5 = 0").selectExpr("o_orderkey AS cid", "CAST(1 AS BIGINT) AS stream_rank")
+    empty = v.table(spark, d, "orders").selectExpr("o_orderkey AS cid", "CAST(CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 9 END AS BIGINT) AS stream_rank")
     listed = others.select("cid", "stream_rank").distinct().unionByName(empty)
     return tr.fill_traces(own, listed, others).select("cid", "ordinal", "tag", "line")
 
