@@ -348,8 +348,10 @@ def _finish(df: DataFrame, book: rules.RuleBook) -> DataFrame:
     for name, fn in book.columns.items():
         new_cls = F.when((rset == name) & fn().isNotNull(), fn()).otherwise(new_cls)
     new_conf = F.when(empty, 0.0).when(returns, F.col("fate_confidence")).when(lean, 0.55).otherwise(conf)
-    df = df.withColumn("classification", new_cls)
-    return df.withColumn("confidence", capped_confidence(new_conf, F.col("used_fallback"), F.col("line_is_various")))
+    # both read the class as it was, so they are set together
+    return df.withColumns(
+        {"classification": new_cls, "confidence": capped_confidence(new_conf, F.col("used_fallback"), F.col("line_is_various"))}
+    )
 
 
 def analyze(
