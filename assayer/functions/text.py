@@ -94,5 +94,9 @@ def members(values) -> Column:
 
 
 def matches(text: Column, pattern: Column | str) -> Column:
-    """``rlike`` whose pattern may be a column."""
-    return text.rlike(pattern) if isinstance(pattern, str) else F.rlike(text, pattern)
+    """``rlike`` whose pattern may be a column.
+
+    ``rlike`` compiles a column pattern for every value; ``regexp_instr`` keeps the
+    last one, so the lines of one snippet share a single compilation.
+    """
+    return text.rlike(pattern) if isinstance(pattern, str) else F.call_function("regexp_instr", text, pattern) > 0

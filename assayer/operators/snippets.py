@@ -170,9 +170,14 @@ def provenance(df: DataFrame, var: str, hops: int = 3, prefix: str = "origin") -
     the first line); otherwise the last assignment to the variable names the next
     one. ``hops`` is a fixed bound and a revisited name stops the walk.
     """
-    code, lines = F.col("code"), F.col("lines")
-    df = df.withColumn("__present", F.array_distinct(F.regexp_extract_all(code, F.lit(rf"\b({_TAINT_ANY})\s*\("), 1)))
-    df = df.withColumn("__assign", assignments(code))
+    code, start = F.col("code"), F.col(var)
+    # rows that ask for no variable skip all of this
+    lines = F.when(t.txt(start) != "", F.col("lines"))
+    df = df.withColumn(
+        "__present",
+        F.when(t.txt(start) != "", F.array_distinct(F.regexp_extract_all(code, F.lit(rf"\b({_TAINT_ANY})\s*\("), 1))),
+    )
+    df = df.withColumn("__assign", F.when(t.txt(start) != "", assignments(code)))
     df = df.withColumn(
         "__tainted",
         F.filter(
@@ -192,7 +197,6 @@ def provenance(df: DataFrame, var: str, hops: int = 3, prefix: str = "origin") -
             lambda s: s["p"].isNotNull(),
         ),
     )
-    start = F.col(var)
     known = (t.txt(start) != "") & t.matches(code, t.word(start))
     df = df.withColumn("__cur0", F.when(known & ~is_parameter(code, start), start))
     df = df.withColumn("__seen", F.array(F.col("__cur0")))

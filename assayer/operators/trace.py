@@ -236,6 +236,10 @@ def line_columns(trace: DataFrame) -> DataFrame:
 
 def event_facts(trace: DataFrame) -> DataFrame:
     """Per-event facts read from tag and description (columns f_*)."""
+    return trace.select("cid", "ordinal", *_event_columns())
+
+
+def _event_columns() -> list[Column]:
     # Patterns of event descriptions
     tag = F.replace(F.replace(F.lower(t.txt(F.col("tag"))), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
     desc = t.strip(F.col("description"))
@@ -287,9 +291,7 @@ def event_facts(trace: DataFrame) -> DataFrame:
         F.array(pair("variable", assigns, now_value), pair("variable", assigns, restated), pair("return", returns, returned)),
         lambda x: x.isNotNull(),
     )
-    return trace.select(
-        "cid",
-        "ordinal",
+    return [
         (confirmed | (buffer & desc.rlike(r"(?i)unterminated|null.terminat"))).alias("f_defect"),
         (confirmed & ((F.instr(tag, "tainted") > 0) | (F.instr(tag, "user_input") > 0))).alias("f_taint"),
         (tag.isin(*dim.GUARD_TAGS) | true_guard).alias("f_guard"),
@@ -302,7 +304,7 @@ def event_facts(trace: DataFrame) -> DataFrame:
         low.rlike("check|guard|compare|test|verify").alias("f_validates"),
         _sink_call(F.col("description"))[0].alias("f_sink_precise"),
         _sink_call(F.col("description"))[1].alias("f_sink_generic"),
-    )
+    ]
 
 
 def _sink_call(description: Column) -> tuple[Column, Column]:
@@ -324,9 +326,18 @@ def _sink_call(description: Column) -> tuple[Column, Column]:
 
 def trace_facts(trace: DataFrame) -> DataFrame:
     """One row of facts per finding (E10, E12): flags are any, scalars the last event's."""
-    e = event_facts(trace)
+    return event_facts(trace).groupBy("cid").agg(*_fact_aggregates())
+
+
+def trace_summary(trace: DataFrame) -> DataFrame:
+    """:func:`trace_facts` and :func:`described_variables` from one pass over the trace."""
+    events = trace.select("cid", "ordinal", *_event_columns(), *_described_columns())
+    return events.groupBy("cid").agg(*_fact_aggregates(), *_described_aggregates())
+
+
+def _fact_aggregates() -> list[Column]:
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ordinal")))
-    return e.groupBy("cid").agg(
+    return [
         F.max("f_defect").alias("defect_confirmed"),
         F.max("f_taint").alias("taint_confirmed"),
         F.max("f_guard").alias("guard_on_path"),
@@ -338,7 +349,7 @@ def trace_facts(trace: DataFrame) -> DataFrame:
         F.max("f_validates").alias("trace_validates"),
         F.coalesce(last("f_sink_precise"), last("f_sink_generic"), F.lit("")).alias("trace_sink"),
         F.count(F.lit(1)).alias("n_events"),
-    )
+    ]
 
 
 def trace_values(trace: DataFrame) -> DataFrame:
@@ -368,6 +379,10 @@ def described_variables(trace: DataFrame) -> DataFrame:
     The precise phrase overwrites (last one wins); generic phrases fill only
     what is still empty at their place in the trace.
     """
+    return trace.select("cid", "ordinal", *_described_columns()).groupBy("cid").agg(*_described_aggregates())
+
+
+def _described_columns() -> list[Column]:
     # phrases
     precise = (
         r"[Cc]alling\s+['\"][\w]+['\"]\s+with\s+a\s+(?:maximum\s+)?size\s+argument\s+of\s+(\d+)\s+bytes\s+on\s+"
@@ -380,25 +395,25 @@ def described_variables(trace: DataFrame) -> DataFrame:
         pattern = kind + r"\s+(?:array|buffer|string)?\s*['\"]([^'\"]+)['\"]"
         return F.when(~is_precise & d.rlike(pattern), t.strip(F.regexp_extract(d, pattern, 1)))
 
-    e = trace.select(
-        "cid",
-        "ordinal",
+    return [
         F.when(is_precise, t.strip(F.regexp_extract(d, precise, 2))).alias("precise_dest"),
         F.when(is_precise, F.regexp_extract(d, precise, 1).try_cast("bigint")).alias("size_bytes"),
         F.when(is_precise, F.nullif(F.regexp_extract(d, r"of\s+size\s+(\d+)\s+bytes", 1), F.lit("")).try_cast("bigint")).alias("buffer_bytes"),
         named("destination").alias("loose_dest"),
         named("source").alias("loose_src"),
-    )
+    ]
+
 
+def _described_aggregates() -> list[Column]:
     def pick(fn, c: str) -> Column:
         return fn(c, F.when(F.col(c).isNotNull(), F.col("ordinal")))
 
-    return e.groupBy("cid").agg(
+    return [
         F.coalesce(pick(F.max_by, "precise_dest"), pick(F.min_by, "loose_dest"), F.lit("")).alias("dest_var"),
         F.coalesce(pick(F.min_by, "loose_src"), F.lit("")).alias("src_var"),
         F.coalesce(pick(F.max_by, "size_bytes"), F.lit(0)).cast("bigint").alias("size_bytes"),
         F.coalesce(pick(F.max_by, "buffer_bytes"), F.lit(0)).cast("bigint").alias("buffer_bytes"),
-    )
+    ]
 
 
 def trace_text(trace: DataFrame, part_size: int = 1000) -> DataFrame:

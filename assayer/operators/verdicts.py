@@ -10,6 +10,7 @@ from assayer.functions import text as t
 from assayer.operators import decision, rules, snippets as sn, trace as tr
 from assayer.operators.normalize import capped_confidence
 from assayer.operators.source_tree import lines_of
+from assayer.session import staged
 
 INTENTIONAL_SETS = ("DEADCODE", "ARRAY_VS_SINGLETON", "UNUSED_VALUE", "CONSTANT_EXPRESSION_RESULT", "NO_BREAK")
 
@@ -28,8 +29,11 @@ def code_facts(df: DataFrame) -> DataFrame:
     df = df.withColumn("arg_dest", F.when(two, F.get("args", F.lit(0))).otherwise("")).withColumn(
         "arg_src", F.when(two, F.get("args", F.lit(1))).otherwise("")
     )
-    df = sn.provenance(df, "arg_src", hops=4)
-    df = df.withColumn("guard_var", t.first_text(F.col("arg_src"), F.col("arg_dest")))
+    # only rule sets with the shared rules read origin and guard
+    shared = F.col("rule_set").isin(*[s for s in rules.SHARED_SETS if s != rules.GENERIC])
+    df = df.withColumn("traced_var", F.when(shared, F.col("arg_src")).otherwise(""))
+    df = sn.provenance(df, "traced_var", hops=4)
+    df = df.withColumn("guard_var", F.when(shared, t.first_text(F.col("arg_src"), F.col("arg_dest"))).otherwise(""))
     df = sn.guard_scope(df, "guard_var", "arg")
     # A call with flat arguments
     called = F.regexp_extract_all(code, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(([^)]*)\)"), 1)
@@ -68,7 +72,10 @@ def code_facts(df: DataFrame) -> DataFrame:
     )
     df = df.withColumn("null_target", F.when(F.col("rule_set").isin("REVERSE_INULL", "FORWARD_NULL"), F.col("var")).otherwise(""))
     df = sn.guard_scope(df, "null_target", "nul")
-    df = sn.guarded_success_call(df, "flag")
+    # the success-flag pattern is asked for one rule set only
+    forward = F.col("rule_set") == "FORWARD_NULL"
+    df = df.withColumn("rel_all", F.col("rel")).withColumn("rel", F.when(forward, F.col("rel")).otherwise(-1))
+    df = sn.guarded_success_call(df, "flag").withColumn("rel", F.col("rel_all")).drop("rel_all", "traced_var")
     s = t.quoted(F.col("src"))
     bounded = F.concat(F.lit(r"\b"), s, F.lit(r"\b.*sizeof|sizeof.*\b"), s, F.lit(r"\b"))
     memset = sn.preceding_calls(lines, "memset", rel)
@@ -96,9 +103,15 @@ def code_facts(df: DataFrame) -> DataFrame:
     ).drop("args", "guard_var", "arg_guard_at", "arg_guard_kind", "arg_guard_covers", "arg_guard_inside", "nul_guard_at", "nul_guard_kind", "nul_guard_covers", "nul_guard_inside", "flag_guard_at", "flag_var", "flag_call")
 
 
-def overrun_facts(df: DataFrame) -> DataFrame:
-    """Array access, declaration, index flow and guard verdicts of each finding."""
-    lines, rel, code = F.col("lines"), F.col("rel"), F.col("code")
+def overrun_access(df: DataFrame) -> DataFrame:
+    """Array access and its bound for overrun findings (G23): array, index_var, index_expr,
+    access_i, access_kind, bound, bound_expr.
+
+    Other findings see an empty snippet here, so they cost nothing.
+    """
+    on = F.col("rule_set") == "OVERRUN"
+    df = df.withColumn("o_lines", F.when(on, F.col("lines")).otherwise(sn.empty_strings()))
+    lines, rel, code = F.col("o_lines"), F.col("rel"), F.when(on, F.col("code")).otherwise("")
     df = df.withColumn("acc", sn.array_access(lines, rel))
     df = df.withColumn("decl", F.when(F.col("acc").isNotNull(), sn.array_declaration(lines, F.col("acc.array"))))
     loose_arr, loose_idx = F.regexp_extract(code, sn.POINTER, 1), t.strip(F.regexp_extract(code, sn.POINTER, 2))
@@ -115,9 +128,14 @@ def overrun_facts(df: DataFrame) -> DataFrame:
             "decl_size": F.coalesce(F.col("decl.size"), F.lit(0)).cast("bigint"),
         }
     )
-    df = sn.index_flow(df, "lines", "index_var", "access_i", "idx")
     df = df.withColumn("bound", F.when(F.col("decl_size") > 0, F.col("decl_size")).otherwise(F.coalesce("array_size", F.lit(0))).cast("bigint"))
     df = df.withColumn("bound_expr", t.first_text(F.col("decl.size_expr"), F.when(F.col("bound") > 0, F.col("bound").cast("string"))))
+    return df.drop("acc", "decl")
+
+
+def overrun_facts(df: DataFrame) -> DataFrame:
+    """Index flow and guard verdicts of overrun findings."""
+    df = sn.index_flow(overrun_access(df), "o_lines", "index_var", "access_i", "idx")
     # a traced index of 0 counts as absent
     df = df.withColumn("traced_index", F.nullif(F.col("index_value"), F.lit(0)))
     provable = (F.col("idx_guard_op") != "") & (F.col("idx_guard_limit") != "") & (F.col("bound") > 0)
@@ -132,61 +150,74 @@ def overrun_facts(df: DataFrame) -> DataFrame:
             "named_access": ~F.col("array").isin("", "the buffer", "the array", "array")
             & ~F.col("index_var").isin("", "the offset", "the index", "index"),
         }
-    ).drop("acc", "decl")
+    ).drop("o_lines")
 
 
 # Calls that bring in a value from outside
 INPUT_CALLS = r"\b(recv|recvfrom|fread|fgets|getenv|scanf|sscanf|fscanf|read|accept|ntohs|ntohl|getchar|gets|atoi|strtol)\b"
 
 
-def caller_evidence(df: DataFrame, call_sites: DataFrame) -> DataFrame:
-    """What callers pass for the flagged index (G25): adds caller_verdict
-    ('oob', 'bounded_before', 'bounded' or '').
+QUESTION = ["callee", "arg_pos", "buf_pos", "bound"]
 
-    ``call_sites(callee, path, line_no, snippet, caller, caller_start, body)``.
-    Findings are first reduced to distinct questions (function, index place, array
-    place, size): many findings in one function ask once, and a callee with very
-    many sites is summed map-side, so findings and sites are never paired.
-    """
+
+def caller_question(df: DataFrame) -> DataFrame:
+    """What to ask the callers of a finding's function: callee, place of the flagged
+    index and of the array among its parameters (0 for none). Needs lines, index_var, array."""
     names = sn.parameter_names(F.col("lines"))
     # Name in the first signature line
-    own = F.get(F.filter(F.transform(F.filter("lines", lambda x: ~t.strip(x).rlike(r"^(#|//|/\*|\*)")), lambda x: F.regexp_extract(t.strip(x), r"^[\w\s\*]+\b(\w+)\s*\(", 1)), lambda x: x != ""), F.lit(0))
-    df = df.withColumn("__params", names).withColumn("callee", t.txt(own))
-    df = df.withColumn("__pos", F.array_position("__params", F.col("index_var")).cast("int")).withColumn(
-        "__buf", F.array_position("__params", F.col("array")).cast("int")
+    heads = F.transform(
+        F.filter("lines", lambda x: ~t.strip(x).rlike(r"^(#|//|/\*|\*)")),
+        lambda x: F.regexp_extract(t.strip(x), r"^[\w\s\*]+\b(\w+)\s*\(", 1),
     )
-    key = ["callee", "__pos", "__buf", "bound"]
-    asked = df.where((F.col("callee") != "") & (F.col("__pos") > 0)).select(*key).distinct()
-    sites = call_sites.where(F.col("snippet") != "").join(asked.select("callee").distinct(), "callee", "left_semi")
-    first = F.regexp_extract("snippet", r"\b(\w+)\s*\(", 1)
-    sites = sites.withColumn("__args", sn.call_arguments(F.col("snippet"), first))
-    asked_sites = sites.join(asked, "callee")
-    passed = F.get("__args", F.col("__buf") - 1)
-    body = lines_of(F.col("body"))
-    declared = F.when(
-        (F.col("bound") <= 0) & (F.col("__buf") > 0) & passed.isNotNull(), sn.array_declaration(body, passed)["size"]
+    place = lambda c: F.coalesce(F.array_position(names, F.col(c)).cast("int"), F.lit(0))
+    return df.withColumns(
+        {"callee": t.txt(F.get(F.filter(heads, lambda x: x != ""), F.lit(0))), "arg_pos": place("index_var"), "buf_pos": place("array")}
     )
-    asked_sites = asked_sites.withColumn("__declared", F.when(declared > 0, declared))
-    sizes = asked_sites.groupBy(*key).agg(
-        F.min_by("__declared", F.when(F.col("__declared").isNotNull(), F.struct("path", "line_no"))).alias("__d")
+
+
+def caller_answers(asked: DataFrame, call_sites: DataFrame) -> DataFrame:
+    """Verdict of the callers per question (G25): 'oob', 'bounded_before', 'bounded' or ''.
+
+    ``call_sites(callee, path, line_no, snippet, caller, caller_start, body)``.
+    Questions are distinct (function, places, size): many findings in one function ask
+    once, and a callee with very many sites is summed map-side, so findings and sites
+    are never paired.
+    """
+    asked = asked.where((F.col("callee") != "") & (F.col("arg_pos") > 0)).select(*QUESTION).distinct()
+    first = F.regexp_extract("snippet", r"\b(\w+)\s*\(", 1)
+    q = (
+        call_sites.where(F.col("snippet") != "")
+        .withColumn("args", sn.call_arguments(F.col("snippet"), first))
+        .join(asked, "callee")
+        .withColumn("arg", F.get("args", F.col("arg_pos") - 1))
+        .withColumn("lines", lines_of(F.col("body")))
     )
-    q = asked_sites.join(sizes, key)
-    size = F.when(F.col("bound") > 0, F.col("bound")).otherwise(F.coalesce("__d", F.lit(0)))
-    arg = F.get("__args", F.col("__pos") - 1)
-    q = q.withColumn("__size", size).withColumn("__arg", arg).where(F.col("__arg").isNotNull())
-    q = q.withColumn("__body", body).withColumn(
-        "__at",
-        (F.greatest(F.lit(1), F.least(F.col("line_no") - F.col("caller_start") + 1, F.size("__body"))) - 1).cast("int"),
+    passed = F.get("args", F.col("buf_pos") - 1)
+    declared = F.when((F.col("bound") <= 0) & (F.col("buf_pos") > 0), sn.array_declaration(F.col("lines"), passed)["size"])
+    at = F.greatest(F.lit(1), F.least(F.col("line_no") - F.col("caller_start") + 1, F.size("lines"))) - 1
+    q = q.withColumn("declared", F.when(declared > 0, declared)).withColumn("at", at.cast("int"))
+    q = sn.index_flow(q, "lines", "arg", "at", "cf")
+    number = F.when(F.col("arg").rlike(r"^\d+$"), F.col("arg").try_cast("bigint"))
+    input_call = F.col("arg").rlike(INPUT_CALLS)
+    relative = ~input_call & F.col("arg").rlike(r"\b(sizeof\s*\(|\b[\w]+\s*-\s*1\b)")
+    # the size may only be known from a caller's declaration, so sites are counted per
+    # passed constant first and compared with the size afterwards
+    per_value = q.groupBy(*QUESTION, number.alias("value")).agg(
+        F.count_if(F.col("arg").isNotNull()).alias("n"),
+        F.count_if(number.isNull() & input_call).alias("from_input"),
+        F.count_if(number.isNull() & relative).alias("relative"),
+        F.count_if(number.isNull() & F.col("arg").isNotNull() & (F.col("cf_guard_at") > 0)).alias("guarded"),
+        F.min(F.when(F.col("declared").isNotNull(), F.struct("path", "line_no", "declared"))).alias("d"),
     )
-    q = sn.index_flow(q, "__body", "__arg", "__at", "cf")
-    number = F.when(F.col("__arg").rlike(r"^\d+$"), F.col("__arg").try_cast("bigint"))
-    input_call = F.col("__arg").rlike(INPUT_CALLS)
-    bug = F.when(number.isNotNull(), (F.col("__size") > 0) & (number >= F.col("__size"))).otherwise(input_call)
-    fp = F.when(number.isNotNull(), (F.col("__size") > 0) & (number < F.col("__size"))).otherwise(
-        ~input_call & (F.col("__size") > 0) & F.col("__arg").rlike(r"\b(sizeof\s*\(|\b[\w]+\s*-\s*1\b)")
+    sizes = per_value.groupBy(*QUESTION).agg(F.min("d").alias("d"))
+    sized = per_value.drop("d").join(sizes, QUESTION)
+    size = F.when(F.col("bound") > 0, F.col("bound")).otherwise(F.coalesce(F.col("d.declared"), F.lit(0)))
+    inside, outside = (size > 0) & (F.col("value") < size), (size > 0) & (F.col("value") >= size)
+    hits = sized.groupBy(*QUESTION).agg(
+        F.sum(F.when(outside, F.col("n")).otherwise(0) + F.col("from_input")).alias("b"),
+        F.sum(F.when(inside, F.col("n")).when(size > 0, F.col("relative")).otherwise(0)).alias("f"),
+        F.sum("guarded").alias("g"),
     )
-    guard = number.isNull() & (F.col("cf_guard_at") > 0)
-    hits = q.groupBy(*key).agg(F.count_if(bug).alias("b"), F.count_if(fp).alias("f"), F.count_if(guard).alias("g"))
     verdict = (
         F.when((F.col("b") > 0) & (F.col("f") == 0) & (F.col("g") == 0), "oob")
         .when((F.col("g") > 0) & (F.col("b") == 0), "bounded_before")
@@ -194,13 +225,20 @@ def caller_evidence(df: DataFrame, call_sites: DataFrame) -> DataFrame:
         .when((F.col("b") > 0) & (F.col("f") == 0), "oob")
         .otherwise("")
     )
-    out = df.join(hits.select(*key, verdict.alias("caller_verdict")), key, "left")
-    return out.withColumn("caller_verdict", t.txt(F.col("caller_verdict"))).drop("__params", "callee", "__pos", "__buf")
+    return hits.select(*QUESTION, verdict.alias("caller_verdict"))
+
+
+def caller_evidence(df: DataFrame, answers: DataFrame) -> DataFrame:
+    """Answers of the callers onto findings: adds caller_verdict ('' for none)."""
+    out = caller_question(df).join(answers, QUESTION, "left")
+    return out.withColumn("caller_verdict", t.txt(F.col("caller_verdict"))).drop("callee", "arg_pos", "buf_pos")
 
 
 def extra_overrun_evidence(df: DataFrame) -> DataFrame:
     """Second evidence array of inconclusive overruns: index constant, provenance, callers."""
-    df = sn.provenance(df, "index_var", hops=3, prefix="index_origin")
+    open_ = (F.col("rule_set") == "OVERRUN") & (F.col("classification") == "Needs review")
+    df = df.withColumn("asked_var", F.when(open_, F.col("index_var")).otherwise(""))
+    df = sn.provenance(df, "asked_var", hops=3, prefix="index_origin").drop("asked_var")
     plain = lambda c: F.regexp_extract(F.regexp_replace(F.col(c), r"\s+", ""), r"^\(?(\d+)\)?$", 1)
     const = F.nullif(t.first_text(plain("index_expr"), plain("idx_assign_expr")), F.lit("")).try_cast("bigint")
     known, sized = ~F.col("index_var").isin("the offset", "the index", "index"), F.col("bound") > 0
@@ -284,12 +322,19 @@ def context_prior(df: DataFrame) -> DataFrame:
     return df.withColumn("prior", F.round(F.least(F.lit(1.0), clamped + add(F.col("corroborated_by") != "", 0.15)), 2))
 
 
-def gather(findings: DataFrame, trace: DataFrame, code: DataFrame) -> DataFrame:
-    """Findings with their trace facts and code: three joins on cid, the trace side
-    already reduced to one row per finding. ``code(cid, code, code_start_line)``."""
-    facts = tr.trace_facts(trace)
-    named = tr.described_variables(trace)
-    df = findings.join(facts, "cid", "left").join(named, "cid", "left").join(code, "cid", "left")
+def gather(findings: DataFrame, trace: DataFrame, code: DataFrame | None = None) -> DataFrame:
+    """Findings with their trace facts and code, joined on cid; the trace is reduced to
+    one row per finding in a single pass. ``code(cid, code, code_start_line)`` may be
+    left out when the findings carry these columns.
+
+    The joins need the findings by cid anyway; naming the partition count keeps the
+    adaptive planner from merging them into few tasks, for what follows is bound by
+    computation, not by bytes.
+    """
+    parts = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = findings.repartition(parts, "cid").join(tr.trace_summary(trace), "cid", "left")
+    if code is not None:
+        df = df.join(code, "cid", "left")
     fill = {"defect_confirmed": False, "taint_confirmed": False, "guard_on_path": False, "guard_takes_true": False,
             "size_equal_in_trace": False, "trace_validates": False, "null_var": "", "trace_sink": "", "n_events": 0,
             "dest_var": "", "src_var": "", "size_bytes": 0, "buffer_bytes": 0, "code": "", "code_start_line": 1}
@@ -302,16 +347,23 @@ def judge(df: DataFrame, book: rules.RuleBook = rules.DEFAULT_BOOK, call_sites:
         if name not in df.columns:
             df = df.withColumn(name, F.lit(default))
     df = df.withColumn("rule_set", rules.rule_set(F.col("checker"), F.col("code") != "", book))
-    df = overrun_facts(code_facts(df))
+    answers = None
     if call_sites is not None:
-        df = caller_evidence(df, call_sites)
+        asking = overrun_access(sn.prepare(df.where(F.col("rule_set") == "OVERRUN")))
+        answers = caller_answers(caller_question(asking), call_sites)
+    df = overrun_facts(code_facts(df))
+    if answers is not None:
+        df = caller_evidence(df, answers)
     else:
         df = df.withColumn("caller_verdict", F.lit(""))
     df = rules.evidence(rules.with_facts(df), book)
     df = decision.decide(df)
     df = _extra_decision(extra_overrun_evidence(df))
     df = overrun_overrides(df)
-    df = sn.checked_return(df)
+    df = df.withColumn("all_lines", F.col("lines")).withColumn(
+        "lines", F.when(F.col("rule_set") == "CHECKED_RETURN", F.col("lines")).otherwise(sn.empty_strings())
+    )
+    df = sn.checked_return(df).withColumn("lines", F.col("all_lines")).drop("all_lines")
     return _finish(df, book)
 
 
@@ -355,7 +407,11 @@ def _finish(df: DataFrame, book: rules.RuleBook) -> DataFrame:
 
 
 def analyze(
-    findings: DataFrame, trace: DataFrame, code: DataFrame, book: rules.RuleBook = rules.DEFAULT_BOOK, call_sites: DataFrame | None = None
+    findings: DataFrame, trace: DataFrame, code: DataFrame | None = None, book: rules.RuleBook = rules.DEFAULT_BOOK, call_sites: DataFrame | None = None
 ) -> DataFrame:
-    """The analysis of a report: findings, trace and code to verdicts."""
-    return judge(gather(findings, trace, code), book, call_sites)
+    """The analysis of a report: findings, trace and code to verdicts.
+
+    The gathered findings are staged: the verdict itself is then one scan and one
+    projection, planned once.
+    """
+    return judge(staged(gather(findings, trace, code), "gathered"), book, call_sites)

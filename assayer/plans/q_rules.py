@@ -219,7 +219,8 @@ def caller_evidence(spark, d):
     """What callers pass as the second argument. Every caller body compares
     something that contains the letter n, so a passed ``n`` counts as guarded."""
     df = _with_access(v.code(spark, d))
-    return vd.caller_evidence(df, _passing_sites(spark, d)).select("cid", "caller_verdict")
+    answers = vd.caller_answers(vd.caller_question(df), _passing_sites(spark, d))
+    return vd.caller_evidence(df, answers).select("cid", "caller_verdict")
 
 
 def _with_access(code):
@@ -238,9 +239,7 @@ def _passing_sites(spark, d):
 
 
 def _verdicts(spark, d):
-    code = v.code(spark, d)
-    findings = code.select("cid", "checker", "function", "line")
-    return vd.analyze(findings, v.trace(spark, d), code.select("cid", "code", "code_start_line"), call_sites=_passing_sites(spark, d))
+    return vd.analyze(v.code(spark, d), v.trace(spark, d), call_sites=_passing_sites(spark, d))
 
 
 @query()
@@ -267,5 +266,5 @@ def tree_verdicts(spark, d):
     sites = st.call_sites(facts)
     counts = sites.groupBy(F.col("callee").alias("fn_name")).agg(F.count(F.lit(1)).alias("n_callers"))
     findings = code.join(counts, "fn_name", "left").withColumn("n_callers", F.coalesce("n_callers", F.lit(0)))
-    out = vd.analyze(findings.select("cid", "checker", "function", "line", "n_callers"), v.trace(spark, d), findings.select("cid", "code", "code_start_line"))
+    out = vd.analyze(findings.select("cid", "checker", "function", "line", "n_callers", "code", "code_start_line"), v.trace(spark, d))
     return out.select("cid", "checker", "classification", "confidence")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "assayer") -> SparkSession:
@@ -37,3 +37,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared scratch folder and read it back.
+
+    Cuts a long lineage: what follows is planned once over a plain scan, several
+    readers share the result, and a lost executor costs no recomputation.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
