@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from assayer.functions.frames import latest
 from assayer.operators import trace as tr
@@ -21,7 +22,8 @@ def running_counts(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 def deduplicated(findings: DataFrame, event_time: str, delay: str) -> DataFrame:
     """Rows of overlapping pages, each cid once within the watermark."""
-    return findings.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["cid"])
+    timed = findings.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["cid"])
 
 
 def running_main_event(trace: DataFrame) -> DataFrame:
@@ -67,9 +69,8 @@ def drain(result: DataFrame, table: str, checkpoint: str, mode: str = "append")
         result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return result.sparkSession.read.option("recursiveFileLookup", True).schema(
-        result.schema.add("batch_id", "bigint")
-    ).parquet(table)
+    schema = StructType(list(result.schema.fields) + [StructField("batch_id", LongType())])
+    return result.sparkSession.read.option("recursiveFileLookup", True).schema(schema).parquet(table)
 
 
 def current(updates: DataFrame, keys: list[str]) -> DataFrame:
