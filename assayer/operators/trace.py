@@ -21,7 +21,11 @@ MAIN, LAST_NON_PATH, LAST_ANY = -1, 10, 20
 
 def sink_rank(tag: Column, checker: Column) -> Column:
     """0 primary sink, 1 checker-prefixed variant, 2 secondary, NULL no sink."""
-    tag, chk = t.norm_tag(tag), t.norm_tag(checker)
+    return _rank(t.norm_tag(tag), t.norm_tag(checker))
+
+
+def _rank(tag: Column, chk: Column) -> Column:
+    """Rank of names that are already normalised."""
     head = F.substring_index(tag, "_", 1)
     prefix = F.concat(chk, F.lit("_"))
     suffix_head = F.substring_index(F.substring(tag, F.length(prefix) + 1, F.length(tag)), "_", 1)
@@ -38,7 +42,10 @@ def sink_rank(tag: Column, checker: Column) -> Column:
 
 
 def is_path_event(tag: Column) -> Column:
-    tag = t.norm_tag(tag)
+    return _is_path(t.norm_tag(tag))
+
+
+def _is_path(tag: Column) -> Column:
     return (tag != "") & F.substring_index(tag, "_", 1).isin(*dim.PATH_HEADS)
 
 
@@ -76,6 +83,13 @@ def _with_checker(trace: DataFrame, findings: DataFrame | None) -> DataFrame:
     return trace.join(findings.select("cid", "checker"), "cid", "left")
 
 
+def _ranked(events: DataFrame) -> DataFrame:
+    """Add __rank and __path; names are normalised once per event."""
+    named = events.withColumns({"__t": t.norm_tag(F.col("tag")), "__c": t.norm_tag(F.col("checker"))})
+    ranked = named.withColumns({"__rank": _rank(F.col("__t"), F.col("__c")), "__path": _is_path(F.col("__t"))})
+    return ranked.drop("__t", "__c")
+
+
 def elect(trace: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """Main event per finding: cid, ordinal, line, reason.
 
@@ -83,9 +97,8 @@ def elect(trace: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     (earliest step), then the last event off the path, then the last event.
     """
     events = _with_checker(trace, findings).where(F.coalesce("line", F.lit(0)) != 0)
-    rank = sink_rank(F.col("tag"), F.col("checker"))
-    key = _preference(F.coalesce("main", F.lit(False)), rank, is_path_event(F.col("tag")))
-    best = events.groupBy("cid").agg(F.min(key).alias("best"))
+    key = _preference(F.coalesce("main", F.lit(False)), F.col("__rank"), F.col("__path"))
+    best = _ranked(events).groupBy("cid").agg(F.min(key).alias("best"))
     return best.select(
         "cid", F.col("best.ordinal").alias("ordinal"), F.col("best.line").alias("line"), _reason(F.col("best")).alias("reason")
     )
@@ -99,9 +112,9 @@ def _elections(trace: DataFrame, findings: DataFrame | None) -> DataFrame:
         events = events.withColumn("main_heuristic", F.lit(False))
     main = F.coalesce("main", F.lit(False))
     genuine = main & ~F.coalesce("main_heuristic", F.lit(False))
-    rank, path = sink_rank(F.col("tag"), F.col("checker")), is_path_event(F.col("tag"))
+    rank, path = F.col("__rank"), F.col("__path")
     lined = F.coalesce("line", F.lit(0)) != 0
-    return events.groupBy("cid").agg(
+    return _ranked(events).groupBy("cid").agg(
         F.max(genuine).alias("has_genuine"),
         F.min(F.when(lined, _preference(main, rank, path))).alias("as_is"),
         F.min(F.when(lined, _preference(genuine, rank, path))).alias("cleared"),
@@ -236,16 +249,21 @@ def line_columns(trace: DataFrame) -> DataFrame:
 
 def event_facts(trace: DataFrame) -> DataFrame:
     """Per-event facts read from tag and description (columns f_*)."""
-    return trace.select("cid", "ordinal", *_event_columns())
+    return _prepared(trace).select("cid", "ordinal", *_event_columns())
 
 
-def _event_columns() -> list[Column]:
-    # Patterns of event descriptions
+def _prepared(trace: DataFrame) -> DataFrame:
+    """Tag and description normalised once per event."""
     tag = F.replace(F.replace(F.lower(t.txt(F.col("tag"))), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
     desc = t.strip(F.col("description"))
-    low = F.lower(desc)
+    return trace.select("cid", "ordinal", "description", tag.alias("__tag"), desc.alias("__desc"), F.lower(desc).alias("__low"))
+
+
+def _event_columns() -> list[Column]:
+    # Patterns of event descriptions
+    tag, desc, low = F.col("__tag"), F.col("__desc"), F.col("__low")
     guard_text = low.rlike(r"!=\s*null|!=\s*0\b|!\s*\w+\b") | low.rlike(r"<\s*\w+|>=\s*0|within\s+bounds")
-    true_guard = (tag == "condition") & guard_text & (F.instr(low, "true branch") > 0)
+    true_guard = (tag == "condition") & (F.instr(low, "true branch") > 0) & guard_text
 
     def number(pattern: str, group: int = 1) -> Column:
         return F.nullif(F.regexp_extract(desc, pattern, group), F.lit("")).try_cast("bigint")
@@ -300,10 +318,10 @@ def _event_columns() -> list[Column]:
         index.alias("f_index"),
         null_var.alias("f_null_var"),
         values.alias("f_values"),
-        desc.rlike(r"(?i)unterminated|null.terminat|size.*equals|equals.*size|no.*null|buffer.size").alias("f_size_equal"),
+        (low.rlike("unterminated|null.terminat|no.*null|buffer.size") | (F.contains(low, F.lit("equals")) & low.rlike("size.*equals|equals.*size"))).alias("f_size_equal"),
         low.rlike("check|guard|compare|test|verify").alias("f_validates"),
-        _sink_call(F.col("description"))[0].alias("f_sink_precise"),
-        _sink_call(F.col("description"))[1].alias("f_sink_generic"),
+        F.when(F.contains(low, F.lit("calling")), _sink_call(desc)[0]).alias("f_sink_precise"),
+        F.when(F.contains(low, F.lit("calling")), _sink_call(desc)[1]).alias("f_sink_generic"),
     ]
 
 
@@ -331,7 +349,7 @@ def trace_facts(trace: DataFrame) -> DataFrame:
 
 def trace_summary(trace: DataFrame) -> DataFrame:
     """:func:`trace_facts` and :func:`described_variables` from one pass over the trace."""
-    events = trace.select("cid", "ordinal", *_event_columns(), *_described_columns())
+    events = _prepared(trace).select("cid", "ordinal", *_event_columns(), *_described_columns())
     return events.groupBy("cid").agg(*_fact_aggregates(), *_described_aggregates())
 
 
@@ -389,11 +407,11 @@ def _described_columns() -> list[Column]:
         r"destination\s+(?:array|buffer|string)\s+['\"]([^'\"]+)['\"]"
     )
     d = t.txt(F.col("description"))
-    is_precise = d.rlike(precise)
+    is_precise = F.contains(d, F.lit("destination")) & d.rlike(precise)
 
     def named(kind: str) -> Column:
         pattern = kind + r"\s+(?:array|buffer|string)?\s*['\"]([^'\"]+)['\"]"
-        return F.when(~is_precise & d.rlike(pattern), t.strip(F.regexp_extract(d, pattern, 1)))
+        return F.when(F.contains(d, F.lit(kind)) & ~is_precise & d.rlike(pattern), t.strip(F.regexp_extract(d, pattern, 1)))
 
     return [
         F.when(is_precise, t.strip(F.regexp_extract(d, precise, 2))).alias("precise_dest"),
