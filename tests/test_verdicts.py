@@ -52,45 +52,41 @@ def test_constants(spark, expr, want):
     assert df.select(sn.resolve_constant(F.lit(expr), F.col("code")).alias("x")).first()["x"] == want
 
 
-def analyze(spark, make_trace, checker, code, line, start, *events):
-    f = spark.createDataFrame([(1, checker, "process_buffer", code, start, line)], CODE)
-    return vd.analyze(f, make_trace(*events)).first()
+def analyze(spark, trace, *findings):
+    rows = [(i, checker, "process_buffer", code, start, line) for i, (checker, code, line, start) in enumerate(findings)]
+    return {r["cid"]: r for r in vd.analyze(spark.createDataFrame(rows, CODE), trace).collect()}
 
 
 def test_overrun_is_anchored_on_the_flagged_line(spark, make_trace):
-    code = "\n".join(["void process_buffer(char *src, int n) {", *[f"    char pad{i}[4];" for i in range(3)], "    char buf[10];", "    int i;",
-                      "    for (i = 0; i < n; i++) buf[i] = src[i];", "    char dest[8];", "    if (n > 0) {", "        memcpy(dest, buf, n);", "    }", "}"])
-    r = analyze(spark, make_trace, "OVERRUN", code, 710, 701, ("var_decl", 705), ("overrun-local", 710, True))
-    assert (r["sink_func"], r["arg_dest"], r["array"]) == ("memcpy", "dest", "the buffer")
-
-
-def test_overrun_keeps_a_subscript_on_the_flagged_line(spark, make_trace):
-    code = "\n".join(["void process_buffer(char *src, int n) {", "    char buf[10];", "    int i;", "    for (i = 0; i < n; i++) buf[i] = src[i];", "    char big[4];",
+    far = "\n".join(["void process_buffer(char *src, int n) {", *[f"    char pad{i}[4];" for i in range(3)], "    char buf[10];", "    int i;",
+                     "    for (i = 0; i < n; i++) buf[i] = src[i];", "    char dest[8];", "    if (n > 0) {", "        memcpy(dest, buf, n);", "    }", "}"])
+    here = "\n".join(["void process_buffer(char *src, int n) {", "    char buf[10];", "    int i;", "    for (i = 0; i < n; i++) buf[i] = src[i];", "    char big[4];",
                       "    char small[4];", "    big[n] = small[n];", "}"])
-    r = analyze(spark, make_trace, "OVERRUN", code, 707, 701, ("var_decl", 705), ("overrun-local", 707, True))
+    trace = make_trace(("var_decl", 705), ("overrun-local", 710, True), cid=0).unionByName(make_trace(("var_decl", 705), ("overrun-local", 707, True), cid=1))
+    got = analyze(spark, trace, ("OVERRUN", far, 710, 701), ("OVERRUN", here, 707, 701))
+    assert (got[0]["sink_func"], got[0]["arg_dest"], got[0]["array"]) == ("memcpy", "dest", "the buffer")
+    r = got[1]
     assert (r["array"], r["index_var"], r["access_kind"], r["classification"]) == ("big", "n", "write", "Bug")
 
 
-@pytest.mark.parametrize(
-    "checker, code, want",
-    [
-        ("UNINIT", "void f() {\n int a;\n b = a;\n c;\n}", ("Bug", 0.86)),
-        ("UNINIT", "void f() {\n char b[4];\n memset(b, 0, 4);\n c;\n}", ("False positive", 0.89)),
-        ("NO_BREAK", "void f() {\n a;\n /* fall through */\n c;\n}", ("Intentional", 1.0)),
-        ("DIVIDE_BY_ZERO", "void f() {\n if (n != 0) {\n x = 1 / n;\n }\n}", ("False positive", 0.89)),
-        ("CHECKED_RETURN", "void f() {\n a;\n send(s, b, n);\n c;\n}", ("Bug", 0.72)),
-        ("CHECKED_RETURN", "void f() {\n a;\n if (send(s, b, n) < 0) x;\n c;\n}", ("False positive", 0.8)),
-        ("CHECKED_RETURN", "void f() {\n a;\n (void)send(s, b, n);\n c;\n}", ("Intentional", 0.85)),
-        ("SOMETHING", "", ("Needs review", 0.0)),
-    ],
-)
-def test_checker_verdicts(spark, make_trace, checker, code, want):
-    f = spark.createDataFrame([(9, checker, "f", code, 1, 3)], CODE)
-    r = vd.analyze(f, make_trace(("note", 3))).first()
-    assert (r["classification"], r["confidence"]) == want
+CASES = [
+    ("UNINIT", "void f() {\n int a;\n b = a;\n c;\n}", ("Bug", 0.87)),
+    ("UNINIT", "void f() {\n char b[4];\n memset(b, 0, 4);\n c;\n}", ("False positive", 0.89)),
+    ("NO_BREAK", "void f() {\n a;\n /* fall through */\n c;\n}", ("Intentional", 1.0)),
+    ("DIVIDE_BY_ZERO", "void f() {\n if (n != 0) {\n x = 1 / n;\n }\n}", ("False positive", 0.89)),
+    ("CHECKED_RETURN", "void f() {\n a;\n send(s, b, n);\n c;\n}", ("Bug", 0.72)),
+    ("CHECKED_RETURN", "void f() {\n a;\n if (send(s, b, n) < 0) x;\n c;\n}", ("False positive", 0.8)),
+    ("CHECKED_RETURN", "void f() {\n a;\n (void)send(s, b, n);\n c;\n}", ("Intentional", 0.85)),
+    ("SOMETHING", "", ("Needs review", 0.0)),
+]
+
+
+def test_checker_verdicts(spark, make_trace):
+    got = analyze(spark, make_trace(("note", 3), cid=0), *[(checker, code, 3, 1) for checker, code, _ in CASES])
+    assert {i: (r["classification"], r["confidence"]) for i, r in got.items()} == {i: want for i, (_, _, want) in enumerate(CASES)}
 
 
-def reference_decision(evidence):
+def plain_decision(evidence):
     """The decision written as a plain loop, to compare with the columns."""
     bug = sum(w for _, p, w in evidence if p == "bug") / 100
     fp = sum(w for _, p, w in evidence if p == "fp") / 100
@@ -110,7 +106,7 @@ def reference_decision(evidence):
     if conf >= 0.35 and high > low + 0.15:
         return side, conf
     top = max(evidence, key=lambda e: e[2])
-    if top[2] >= 75 and abs(bug - fp) <= 0.02:
+    if top[2] >= 75 and top[1] != "neutral" and abs(bug - fp) <= 0.02:
         return ("Bug" if top[1] == "bug" else "False positive"), max(conf, 0.5)
     return "Needs review", conf
 
@@ -124,7 +120,7 @@ def test_decisions_equal_a_plain_loop(spark):
     df = spark.createDataFrame(rows, "cid long, evidence array<struct<seq:int,label:string,polarity:string,weight_c:int,description:string>>")
     got = {r["cid"]: (r["classification"], r["confidence"]) for r in decision.decide(df).collect()}
     for cid, ev in rows:
-        cls, conf = reference_decision([(e[1], e[2], e[3] if e[2] != "neutral" else 0) if False else (e[1], e[2], e[3]) for e in ev])
+        cls, conf = plain_decision([(e[1], e[2], e[3]) for e in ev])
         assert got[cid][0] == cls and abs(got[cid][1] - conf) <= 0.0051, (cid, ev, got[cid], cls, conf)
 
 
