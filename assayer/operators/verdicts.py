@@ -103,6 +103,22 @@ def code_facts(df: DataFrame) -> DataFrame:
     ).drop("args", "guard_var", "arg_guard_at", "arg_guard_kind", "arg_guard_covers", "arg_guard_inside", "nul_guard_at", "nul_guard_kind", "nul_guard_covers", "nul_guard_inside", "flag_guard_at", "flag_var", "flag_call")
 
 
+def callee_taint(callees: DataFrame) -> DataFrame:
+    """Callees that read outside data (G7): cid, callee_taint for the first such callee.
+
+    ``callees(cid, rank, callee, body)`` holds at most a few ranked rows per finding.
+    The result joins the findings before :func:`judge` and stands in as origin where
+    the snippet itself shows none.
+    """
+    readers = F.array(*[F.lit(fn) for fn in dim.CALLEE_TAINT])
+    called = F.regexp_extract_all("body", F.lit(r"\b(" + "|".join(dim.CALLEE_TAINT) + r")\s*\("), 1)
+    place = F.array_min(F.transform(called, lambda fn: F.array_position(readers, fn)))
+    text = F.concat("callee", F.lit("() (calls "), F.get(readers, (place - 1).cast("int")), F.lit("() internally)"))
+    found = callees.select("cid", "rank", text.alias("text"))
+    picked = found.groupBy("cid").agg(F.min_by("text", F.when(F.col("text").isNotNull(), F.col("rank"))).alias("callee_taint"))
+    return picked.where(F.col("callee_taint").isNotNull())
+
+
 def overrun_access(df: DataFrame) -> DataFrame:
     """Array access and its bound for overrun findings (G23): array, index_var, index_expr,
     access_i, access_kind, bound, bound_expr.

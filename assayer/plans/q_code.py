@@ -143,6 +143,22 @@ def callee_definitions(spark, d):
     return out.select("cid", "callee", "path", "signature")
 
 
+@query(
+    f"""
+SELECT cid, arg_min(callee || '() (calls ' || fn || '() internally)', rank) AS callee_taint FROM (
+ SELECT c.cid, c.rank, c.callee, list_filter([{quoted_list(dim.CALLEE_TAINT)}], lambda f: regexp_matches(b.body, '\\b' || f || '\\s*\\('))[1] AS fn
+ FROM (SELECT cid, rank, callee FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY strpos(code, callee || '('), callee) AS rank FROM (SELECT DISTINCT cid, code, callee FROM (SELECT cid, code, unnest(regexp_extract_all(code, '\\b(\\w+)\\s*\\(', 1)) AS callee FROM v_code) WHERE callee NOT IN ({_SKIP}))) WHERE rank <= 5) c
+ JOIN (SELECT s.name, string_agg(l.text, chr(10) ORDER BY l.line_no) AS body FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, start_line) AS rn FROM v_span) WHERE rn = 1) s JOIN file_lines l ON l.path = s.path AND l.line_no BETWEEN s.start_line AND s.end_line GROUP BY 1) b ON b.name = c.callee)
+WHERE fn IS NOT NULL GROUP BY 1""",
+    TREE,
+)
+def callee_taint(spark, d):
+    """First callee that reads outside data."""
+    files = v.files(spark, d)
+    bodies = st.function_bodies(st.functions(st.line_facts(files)), files)
+    return vd.callee_taint(sn.callee_code(sn.callees(v.code(spark, d)), bodies))
+
+
 @query(
     "SELECT DISTINCT name FROM (SELECT function AS name FROM v_code UNION ALL SELECT 'legacy_' || cid % 50 FROM v_code) s WHERE NOT EXISTS (SELECT 1 FROM v_site c JOIN v_fn l ON l.path = c.path AND l.line_no = c.line_no WHERE c.callee = s.name AND NOT l.is_start)",
     TREE,
