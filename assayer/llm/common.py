@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     """Row ranges of a text column that hold about ``limit`` bytes, one row at least."""
     if not len(column):
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0).cast(pa.int64()))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()))
     ends = np.cumsum(sizes)
     start = 0
     while start < len(sizes):
