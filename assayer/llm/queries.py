@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, token_files
+from assayer.llm import bpe, line_dedup, quality, suffixes, token_files
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,69 @@ def query(sql: str | None = None):
     return add
 
 
+#: A-Z in lower case, other letters as they are.
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: White space between words and around lines.
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP2_SQL = rf"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, list_slice(w, i, i + least(13, len(w)) - 1) AS win
+  FROM iw, LATERAL (SELECT unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i) WHERE len(w) > 0
+), sizes AS (
+  SELECT DISTINCT len(win) AS n FROM item_windows
+), doc_windows AS (
+  SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS win FROM dw, sizes, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)
+), found AS (
+  SELECT d.doc_id, d.i, d.n, t.item_id FROM doc_windows d JOIN item_windows t ON d.win = t.win
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, LATERAL (SELECT unnest(range(i, i + n)) AS p) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP4_SQL = f"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT doc_id, i, line, {LOWER.format(f"trim(line, {SPACES})")} AS line_key FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM split)
+), repeated AS (
+  SELECT line_key, max(doc_id) AS keeper FROM lines WHERE length(line_key) >= 20 GROUP BY line_key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT l.*, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM lines l LEFT JOIN repeated USING (line_key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query(OP2_SQL)
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and items found of every document, against the whole benchmark."""
+    return suffixes.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base checks and the verdict of the rules for every document."""
+    return quality.contract(table(spark, sf_dir, "documents"))
+
+
+@query(OP4_SQL)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand in three documents or more."""
+    return line_dedup.contract(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as files of equal-length sequences, read back per document."""
