@@ -88,21 +88,28 @@ def counted(text: str | None) -> tuple[int, ...]:
 
 
 def rules() -> dict[str, tuple[Column, Column]]:
-    """Name: (votes to reject, votes to keep); where neither holds the rule abstains."""
+    """Name: (votes to reject, votes to keep); where neither holds the rule abstains.
+
+    A sign of one kind of junk says nothing where it is missing, so most rules reject or
+    abstain; the two rules that vote to keep look at several signs at once.
+    """
     words, letters = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     symbols, bangs = F.col("n_symbols") / words, F.col("qr_bangs") / words
     upper, repeats = F.col("qr_upper") / letters, F.col("n_repeat_words") / words
     same_lines = F.col("n_dup_lines") / F.greatest("qr_lines", F.lit(1))
     distinct, length = F.col("qr_distinct") / words, F.col("word_chars") / words
+    never = F.lit(False)
     return {
-        "symbols": (symbols > 0.2, symbols < 0.02),
-        "bangs": (bangs > 0.2, bangs < 0.05),
-        "upper_case": (upper > 0.3, upper < 0.1),
-        "repeats": (repeats > 0.2, repeats < 0.05),
-        "same_lines": (same_lines > 0.3, same_lines == 0),
-        "distinct_words": ((F.col("n_words") >= 30) & (distinct < 0.25), (F.col("n_words") >= 30) & (distinct > 0.35)),
-        "word_length": ((length < 2.5) | (length > 12), (length > 3.5) & (length < 9)),
-        "length": (F.col("n_words") < 10, F.col("n_words") >= 40),
+        "symbols": (symbols > 0.1, never),
+        "bangs": (bangs > 0.2, never),
+        "upper_case": (upper > 0.3, never),
+        "repeats": (repeats > 0.2, never),
+        "same_lines": (same_lines > 0.3, never),
+        "distinct_words": ((F.col("n_words") >= 30) & (distinct < 0.25), never),
+        "word_length": ((length < 2.5) | (length > 12), never),
+        "length": (F.col("n_words") < 10, never),
+        "clean": (never, (symbols < 0.02) & (bangs < 0.05) & (upper < 0.15) & (repeats <= 0.2)),
+        "prose": (never, (length > 3) & (length < 9) & (symbols < 0.05) & (same_lines <= 0.3) & ((distinct > 0.35) | (F.col("n_words") >= 1000))),
     }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, line_dedup, quality, suffixes, token_files
+from assayer.llm import bpe, line_dedup, quality, suffixes, token_files, toxicity
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.contract(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of all categories and the verdict for every document."""
+    return toxicity.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as files of equal-length sequences, read back per document."""
