@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, chat, line_dedup, quality, suffixes, token_files, toxicity
+from assayer.llm import bpe, chat, line_dedup, quality, suffixes, token_files, toxicity, warc
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,25 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY d, n) AS keeper FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+FROM g
+"""
+
+
+@query(OP8_SQL)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC archives, read back by the salvage reader."""
+    return warc.contract(spark, table(spark, sf_dir, "pages"))
+
+
 @query()
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, digested."""
