@@ -4,6 +4,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, __file__.rsplit("/", 2)[0])
 import __spark_entry__ as entry  # noqa: E402
@@ -28,7 +29,7 @@ def compare(spark, sf_dir, name, query, sql):
         return f"COLUMNS {got_cols} != {list(want.columns)}"
 
     def norm(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "NULL"
         if isinstance(v, float):
             return repr(round(v, 9))
