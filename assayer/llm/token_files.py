@@ -34,8 +34,10 @@ from assayer.llm.merges import MergeTable
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE = 2048
 BATCH = 64
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 1 << 20
 #: Words of each of two generations that one worker remembers, and those encoded in one go.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 120_000
 JOINED = 20_000
 
 
@@ -218,7 +220,7 @@ def write(docs: DataFrame, path: str, where: str, end_id: int, sequence: int = S
         part, by, out = TaskContext.get().partitionId(), encoder(path), None
         name = f"{where}/part-{part:06d}.arrow"
         for batch in batches:
-            for start, stop in text_slices(batch.column(1)):
+            for start, stop in text_slices(batch.column(1), ENCODED_BYTES):
                 some = batch.slice(start, stop - start)
                 out = out or SequenceWriter(name, by.dtype, sequence)
                 end = np.array([end_id], by.dtype)
