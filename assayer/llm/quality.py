@@ -30,9 +30,9 @@ PART_BYTES = 8 << 20
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, qr_lines long, qr_distinct long, qr_upper long, qr_bangs long"
 
 
-def word_parts(text: str) -> Iterator[list[bytes]]:
-    """Words between white space, a bounded part at a time."""
-    raw = text.encode()
+def word_parts(text: str, lower: bool = False) -> Iterator[list[bytes]]:
+    """Words between white space, a bounded part at a time; ``lower``: with A-Z in lower case."""
+    raw = text.encode().lower() if lower else text.encode()
     at = 0
     while at < len(raw):
         end = raw.find(b" ", at + PART_BYTES) if len(raw) - at > PART_BYTES else -1

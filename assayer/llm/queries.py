@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, chat, line_dedup, quality, suffixes, token_files, toxicity, warc
+from assayer.llm import bpe, chat, line_dedup, ngram_join, quality, suffixes, token_files, toxicity, warc
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +139,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.contract(spark, table(spark, sf_dir, "pages"))
 
 
+@query()
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by shared four-word shingles."""
+    return ngram_join.contract(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, digested."""
