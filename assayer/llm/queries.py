@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, chat, line_dedup, ngram_join, quality, suffixes, token_files, toxicity, warc
+from assayer.llm import bpe, chat, licenses, line_dedup, ngram_join, quality, suffixes, token_files, toxicity, warc
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates that all documents hold."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as files of equal-length sequences, read back per document."""
