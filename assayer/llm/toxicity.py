@@ -25,9 +25,12 @@ from assayer.llm.suffixes import word_parts
 #: Labelled rows that the models are fitted on, at most.
 MOST_LABELLED = 6_000
 FOLDS = 3
-#: Features of a model, documents that a feature needs, steps of a fit.
+#: Features of a model, documents that a feature needs.
 MOST_FEATURES = 1_500
 LEAST_DOCUMENTS = 5
+#: Standard errors by which a feature's share must differ between the classes.
+LEAST_SCORE = 3.5
+#: Steps of a fit.
 STEPS = 100
 #: The labels have one bit. Earlier categories of the chain are labelled texts that hold one of these words; the last category is the label.
 CATEGORIES = {
@@ -86,10 +89,12 @@ def fit(rows: list[np.ndarray], names: list[bytes], earlier: np.ndarray, y: np.n
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     of = np.repeat(y, [len(r) for r in rows]) if rows else np.zeros(0)
     hits, seen = np.bincount(flat, weights=of, minlength=len(names)), np.bincount(flat, minlength=len(names))
-    rate, miss = hits / positive, (seen - hits) / max(len(y) - positive, 1)
-    score = np.where(seen >= LEAST_DOCUMENTS, np.abs(rate - miss) / np.sqrt(rate + miss + 1e-9), -1)
+    negative = max(len(y) - positive, 1)
+    share = seen / max(len(y), 1)
+    spread = np.sqrt(share * (1 - share) * (1 / positive + 1 / negative)) + 1e-9
+    score = np.where(seen >= LEAST_DOCUMENTS, np.abs(hits / positive - (seen - hits) / negative) / spread, 0)
     order = np.argsort(-score, kind="stable")[:MOST_FEATURES]
-    order = order[score[order] > 0]
+    order = order[score[order] > LEAST_SCORE]
     number = np.full(len(names), -1)
     number[order] = np.arange(len(order))
     x = Sparse([(c := number[r])[c >= 0] for r in rows], len(order))
