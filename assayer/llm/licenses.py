@@ -18,6 +18,8 @@ verified by exact containment of the template's shingles in the text around the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,13 +127,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
     empty texts hold none; rows with the same doc_id are put together, rows without one likewise.
     Texts and templates of fewer than five words hold no shingle; such templates are refused.
     """
-    spark = docs.sparkSession
-    windows = template_windows(spark, templates)
-    lists = windows.select("license", "t_words").distinct().collect()  # bounded by the check below
-    if len({name for name, _ in templates}) < len(templates) or len(lists) < len(templates):
+    sizes = [len(re.findall("[a-z0-9]+", text.lower())) for _, text in templates]
+    if len({name for name, _ in templates}) < len(templates) or min(sizes) < SHINGLE:
         raise ValueError("templates need distinct names and five words or more")
-    if (total := sum(len(r.t_words) for r in lists)) > MOST_TEMPLATE_WORDS:
-        raise ValueError(f"templates have {total} words; at most {MOST_TEMPLATE_WORDS} fit")
+    if sum(sizes) > MOST_TEMPLATE_WORDS:
+        raise ValueError(f"templates have {sum(sizes)} words; at most {MOST_TEMPLATE_WORDS} fit")
+    windows = template_windows(docs.sparkSession, templates)
+    lists = windows.select("license", "t_words").distinct().collect()  # bounded by the check above
     longest = max(len(r.t_words) for r in lists)
     vocabulary = sorted({w for r in lists for w in r.t_words})
     keyed = windows.select("license", "t_words", "t_shingles", F.col("at").alias("t_at"), F.explode("keys").alias("key"))

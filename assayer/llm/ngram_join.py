@@ -410,7 +410,8 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     classes = components(found, "classes").withColumnRenamed("node", "rep")
     out = same.join(classes, "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -225,8 +225,6 @@ class Salvager:
             part = self.peek(at, min(WINDOW_BYTES, self.size - at))
             places = sorted({p for mark in (MAGIC, VERSION) for p in self.marks(part, mark)})
             for p in places:
-                if part[p : p + 3] != MAGIC and self.peek(at + p - 1, 1) != b"\n":
-                    continue  # a version line starts a line
                 try:
                     return self.record(at + p)
                 except Damaged:
