@@ -10,11 +10,12 @@ labelled rows (``MOST_LABELLED``, those whose hash is smallest); every document
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,9 +24,9 @@ from assayer.llm.common import text_slices
 from assayer.llm.suffixes import word_parts
 
 #: Labelled rows that the models are fitted on, at most.
-MOST_LABELLED = 6_000
+MOST_LABELLED = 5_000
 FOLDS = 3
-#: Features of a model, documents that a feature needs.
+#: Features of one model, documents that a feature needs.
 MOST_FEATURES = 1_500
 LEAST_DOCUMENTS = 5
 #: Standard errors by which a feature's share must differ between the classes.
@@ -54,11 +55,16 @@ def features(text: str | None) -> set[bytes]:
     return out
 
 
+def hashed(words: set[bytes]) -> np.ndarray:
+    """Sorted 64-bit hashes of features; training works on these, which takes little memory."""
+    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+
+
 @dataclass
 class Linear:
-    """One logistic regression: weights of words, of earlier probabilities, and a bias."""
+    """One logistic regression: weights of features (by hash), of earlier probabilities, and a bias."""
 
-    words: dict[bytes, float]
+    words: dict[int, float]
     earlier: np.ndarray
     bias: float
 
@@ -67,7 +73,7 @@ class Sparse:
     """Sets of feature numbers as rows of a 0/1 matrix, scaled so that each column counts alike."""
 
     def __init__(self, rows: list[np.ndarray], width: int):
-        self.sizes = np.array([len(r) for r in rows])
+        self.sizes = np.array([len(r) for r in rows], np.int64)
         self.columns = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.row_of = np.repeat(np.arange(len(rows)), self.sizes)
         self.height, self.width = len(rows), width
@@ -83,7 +89,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(rows: list[np.ndarray], names: list[bytes], earlier: np.ndarray, y: np.ndarray) -> Linear:
+def fit(rows: list[np.ndarray], names: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Linear:
     """Logistic regression on the features that tell most about ``y``; Adam steps, small L2 penalty."""
     positive = max(int(y.sum()), 1)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -109,23 +115,28 @@ def fit(rows: list[np.ndarray], names: list[bytes], earlier: np.ndarray, y: np.n
         slope[:-1] += 3e-4 * w[:-1]
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Linear({names[k]: float(v) for k, v in zip(order.tolist(), w, strict=False)}, w[len(order) : -1], float(w[-1]))
+    return Linear({int(names[k]): float(v) for k, v in zip(order.tolist(), w, strict=False)}, w[len(order) : -1], float(w[-1]))
 
 
-def predict(model: Linear, rows: list[np.ndarray], names: list[bytes], earlier: np.ndarray) -> np.ndarray:
-    weights = np.array([model.words.get(n, 0.0) for n in names])
+def predict(model: Linear, rows: list[np.ndarray], names: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    weights = np.zeros(len(names))
+    if model.words:
+        weights[np.searchsorted(names, np.fromiter(model.words, np.uint64, len(model.words)))] = list(model.words.values())
     scores = np.array([weights[r].sum() for r in rows])
     return sigmoid(scores + earlier @ model.earlier + model.bias)
 
 
 class Chain:
-    """Models of all categories in order and the probability from which a text is rejected."""
+    """Models of all categories in order and the probability from which a text is rejected.
 
-    def __init__(self, models: list[Linear], threshold: float):
+    ``words``: the features that the models may weigh; all others weigh nothing.
+    """
+
+    def __init__(self, models: list[Linear], threshold: float, words: Iterable[bytes]):
         self.models, self.threshold = models, threshold
-        self.names = sorted({w for m in models for w in m.words})
-        self.number = {w: k for k, w in enumerate(self.names)}
-        self.weights = np.array([[m.words.get(w, 0.0) for m in models] for w in self.names]).reshape(len(self.names), len(models))
+        keyed = sorted((w, xxhash.xxh3_64_intdigest(w)) for w in set(words))
+        self.number = {w: k for k, (w, _) in enumerate(keyed)}
+        self.weights = np.array([[m.words.get(h, 0.0) for m in models] for _, h in keyed]).reshape(len(keyed), len(models))
 
     def probabilities(self, text: str | None) -> list[float]:
         found = self.number.keys() & features(text)
@@ -137,26 +148,29 @@ class Chain:
         return out
 
 
-def train(texts: list[set[bytes]], toxic: np.ndarray, categories: dict = CATEGORIES) -> Chain:
-    """Fit the chain. Without positive rows every text gets the smallest probability and none is rejected."""
-    df = Counter(w for t in texts for w in t)
-    names = sorted(w for w, n in df.items() if n >= LEAST_DOCUMENTS)
-    number = {w: k for k, w in enumerate(names)}
-    rows = [np.array(sorted(number[w] for w in t if w in number), np.int64) for t in texts]
+def train(rows: list[np.ndarray], targets: list[np.ndarray]) -> tuple[list[Linear], float]:
+    """Models of the chain and its threshold, from hashed features and one 0/1 target per category.
+
+    Without positive rows every text gets the smallest probability and none is rejected.
+    """
+    names, df = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.uint64), return_counts=True)
+    names = names[df >= LEAST_DOCUMENTS]
+    for k, row in enumerate(rows):
+        at = np.minimum(np.searchsorted(names, row), max(len(names) - 1, 0))
+        rows[k] = at[names[at] == row] if len(names) else at[:0]
     folds = np.arange(len(rows)) % FOLDS
     earlier = np.zeros((len(rows), 0))
     models: list[Linear] = []
-    y, held_out = toxic.astype(float), np.zeros(len(rows))
-    for words in categories.values():
-        y = toxic.astype(float) if words is None else np.array([float(t and bool(words & x)) for t, x in zip(toxic, texts, strict=True)])
-        held_out = np.zeros(len(rows))
+    y = held_out = np.zeros(len(rows))
+    for target in targets:
+        y, held_out = target.astype(float), np.zeros(len(rows))
         for k in range(FOLDS):
             fit_on, held = np.flatnonzero(folds != k), np.flatnonzero(folds == k)
             part = fit([rows[i] for i in fit_on], names, earlier[fit_on], y[fit_on])
             held_out[held] = predict(part, [rows[i] for i in held], names, earlier[held])
         models.append(fit(rows, names, earlier, y))
         earlier = np.concatenate([earlier, held_out[:, None]], 1)
-    return Chain(models, best_threshold(held_out, y))
+    return models, best_threshold(held_out, y)
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -172,21 +186,40 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order][k] + below) / 2, 0.05, 0.95))
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Chain:
-    """Fit on at most ``most`` labelled documents, those whose hashed doc_id is smallest."""
+def fit_chain(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, categories: dict = CATEGORIES) -> Chain:
+    """Fit on at most ``most`` labelled documents, those whose hashed doc_id is smallest.
+
+    Hashes of their features come to the driver; the words of the features that the models
+    use (at most ``MOST_FEATURES`` per category) are looked up in a second pass over them.
+    """
     picked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     picked = F.broadcast(picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # bounded by ``most``
     rows = docs.select("doc_id", "text").join(picked, "doc_id").select(F.col("doc_id").cast("long"), F.col("__toxic").cast("long"), "text")
 
+    held = list(categories.values())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in text_slices(batch.column(2)):
                 part = batch.slice(start, stop - start)
-                words = pa.array([b" ".join(sorted(features(x))) for x in part.column(2).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), words], names=["doc_id", "toxic", "words"])
+                found = [features(x) for x in part.column(2).to_pylist()]
+                marks = [sum(1 << k for k, words in enumerate(held) if words is None or words & x) for x in found]
+                columns = [part.column(0), part.column(1), pa.array(marks, pa.int64()), pa.array([hashed(x).tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "marks", "hashes"])
+
+    got = rows.mapInArrow(run, "doc_id long, toxic long, marks long, hashes binary").toArrow().sort_by([("doc_id", "ascending"), ("hashes", "ascending")])
+    toxic, marks = (np.array(got[c].to_pylist(), np.int64) for c in ("toxic", "marks"))
+    models, threshold = train([np.frombuffer(x.as_py(), np.uint64) for x in got["hashes"]], [(toxic > 0) & (marks >> k & 1 > 0) for k in range(len(held))])
+    del got
+    used = {h for m in models for h in m.words}
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = {w for x in batch.column(0) for w in features(x.as_py()) if xxhash.xxh3_64_intdigest(w) in used}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.binary())], names=["word"])
 
-    got = rows.mapInArrow(run, "doc_id long, toxic long, words binary").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
-    return train([set(x.split()) for x in got["words"].to_pylist()], np.array(got["toxic"].to_pylist(), int) > 0)
+    words = rows.select("text").mapInArrow(named, "word binary").distinct().collect() if used else []
+    return Chain(models, threshold, (bytes(r.word) for r in words))
 
 
 def score(docs: DataFrame, chain: Chain, categories: dict = CATEGORIES) -> DataFrame:
