@@ -28,36 +28,36 @@ def positions(
     ordinal: str,
     out: str = "position",
     ties: tuple[str, ...] = (),
-    block_bits: int = 16,
+    large: int = 200_000,
+    pieces: int = 256,
 ) -> DataFrame:
     """Zero-based position of each row inside its group, by ``ordinal``.
 
-    A plain ``row_number`` puts a whole group into one task. Here a group is cut
-    into blocks of the ordinal (at most 2**block_bits distinct values each), so a
-    group holding a third of all rows is ranked by many tasks; only the block
-    counts of a group meet in one window. ``keys`` must not be NULL.
+    A group of up to ``large`` rows is numbered by one window. A larger one is cut at
+    quantiles of its ordinals into ``pieces`` blocks of about equal numbers of rows,
+    which are numbered apart and moved up by the rows of the blocks before; only the
+    block counts of such a group meet in one window. Groups are counted by partial
+    aggregates. ``keys`` must not be NULL.
     """
-    block = F.shiftright(F.col(ordinal).cast("bigint"), block_bits)
-    blocked = df.withColumn("__block", block)
+    place = F.col(ordinal).cast("bigint")
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > large).select(*keys)
+    shares = [(k + 1) / pieces for k in range(pieces - 1)]
+    cuts = df.join(big, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(place, shares, 10 * pieces).alias("__cuts"))
+    # equal cuts fall together, so ties of the ordinal stay in one block
+    block = F.coalesce(F.size(F.filter("__cuts", lambda c: c < place)), F.lit(0))
+    blocked = df.join(cuts, keys, "left").withColumn("__block", F.when(F.col("__cuts").isNull(), 0).otherwise(block)).drop("__cuts")
+    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        blocked.groupBy(*keys, "__block")
+        blocked.join(big, keys, "left_semi")
+        .groupBy(*keys, "__block")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn(
-            "__offset",
-            F.coalesce(
-                F.sum("__n").over(
-                    Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("__n")
+        .select(*keys, "__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
     )
     inside = Window.partitionBy(*keys, "__block").orderBy(ordinal, *ties)
     return (
         blocked.withColumn("__rn", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, "__block"])
-        .withColumn(out, (F.col("__offset") + F.col("__rn")).cast("bigint"))
+        .join(offsets, [*keys, "__block"], "left")
+        .withColumn(out, (F.coalesce("__offset", F.lit(0)) + F.col("__rn")).cast("bigint"))
         .drop("__block", "__rn", "__offset")
     )
 

@@ -129,5 +129,5 @@ def with_template_comment(df: DataFrame, placeholders: list[str], templates: Dat
         filled = F.replace(filled, F.lit("{" + name + "}"), t.txt(F.col(name)))
     filled = F.regexp_replace(filled, r"\{[A-Za-z_]+\}", "")
     return (
-        df.join(F.broadcast(counted), ["family", "class_key"], "left").withColumn("comment", filled).drop("__templates")
+        df.join(counted, ["family", "class_key"], "left").withColumn("comment", filled).drop("__templates")
     )

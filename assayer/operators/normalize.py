@@ -128,7 +128,7 @@ def stamped(comment: Column, run_date: str, reviewer: str = "", tool: str = "Ass
     )
 
 
-def truncated(comment: Column, max_length: int) -> Column:
+def truncated(comment: Column, max_length: int | None) -> Column:
     if not max_length:
         return comment
     cut = F.concat(F.rtrim(F.substring(comment, 1, max_length - 1), F.lit(t.WHITESPACE)), F.lit("…"))

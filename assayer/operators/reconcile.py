@@ -32,7 +32,7 @@ def first_per_cid(df: DataFrame, max_findings: int | None = None) -> DataFrame:
 
 
 def push_rows(
-    findings: DataFrame, run_date: str, reviewer: str = "", stamp: bool = True, max_comment: int = 4000, tool: str = "Assayer"
+    findings: DataFrame, run_date: str, reviewer: str = "", stamp: bool = True, max_comment: int | None = None, tool: str = "Assayer"
 ) -> DataFrame:
     """Rows to write back: cid, classification, comment, checker, file, line, ordinal."""
     base = F.col("base_classification") if "base_classification" in findings.columns else F.lit("Bug")
@@ -71,13 +71,12 @@ def validate(rows: DataFrame, server: DataFrame) -> DataFrame:
         .drop("__n")
     )
     found = rows.join(ids, "cid", "left").withColumn("file_name", t.basename(F.col("file")))
-    exact, rest = found.where(F.col("__by_cid")), found.where(F.col("__by_cid").isNull())
-    cols = rows.columns
-    matched = exact.select(*cols, F.col("cid").alias("server_cid"), F.lit("cid").alias("match"))
-    others = rest.join(unique, ["checker", "file_name"], "left").select(
-        *cols, F.col("__sig_cid").alias("server_cid"), F.when(F.col("__sig_cid").isNotNull(), "signature").otherwise("").alias("match")
+    by_cid, by_signature = F.col("__by_cid").isNotNull(), F.col("__sig_cid").isNotNull()
+    return found.join(unique, ["checker", "file_name"], "left").select(
+        *rows.columns,
+        F.when(by_cid, F.col("cid")).otherwise(F.col("__sig_cid")).alias("server_cid"),
+        F.when(by_cid, "cid").when(by_signature, "signature").otherwise("").alias("match"),
     )
-    return matched.unionByName(others)
 
 
 def validation_report(validated: DataFrame) -> DataFrame:

@@ -50,14 +50,15 @@ DISPATCH = {
     "CHECKED_QRS": "CHECKED_RETURN",
 }
 
-# Facts a rule may name in ``needs``; a missing column gets this default.
+# Facts a rule may name in ``needs``; a missing column gets this default. A number of
+# callers that is not known is not zero.
 FACTS = {
     "defect_confirmed": "false", "taint_confirmed": "false", "guard_on_path": "false", "guard_takes_true": "false",
     "size_equal_in_trace": "false", "size_equal_in_code": "false", "trace_validates": "false", "src_bounded": "false",
     "memset_before": "false", "null_guard_covers": "false", "null_guard_before": "false", "null_guard_inside": "false",
     "guarded_by_flag": "false", "caller_exempt": "false", "guard_covers": "false",
     "origin": "''", "sink_func": "''", "release_func": "''", "corroborated_by": "''", "null_var": "''", "var": "''",
-    "guard_line": "0", "null_guard_line": "0", "dest_size": "0", "copy_size": "0", "n_callers": "0", "n_lines": "0",
+    "guard_line": "0", "null_guard_line": "0", "dest_size": "0", "copy_size": "0", "n_callers": "-1", "n_lines": "0",
 }
 
 

@@ -628,7 +628,7 @@ def data_flow(lines: Column, var: Column, rel: Column) -> Column:
             .when(t.matches(s, assigns), F.when(t.matches(s, taints), "taint-src").otherwise("assigned"))
             .when((i == rel) & t.matches(s, t.word(var)), "used")
         )
-        return F.when(event.isNotNull(), F.struct(i.alias("i"), event.alias("event"), F.substring(s, 1, 80).alias("text")))
+        return F.when(event.isNotNull(), F.struct(i.alias("i"), event.alias("event"), s.alias("text")))
 
     return F.when(var == "", F.array().cast("array<struct<i:int,event:string,text:string>>")).otherwise(
         F.filter(F.transform(lines, one), lambda e: e.isNotNull())
@@ -770,15 +770,15 @@ def first_declaration(code: Column, var: Column) -> Column:
 
 
 # --- G7 callees ---------------------------------------------------------------------------------------
-def callees(df: DataFrame, top: int = 5) -> DataFrame:
-    """First callees of each snippet (G7): cid, rank, callee.
+def callees(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Callees of each snippet in order (G7): cid, rank, callee; ``top`` keeps the first ones.
 
     Order is by the place of 'name('; a name only written with a blank before the
     parenthesis has no such place and comes first. Equal places sort by name.
     """
     names = F.array_distinct(F.filter(F.regexp_extract_all("code", F.lit(r"\b(\w+)\s*\("), 1), lambda x: ~x.isin(*dim.SKIPPED_CALLEES)))
     placed = F.array_sort(F.transform(names, lambda x: F.struct(F.instr(F.col("code"), F.concat(x, F.lit("("))).alias("p"), x.alias("callee"))))
-    return df.select("cid", F.posexplode(F.slice(placed, 1, top)).alias("rank", "c")).select(
+    return df.select("cid", F.posexplode(placed if top is None else F.slice(placed, 1, top)).alias("rank", "c")).select(
         "cid", (F.col("rank") + 1).alias("rank"), F.col("c.callee").alias("callee")
     )
 

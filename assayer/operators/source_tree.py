@@ -104,7 +104,7 @@ def functions(facts: DataFrame) -> DataFrame:
         "path",
         F.col("fn_start").alias("start_line"),
         F.coalesce("fn_end", "last_line").alias("end_line"),
-        F.substring(t.strip(F.col("text")), 1, 120).alias("signature"),
+        t.strip(F.col("text")).alias("signature"),
     )
 
 
@@ -214,7 +214,7 @@ def call_sites(lines: DataFrame) -> DataFrame:
         F.explode(callees_in(F.col("text"))).alias("callee"),
         "path",
         "line_no",
-        F.substring(t.strip(F.col("text")), 1, 100).alias("snippet"),
+        t.strip(F.col("text")).alias("snippet"),
         *extra,
     )
 

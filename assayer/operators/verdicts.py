@@ -200,10 +200,9 @@ def caller_answers(asked: DataFrame, call_sites: DataFrame) -> DataFrame:
     are never paired.
     """
     asked = asked.where((F.col("callee") != "") & (F.col("arg_pos") > 0)).select(*QUESTION).distinct()
-    first = F.regexp_extract("snippet", r"\b(\w+)\s*\(", 1)
     q = (
         call_sites.where(F.col("snippet") != "")
-        .withColumn("args", sn.call_arguments(F.col("snippet"), first))
+        .withColumn("args", sn.call_arguments(F.col("snippet"), F.col("callee")))
         .join(asked, "callee")
         .withColumn("arg", F.get("args", F.col("arg_pos") - 1))
         .withColumn("lines", lines_of(F.col("body")))
@@ -357,11 +356,27 @@ def gather(findings: DataFrame, trace: DataFrame, code: DataFrame | None = None)
     return df.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in fill.items()})
 
 
+def with_caller_count(df: DataFrame, call_sites: DataFrame | None) -> DataFrame:
+    """Number of call sites of each finding's function: ``n_callers``; NULL without a call graph or a function name.
+
+    Sites are counted per callee before they meet the findings. A definition line is no call.
+    """
+    if call_sites is None:
+        return df.withColumn("n_callers", F.lit(None).cast("bigint"))
+    used = call_sites.where(~F.col("callee").eqNullSafe(F.col("caller"))).groupBy(F.col("callee").alias("__callee")).agg(F.count(F.lit(1)).alias("n_callers"))
+    name = F.regexp_extract(t.txt(F.col("function")), r"(\w+)\s*(?:\(.*)?$", 1)
+    out = df.withColumn("__name", name).join(used, F.col("__name") == F.col("__callee"), "left")
+    count = F.when(F.col("__name") != "", F.coalesce("n_callers", F.lit(0))).cast("bigint")
+    return out.withColumn("n_callers", count).drop("__name", "__callee")
+
+
 def judge(df: DataFrame, book: rules.RuleBook = rules.DEFAULT_BOOK, call_sites: DataFrame | None = None) -> DataFrame:
     """Gathered findings to verdicts: classification, confidence, reasons, evidence."""
-    for name, default in (("used_fallback", False), ("line_is_various", False), ("corroborated_by", ""), ("n_callers", 0)):
+    for name, default in (("used_fallback", False), ("line_is_various", False), ("corroborated_by", "")):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(default))
+    if "n_callers" not in df.columns:
+        df = with_caller_count(df, call_sites)
     df = df.withColumn("rule_set", rules.rule_set(F.col("checker"), F.col("code") != "", book))
     answers = None
     if call_sites is not None:

@@ -17,6 +17,7 @@ from assayer.operators import decision, rules, snippets as sn, source_tree as st
 from assayer.operators import verdicts as vd
 from assayer.plans import views as v
 from assayer.plans.registry import flag, query, quoted_list
+from assayer.session import staged
 
 FACTS = [
     "cid", "checker", "function", "code",
@@ -212,7 +213,8 @@ FROM v_code c LEFT JOIN (SELECT a.cid, count(*) FILTER (x.arg_n IS NOT NULL AND
         "v_passed": """
 SELECT callee, arg, try_cast(arg AS BIGINT) AS arg_n, guarded FROM (
  SELECT 'fn_' || ((p_partkey + 1) % 211) AS callee, CASE p_partkey % 3 WHEN 0 THEN (p_size % 60)::VARCHAR WHEN 1 THEN 'n' ELSE 'atoi(src)' END AS arg,
-  p_partkey % 3 = 1 AS guarded, p_partkey FROM part)"""
+  p_partkey % 3 = 1 AS guarded, p_partkey FROM part
+ UNION ALL SELECT 'fn_' || ((p_partkey * 7) % 211), 'n', p_partkey % 5 IN (1, 3), p_partkey FROM part WHERE p_partkey % 8 = 3)"""
     },
 )
 def caller_evidence(spark, d):
@@ -229,13 +231,13 @@ def _with_access(code):
 
 
 def _passing_sites(spark, d):
-    """The thirteenth line of each snippet calls another function: one site per part."""
-    s = sn.prepare(v.code(spark, d))
-    snippet = t.strip(F.get("lines", F.lit(12)))
-    return s.select(
-        F.regexp_extract(snippet, r"^(\w+)\(", 1).alias("callee"), F.col("cid").cast("string").alias("path"), (F.col("code_start_line") + 12).alias("line_no"), snippet.alias("snippet"),
-        F.col("function").alias("caller"), F.col("code_start_line").alias("caller_start"), F.col("code").alias("body"),
+    """All calls on all lines of all snippets; the line that defines a function is no call of it."""
+    lines = v.code(spark, d).select("cid", "function", "code_start_line", "code", F.posexplode(F.split("code", "\n")).alias("i", "text"))
+    sites = lines.select(
+        F.explode(F.array_distinct(st.callees_in(F.col("text")))).alias("callee"), F.col("cid").cast("string").alias("path"), (F.col("code_start_line") + F.col("i")).alias("line_no"),
+        t.strip(F.col("text")).alias("snippet"), F.col("function").alias("caller"), F.col("code_start_line").alias("caller_start"), F.col("code").alias("body"),
     )
+    return sites.where("callee <> caller OR line_no <> caller_start")
 
 
 def _verdicts(spark, d):
@@ -263,8 +265,8 @@ def tree_verdicts(spark, d):
     funcs = st.functions(facts)
     placed = v.code(spark, d).selectExpr("cid", f"{v.FILE_NO} AS file_no", "checker", "function", "cid % 140 AS line").selectExpr("cid", f"{v.FILE_PATH} AS path", "checker", "function", "line")
     code = st.attach_code(placed, funcs, files)
-    sites = st.call_sites(facts)
-    counts = sites.groupBy(F.col("callee").alias("fn_name")).agg(F.count(F.lit(1)).alias("n_callers"))
-    findings = code.join(counts, "fn_name", "left").withColumn("n_callers", F.coalesce("n_callers", F.lit(0)))
-    out = vd.analyze(findings.select("cid", "checker", "function", "line", "n_callers", "code", "code_start_line"), v.trace(spark, d))
+    located = st.callers(placed.select(F.col("function").alias("callee")), st.call_sites(facts).where("NOT (is_start AND callee = fn_name)"))
+    bodies = st.function_bodies(funcs, files).select("path", F.col("start_line").alias("caller_start"), "body")
+    sites = located.join(bodies, ["path", "caller_start"], "left").withColumn("body", t.txt(F.col("body")))
+    out = vd.analyze(code.select("cid", "checker", "function", "line", "code", "code_start_line"), v.trace(spark, d), call_sites=staged(sites, "call-sites"))
     return out.select("cid", "checker", "classification", "confidence")

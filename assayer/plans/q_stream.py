@@ -31,9 +31,10 @@ def running_counts(spark, d):
 def stream_upsert(spark, d):
     """The last action per finding, one table version per micro-batch."""
     table = scratch_dir(spark, "decisions")
-    q = live.upsert_stream(_stream(spark, d, "events").selectExpr(*v.DECISIONS), table, scratch_dir(spark, "decisions-state"))
+    rows = _stream(spark, d, "events").selectExpr(*v.DECISIONS)
+    q = live.upsert_stream(rows, table, scratch_dir(spark, "decisions-state"))
     q.awaitTermination()
-    return live.latest_version(spark, table, q.lastProgress["batchId"]).select("cid", "ordinal", "classification", "comment")
+    return live.latest_version(spark, table, q, rows.schema).select("cid", "ordinal", "classification", "comment")
 
 
 @query("SELECT DISTINCT cid FROM v_decisions")

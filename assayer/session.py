@@ -30,11 +30,14 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "assay
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written intermediate tables and stream checkpoints.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only where
-    that is unset (tests on one machine) a local temporary folder is used.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Where that is unset,
+    a session on one machine takes a temporary folder and any other one is refused:
+    its executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -69,15 +69,29 @@ def trace_from_events(findings: DataFrame) -> DataFrame:
     return rows.select("cid", F.col("ordinal").cast("bigint").alias("ordinal"), "e.*").drop("type")
 
 
-def flatten_events(trees: DataFrame, json: str = "events", depth: int = 8) -> DataFrame:
+def flatten_events(trees: DataFrame, json: str = "events", depth: int | None = None) -> DataFrame:
     """Nested event trees to a flat trace in pre-order.
 
-    Each level is one nested ``transform`` inside the row, so nothing is shuffled.
-    A tree deeper than ``depth`` raises an error instead of losing events.
+    Each level is one nested ``transform`` inside the row, so nothing is shuffled. The
+    number of levels is looked up in the data, doubled until no tree is deeper; with a
+    given ``depth`` a deeper tree raises an error instead of losing events.
     """
 
+    def children(text: Column) -> Column:
+        return F.filter(F.from_json(text, "ARRAY<STRING>"), lambda e: e.startswith("{"))
+
+    def deeper(text: Column, left: int) -> Column:
+        if left == 0:
+            return F.coalesce(F.size(children(text)) > 0, F.lit(False))
+        return F.coalesce(F.exists(children(text), lambda e: deeper(F.get_json_object(e, "$.events"), left - 1)), F.lit(False))
+
+    if depth is None:
+        depth = 4
+        while not trees.where(deeper(F.col(json), depth)).isEmpty():
+            depth *= 2
+
     def level(text: Column, left: int) -> Column:
-        nodes = F.filter(F.from_json(text, "ARRAY<STRING>"), lambda e: e.startswith("{"))
+        nodes = children(text)
         if left == 0:
             return F.when(F.size(nodes) > 0, F.raise_error(F.lit(f"event tree deeper than {depth}")).cast("array<string>"))
         return F.flatten(

@@ -11,7 +11,7 @@ from assayer.functions import text as t
 # Column patterns
 CID = r"^\d+$"
 CHECKER = r"^[A-Z][A-Z_\d]+$"
-LINE = r"^\d{1,5}$"
+LINE = r"^\d+$"
 HASH = r"^[0-9a-fA-F]{16,}$"
 IDENT = r"^[A-Za-z_][A-Za-z0-9_]*$"
 
@@ -116,7 +116,7 @@ def findings_from_rows(rows: DataFrame) -> DataFrame:
         return F.regexp_replace(x, r"\(.*\)\s*$", "")
 
     def plausible(x: Column) -> Column:
-        return ~F.lower(x).isin(*dim.NOT_A_FUNCTION) & ~x.rlike(HASH) & x.rlike(IDENT) & (F.length(x) < 60)
+        return ~F.lower(x).isin(*dim.NOT_A_FUNCTION) & ~x.rlike(HASH) & x.rlike(IDENT)
 
     headed = bare(t.txt(F.get(cells, F.col("function_col"))))
     guesses = F.filter(
@@ -176,7 +176,7 @@ def resolve_links(findings: DataFrame, listing: DataFrame) -> DataFrame:
 
 # Line formats of a detail page
 EVENT_LINE = r"^\((\d+)\)\s+Event\s+([A-Za-z][\w.-]*)\s*:(.*)$"
-CODE_LINE = r"^(\d{1,6})\s+(.*)$"
+CODE_LINE = r"^(\d+)\s+(.*)$"
 
 
 def detail_lines(pages: DataFrame) -> DataFrame:

@@ -101,5 +101,13 @@ def audit_rows(results: DataFrame) -> DataFrame:
     )
 
 
-def write_audit(results: DataFrame, path: str) -> None:
-    audit_rows(results).write.mode("append").json(path)
+def write_audit(results: DataFrame, path: str, run: str) -> None:
+    """The log of a run, as JSON in its own partition: a repeated run replaces its rows and no others."""
+    (
+        audit_rows(results)
+        .withColumn("run", F.lit(run))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run")
+        .json(path)
+    )

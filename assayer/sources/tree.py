@@ -18,11 +18,12 @@ def list_tree(spark: SparkSession, root: str, extensions: list[str] | None = Non
     return files.load(root).select(rel.alias("path"), "length")
 
 
-def scan_tree(spark: SparkSession, root: str, for_calls: bool = True) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, for_calls: bool = True, max_bytes: int | None = None) -> DataFrame:
     """Source files: path, content, length.
 
-    Extension is a listing glob and size a pushed filter, so neither unwanted
-    nor oversized files are opened. Build and tool folders are left out.
+    Extension is a listing glob, so unwanted files are not opened. Build and tool
+    folders are left out. Files of any size are read; with ``max_bytes`` the caller
+    leaves larger ones out, unopened.
     """
     exts = dim.CALL_INDEX_EXTENSIONS if for_calls else dim.SYMBOL_INDEX_EXTENSIONS
     pruned = dim.PRUNED_FOR_CALLS if for_calls else dim.PRUNED_FOLDERS
@@ -32,8 +33,9 @@ def scan_tree(spark: SparkSession, root: str, for_calls: bool = True) -> DataFra
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{" + ",".join(exts) + "}")
         .load(root)
-        .where(F.col("length") <= dim.MAX_SOURCE_BYTES)
     )
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= max_bytes)
     rel = F.substring_index(F.col("path"), base, -1)
     folder = "(^|/)(" + "|".join(d.replace(".", r"\.") for d in pruned) + ")/"
     return files.where(~rel.rlike(folder)).select(

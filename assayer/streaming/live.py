@@ -52,8 +52,12 @@ def upsert_stream(decisions: DataFrame, table: str, checkpoint: str) -> Streamin
     )
 
 
-def latest_version(spark: SparkSession, table: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{table}/v={version}")
+def latest_version(spark: SparkSession, table: str, query: StreamingQuery, schema: StructType) -> DataFrame:
+    """The table as the last batch left it; empty where no batch ran."""
+    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(f"{table}/v={max(done)}")
 
 
 def drain(result: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -81,10 +85,10 @@ def current(updates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stream_tables(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A given table read as a stream of its files."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    """A given table read as a stream of its files: one file, or a folder of files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    is_folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if is_folder:
+        return stream.parquet(f"{folder}/{name}.parquet")
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)

@@ -141,7 +141,7 @@ def test_upsert_repeats_without_change(spark):
 
 def test_positions_of_a_hot_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 10 == 0, F.lit("cold")).otherwise("hot").alias("k"), (F.col("id") * 37).alias("o")).repartition(6)
-    got = positions(df, ["k"], "o", block_bits=8).orderBy("k", "o").collect()
+    got = positions(df, ["k"], "o", large=100, pieces=8).orderBy("k", "o").collect()
     for key in ("hot", "cold"):
         assert [r["position"] for r in got if r["k"] == key] == list(range(sum(r["k"] == key for r in got)))
 
