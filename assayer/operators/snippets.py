@@ -191,6 +191,7 @@ def provenance(df: DataFrame, var: str, hops: int = 3, prefix: str = "origin") -
                         )
                     ).alias("p"),
                     i.alias("i"),
+                    F.when(x.rlike(rf"\b(?:{_TAINT_ANY})\b"), F.regexp_extract_all(x, F.lit(r"\b(\w+)\b"), 1)).alias("words"),
                     x.alias("x"),
                 ),
             ),
@@ -203,9 +204,11 @@ def provenance(df: DataFrame, var: str, hops: int = 3, prefix: str = "origin") -
     hits = []
     for k in range(hops):
         cur = F.col(f"__cur{k}")
-        best = F.array_min(
-            F.transform(F.filter("__tainted", lambda s: t.matches(s["x"], t.word(cur))), lambda s: F.struct(s["p"].alias("p"), s["i"].alias("i")))
+        # a plain name is one of the words of a line; only other texts need a pattern of their own
+        names = F.when(cur.rlike(r"^\w+$"), F.filter("__tainted", lambda s: F.array_contains(s["words"], cur))).otherwise(
+            F.filter("__tainted", lambda s: t.matches(s["x"], t.word(cur)))
         )
+        best = F.array_min(F.transform(names, lambda s: F.struct(s["p"].alias("p"), s["i"].alias("i"))))
         df = df.withColumn(f"__hit{k}", F.when(cur.isNotNull(), best))
         hits.append(k)
         if k + 1 == hops:

@@ -161,26 +161,38 @@ def enclosing_function(findings: DataFrame, funcs: DataFrame, line: str = "line"
     return findings.join(hit, ["path", line], "left")
 
 
-def attach_code(findings: DataFrame, funcs: DataFrame, files: DataFrame, line: str = "line") -> DataFrame:
-    """Code of each finding (G3): its function, else 50 lines around it.
+def attach_code(findings: DataFrame, funcs: DataFrame, files: DataFrame, line: str = "line", reach: int = 25) -> DataFrame:
+    """Code of each finding (G3): its function, else ``reach`` lines on either side of it.
 
     Adds code, code_start_line, code_source ('function', 'window' or 'none').
     """
-    placed = enclosing_function(findings, funcs, line).join(files.select("path", "content"), "path", "left")
-    every = lines_of(F.col("content"))
-    at = F.coalesce(F.col(line), F.lit(0))
-    from0, to = F.greatest(F.lit(0), at - 25), F.least(F.size(every), at + 25)
-    window = F.slice(every, (from0 + 1).cast("int"), F.greatest(to - from0, F.lit(0)).cast("int"))
-    span = F.slice(every, F.col("fn_start"), F.col("fn_end") - F.col("fn_start") + 1)
     has_fn = F.col("fn_start").isNotNull()
+    at = F.coalesce(F.col(line), F.lit(0))
+    first = F.when(has_fn, F.col("fn_start")).otherwise(F.greatest(F.lit(0), at - reach) + 1).cast("bigint")
+    last = F.when(has_fn, F.col("fn_end")).otherwise(at + reach).cast("bigint")
+    placed = enclosing_function(findings, funcs, line).withColumns({"__from": first, "__to": last})
+    bodies = line_ranges(placed.select("path", "__from", "__to"), files)
     return (
-        placed.withColumn("code", F.when(F.col("content").isNull(), "").when(has_fn, F.array_join(span, "\n")).otherwise(F.array_join(window, "\n")))
-        .withColumn("code_start_line", F.when(has_fn, F.col("fn_start")).otherwise(from0 + 1).cast("bigint"))
+        placed.join(bodies, ["path", "__from", "__to"], "left")
+        .withColumns({"code": t.txt(F.col("__text")), "code_start_line": F.col("__from")})
         .withColumn("code_source", F.when(F.col("code") == "", "none").when(has_fn, "function").otherwise("window"))
-        .drop("content", "fn_start", "fn_end")
+        .drop("fn_start", "fn_end", "__from", "__to", "__text")
     )
 
 
+def line_ranges(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """Text of ranges of lines (path, __from, __to): adds __text, one row per distinct range.
+
+    A file is split into lines once, however many ranges of it are wanted, and each
+    range is cut once, however many findings lie in it.
+    """
+    ranges = wanted.groupBy("path").agg(F.collect_set(F.struct("__from", "__to")).alias("__ranges"))
+    split = files.select("path", "content").join(ranges, "path").select("path", "__ranges", F.inline(F.array(F.struct(lines_of(F.col("content")).alias("__every")))))
+    size = F.greatest(F.lit(0), F.least(F.col("__r.__to"), F.size("__every")) - F.col("__r.__from") + 1)
+    cut = F.array_join(F.slice("__every", F.col("__r.__from").cast("int"), size.cast("int")), "\n")
+    return split.select("path", "__every", F.explode("__ranges").alias("__r")).select("path", "__r.__from", "__r.__to", cut.alias("__text"))
+
+
 def line_window(findings: DataFrame, lines: DataFrame, reach: int = 15) -> DataFrame:
     """Numbered lines around each finding, the flagged one marked (G4): path, line, snippet.
 
