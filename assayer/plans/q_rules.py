@@ -6,8 +6,6 @@ that the check can state the same facts; `verdicts` reads them from trace and co
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from assayer import dimensions as dim
@@ -15,6 +13,7 @@ from assayer.functions import text as t
 from assayer.operators import categories as cat
 from assayer.operators import decision, rules, snippets as sn, source_tree as st
 from assayer.operators import verdicts as vd
+from assayer.plans import rule_checks as checks
 from assayer.plans import views as v
 from assayer.plans.registry import flag, query, quoted_list
 from assayer.session import staged
@@ -35,38 +34,17 @@ FACTS = [
 ]
 
 
-def _sql(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _rule_sql(i: int, r: rules.Rule) -> str:
-    """A rule row as an expression of the check."""
-    tests = [f"rule_set IN ({quoted_list(rules.SHARED_SETS)})" if r.rule_set == rules.SHARED else f"rule_set = '{r.rule_set}'"]
-    m = lambda p: f"regexp_matches(code, {_sql(p)})"
-    tests += [f"({r.needs})"] if r.needs else []
-    tests += [m(p) for p in r.all] + [f"NOT {m(p)}" for p in r.none]
-    either = [m(p) for p in r.any] + ([f"({r.or_needs})"] if r.or_needs else [])
-    tests += ["(" + " OR ".join(either) + ")"] if either else []
-    if r.absent:
-        kinds = "e.polarity = 'fp'" if r.absent == "fp" else "e.polarity <> 'neutral'"
-        tests.append(f"len(list_filter(ev1, lambda e: {kinds})) = 0")
-    text = " || ".join(f"{p[1:-1]}::VARCHAR" if p.startswith("{") else _sql(p) for p in re.split(r"(\{\w+\})", r.text) if p)
-    return f"CASE WHEN {' AND '.join(tests)} THEN {{'seq': {i}, 'label': '{r.label}', 'polarity': '{r.polarity}', 'w': {r.weight_c}, 'text': {text}}} END"
-
-
-_NUM = list(enumerate(rules.RULES))
-_SET = "CASE checker " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s in rules.DISPATCH.items()) + " ELSE 'GENERIC' END"
 _BLANK = ("origin", "sink_func", "release_func", "corroborated_by", "guard_line", "guard_covers")
 _DEF = {"origin": "''", "sink_func": "''", "release_func": "''", "corroborated_by": "''", "guard_line": "0", "guard_covers": "false"}
 RULED = {
-    "v_fact0": "SELECT " + ", ".join(FACTS) + f", {_SET} AS rule_set FROM v_code",
+    "v_fact0": "SELECT " + ", ".join(FACTS) + f", {checks.RULE_SET} AS rule_set FROM v_code",
     "v_fact1": "SELECT * REPLACE (" + ", ".join(f"CASE WHEN rule_set = 'GENERIC' THEN {_DEF[c]} ELSE {c} END AS {c}" for c in _BLANK) + "), len(string_split(code, chr(10))) AS n_lines FROM v_fact0",
-    "v_fire1": "SELECT *, list_filter([" + ", ".join(_rule_sql(i, r) for i, r in _NUM if not r.absent) + "], lambda x: x IS NOT NULL) AS ev1 FROM v_fact1",
-    "v_fire": "SELECT cid, checker, rule_set, list_concat(ev1, list_filter([" + ", ".join(_rule_sql(i, r) for i, r in _NUM if r.absent) + "], lambda x: x IS NOT NULL)) AS ev FROM v_fire1",
+    "v_fire1": "SELECT *, list_filter([" + ", ".join(checks.FIRST) + "], lambda x: x IS NOT NULL) AS ev1 FROM v_fact1",
+    "v_fire": "SELECT cid, checker, rule_set, list_concat(ev1, list_filter([" + ", ".join(checks.LATER) + "], lambda x: x IS NOT NULL)) AS ev FROM v_fire1",
     "v_ev": "SELECT cid, e.seq AS seq, e.label AS label, e.polarity AS polarity, e.w AS w, e.text AS text FROM (SELECT cid, unnest(ev) AS e FROM v_fire)",
     "v_score": f"""
-SELECT c.cid, coalesce(sum(w) FILTER (polarity = 'bug'), 0)::INT AS b, coalesce(sum(w) FILTER (polarity = 'fp'), 0)::INT AS f, coalesce(max(label IN ({quoted_list(dim.CRITICAL_BUG)})), false) AS cb,
- coalesce(max(label IN ({quoted_list(dim.CRITICAL_FP)})), false) AS cf, count(*) FILTER (label = 'insufficient_context') AS ins, coalesce(arg_max(w, (w, -seq)), 0) AS tw, coalesce(arg_max(polarity, (w, -seq)), '') AS tp FROM v_code c LEFT JOIN v_ev e USING (cid) GROUP BY 1""",
+SELECT c.cid, coalesce(sum(w) FILTER (polarity = 'bug'), 0)::INT AS b, coalesce(sum(w) FILTER (polarity = 'fp'), 0)::INT AS f, coalesce(max(label IN ({quoted_list(checks.CRITICAL_BUG)})), false) AS cb,
+ coalesce(max(label IN ({quoted_list(checks.CRITICAL_FP)})), false) AS cf, count(*) FILTER (label = 'insufficient_context') AS ins, coalesce(arg_max(w, (w, -seq)), 0) AS tw, coalesce(arg_max(polarity, (w, -seq)), '') AS tp FROM v_code c LEFT JOIN v_ev e USING (cid) GROUP BY 1""",
     "v_conf": """
 SELECT *, CASE WHEN ins > 0 THEN greatest(0.0::DOUBLE, c1 - ins * 0.20::DOUBLE) ELSE c1 END AS c FROM (SELECT *, CASE WHEN (cb AND NOT cf AND fs < 0.3) OR (cf AND NOT cb AND bs < 0.3) THEN least(1.0::DOUBLE, c0 + 0.15::DOUBLE) ELSE c0 END AS c1 FROM (
  SELECT *, CASE WHEN b + f = 0 THEN 0.0::DOUBLE WHEN lo = 0 THEN least(1.0::DOUBLE, 0.55::DOUBLE + wi * 0.22::DOUBLE + dom * 0.15::DOUBLE) ELSE least(1.0::DOUBLE, 0.45::DOUBLE + (wi - lo) * 0.30::DOUBLE + wi * 0.12::DOUBLE + dom * 0.15::DOUBLE) END AS c0 FROM (
