@@ -382,12 +382,12 @@ def judge(df: DataFrame, book: rules.RuleBook = rules.DEFAULT_BOOK, call_sites:
     if call_sites is not None:
         asking = overrun_access(sn.prepare(df.where(F.col("rule_set") == "OVERRUN")))
         answers = caller_answers(caller_question(asking), call_sites)
-    df = overrun_facts(code_facts(df))
+    df = staged(overrun_facts(staged(code_facts(df), "code-facts")), "overrun-facts")
     if answers is not None:
         df = caller_evidence(df, answers)
     else:
         df = df.withColumn("caller_verdict", F.lit(""))
-    df = rules.evidence(rules.with_facts(df), book)
+    df = staged(rules.evidence(rules.with_facts(df), book), "evidence")
     df = decision.decide(df)
     df = _extra_decision(extra_overrun_evidence(df))
     df = overrun_overrides(df)

@@ -13,9 +13,10 @@ from assayer.operators import reconcile as rc
 from assayer.operators import summary as sm
 from assayer.plans import views as v
 from assayer.plans.registry import flag, query, quoted_list
-from assayer.sources import sinks
+from assayer.session import scratch_dir
+from assayer.sources import events_text, sinks
 
-_CAT_ROWS = ", ".join(f"('{chk}', '{c}')" for c, names in dim.CHECKERS_BY_CATEGORY.items() for chk in names.split())
+_CAT_ROWS = ", ".join(f"('{chk}', '{c}')" for c, names in dim.CHECKERS_BY_CATEGORY.items() for chk in names)
 _ORDER_ROWS = ", ".join(f"('{c}', {i})" for i, c in enumerate(dim.CATEGORIES))
 _WEAK_ROWS = ", ".join(
     f"('{chk}', {cwe}, '{dim.WEAKNESSES[cwe]}', '{cert}', '{dim.OWASP[top]}', '{cvss}')" for chk, cwe, cert, top, cvss in dim.CHECKER_WEAKNESS
@@ -391,6 +392,51 @@ def audit_rows(spark, d):
     return sinks.audit_rows(f)
 
 
+@query("SELECT cid, checker, file, line, classification, 0.5::DOUBLE AS confidence, sha256(file || type) AS context_hash, run FROM v_findings, (VALUES ('first'), ('second')) AS r(run)")
+def audit_log(spark, d):
+    """The log of two runs, one of them written twice, read back."""
+    f = v.findings(spark, d).withColumn("confidence", F.lit(0.5)).withColumn("code", F.concat("file", "type"))
+    path = scratch_dir(spark, "audit")
+    for run in ("first", "second", "first"):
+        sinks.write_audit(f, path, run)
+    schema = "cid long, checker string, file string, line long, classification string, confidence double, context_hash string, run string"
+    return spark.read.schema(schema).json(path)
+
+
+@query("SELECT cid, ordinal, classification, comment, CASE WHEN ordinal % 2 = 0 THEN 'even' ELSE 'odd' END AS run FROM v_decisions WHERE ordinal % 3 <> 0")
+def decision_runs(spark, d):
+    """A run that starts again replaces its own rows and leaves the other run's."""
+    path = scratch_dir(spark, "runs")
+    rows = v.decisions(spark, d).select("cid", "ordinal", "classification", "comment")
+    sinks.write_run(rows.where("ordinal % 2 = 0"), path, "even")
+    sinks.write_run(rows.where("ordinal % 2 = 1 AND ordinal % 3 <> 0"), path, "odd")
+    sinks.write_run(rows.where("ordinal % 2 = 0 AND ordinal % 3 <> 0"), path, "even")
+    return spark.read.parquet(path).select("cid", "ordinal", "classification", "comment", "run")
+
+
+@query(
+    """
+SELECT f.cid AS "CID", f.checker AS "Checker", f.type AS "Subtype", f.severity AS "Severity", f.file AS "File", f.line AS "Line", f.function AS "Function", coalesce(s.x, '') AS "Events Summary", coalesce(s.n, 0) AS n_events
+FROM v_findings f LEFT JOIN (SELECT cid, count(*) AS n, string_agg(tag || '@' || coalesce(file, '') || ':' || line || ' — ' || description, '; ' ORDER BY ordinal) AS x FROM (SELECT *, '' AS file FROM v_trace) GROUP BY 1) s USING (cid)"""
+)
+def pull_sheet(spark, d):
+    """The sheet of pulled findings, its JSON cell read back."""
+    trace = v.trace(spark, d).withColumn("file", F.lit(""))
+    sheet = sinks.pull_rows(v.findings(spark, d), events_text.events_to_summary(trace), events_text.events_to_json(trace))
+    return sheet.select(*sinks.PULL_SHEET[:-1], F.size(F.from_json("EventsJSON", "ARRAY<STRING>")).cast("bigint").alias("n_events"))
+
+
+@query(
+    """
+SELECT cid AS "CID", checker AS "Checker", category AS "Category", file AS "File", line AS "Line", classification AS "Disposition", '50%' AS "Confidence", comment AS "Comment", '' AS "Events Summary" FROM v_cat""",
+    CATS,
+)
+def result_sheet(spark, d):
+    """The sheet of results."""
+    f = cat.with_category(v.findings(spark, d)).withColumn("confidence", F.lit(0.5)).withColumn("events_summary", F.lit(""))
+    return sinks.result_rows(f)
+
+
 @query("SELECT CASE WHEN accepted THEN 'Accepted' ELSE classification END AS classification, count(*) AS n FROM v_findings GROUP BY 1")
 def class_counts(spark, d):
     """A1."""

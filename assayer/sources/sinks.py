@@ -56,6 +56,17 @@ def pull_rows(findings: DataFrame, summaries: DataFrame, jsons: DataFrame) -> Da
     )
 
 
+def result_rows(results: DataFrame) -> DataFrame:
+    """The 9-column sheet of analysed findings; the confidence as a whole percentage."""
+    src = ["cid", "checker", "category", "file", "line", "classification"]
+    return results.select(
+        *[F.col(a).alias(b) for a, b in zip(src, RESULT_SHEET)],
+        F.concat(F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("%")).alias("Confidence"),
+        t.txt(F.col("comment")).alias("Comment"),
+        t.txt(F.col("events_summary")).alias("Events Summary"),
+    )
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: str | None = "category") -> None:
     """Write parquet, JSON or CSV, split by category."""
     writer = df.write.mode("overwrite").format(fmt)
