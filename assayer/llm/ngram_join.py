@@ -34,10 +34,10 @@ from assayer.llm.common import components, staged, text_slices
 from assayer.llm.quality import word_parts
 
 #: Documents whose parts share a bucket of lists, and entries that a task gathers before it gives them out.
-BUCKET_DOCUMENTS = 20_000
-GATHERED = 1 << 21
+BUCKET_DOCUMENTS = 5_000
+GATHERED = 1 << 20
 #: A list longer than HOT, found when a bucket has grown past MOST_HELD entries, is passed on at once as the longest of all.
-MOST_HELD = 1 << 23
+MOST_HELD = 1 << 22
 HOT = 100_000
 HOT_LENGTH = 2**31 - 1
 #: Shingles of a block of a cell.
@@ -175,11 +175,14 @@ class Lists:
         if not self.parts:
             return
         sig, doc, tag = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        _, back, counts = np.unique(sig, return_inverse=True, return_counts=True)
-        length = counts[back].astype(np.int32)
-        shared = length > 1
-        if shared.any():
-            yield sig[shared], doc[shared], tag[shared], length[shared]
+        self.parts = []
+        order = np.argsort(sig, kind="stable")
+        starts = np.flatnonzero(np.diff(sig[order], prepend=sig[order[:1]] ^ np.uint64(1)))
+        counts = np.diff(starts, append=len(order))
+        shared = order[np.repeat(counts > 1, counts)]
+        if len(shared):
+            counts = counts[counts > 1]
+            yield sig[shared], doc[shared], tag[shared], np.repeat(counts, counts).astype(np.int32)
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
