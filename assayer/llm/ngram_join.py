@@ -41,7 +41,7 @@ MOST_HELD = 1 << 22
 HOT = 100_000
 HOT_LENGTH = 2**31 - 1
 #: Shingles of a block of a cell.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_500_000
 #: Shares of text bytes worked on at once.
 SLICE = 1 << 20
 
@@ -101,15 +101,15 @@ def signatures(own: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, int]
         yield found, cls << 16 | max(0, m - 1 - empty)
 
 
-def by_bucket(values: list[np.ndarray], n: int) -> pa.RecordBatch:
-    """Rows (bucket, packed columns): the first of the parallel arrays gives the bucket."""
-    bucket = (values[0] % np.uint64(n)).astype(np.int64)
+def by_bucket(key: np.ndarray, columns: list[np.ndarray], n: int) -> pa.RecordBatch:
+    """Rows (bucket, packed columns): parallel arrays dealt out by ``key`` modulo ``n``."""
+    bucket = (key % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     names, start = np.unique(bucket[order], return_index=True)
     ends = [*start[1:].tolist(), len(order)]
-    columns = [v[order] for v in values]
+    columns = [v[order] for v in columns]
     packed = [pa.array([c[a:b].tobytes() for a, b in zip(start.tolist(), ends, strict=True)], pa.binary()) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *packed], names=["bucket", *[f"c{k}" for k in range(len(values))]])
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *packed], names=["bucket", *[f"c{k}" for k in range(len(columns))]])
 
 
 def list_entries(docs: DataFrame, buckets: int, words: int, percent: int) -> DataFrame:
@@ -118,6 +118,11 @@ def list_entries(docs: DataFrame, buckets: int, words: int, percent: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         sigs, ids, tags, n = [], [], [], 0
+
+        def give() -> pa.RecordBatch:
+            sig, doc, tag = (np.concatenate(x) for x in (sigs, ids, tags))
+            return by_bucket(sig, [sig, doc, tag], buckets)
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), strict=True):
                 own = shingle_set(text, words)
@@ -132,10 +137,10 @@ def list_entries(docs: DataFrame, buckets: int, words: int, percent: int) -> Dat
                     tags.append(np.full(len(found), tag, np.uint32))
                     n += len(found)
                 if n >= GATHERED:
-                    yield by_bucket([np.concatenate(x) for x in (sigs, ids, tags)], buckets)
+                    yield give()
                     sigs, ids, tags, n = [], [], [], 0
         if n:
-            yield by_bucket([np.concatenate(x) for x in (sigs, ids, tags)], buckets)
+            yield give()
 
     return docs.mapInArrow(run, "bucket long, c0 binary, c1 binary, c2 binary")
 
@@ -185,16 +190,11 @@ class Lists:
             yield sig[shared], doc[shared], tag[shared], np.repeat(counts, counts).astype(np.int32)
 
 
-def shared_entries(entries: DataFrame) -> DataFrame:
-    """Entries of lists with two or more, packed by document: doc_id, tag, digests, lengths."""
+def shared_entries(entries: DataFrame, buckets: int) -> DataFrame:
+    """Entries of lists with two or more, packed by bucket of documents: digests, doc_ids, tags, lengths."""
 
     def packed(sig, doc, tag, length) -> pa.RecordBatch:
-        order = np.lexsort((tag, doc))
-        sig, doc, tag, length = sig[order], doc[order], tag[order], length[order]
-        starts = np.flatnonzero((np.diff(doc, prepend=doc[0] - 1) != 0) | (np.diff(tag.astype(np.int64), prepend=-1) != 0))
-        ends = [*starts[1:].tolist(), len(doc)]
-        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(starts.tolist(), ends, strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(tag[starts].astype(np.int64)), cut(sig), cut(length)], names=["doc_id", "tag", "sigs", "lengths"])
+        return by_bucket(mix(doc.astype(np.uint64)), [sig, doc, tag, length], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lists = None, Lists()
@@ -208,39 +208,44 @@ def shared_entries(entries: DataFrame) -> DataFrame:
                 yield from (packed(*x) for x in lists.add(*columns))
         yield from (packed(*x) for x in lists.rest())
 
-    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, tag long, sigs binary, lengths binary")
+    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
+
+
+def without_longest(sig: np.ndarray, doc: np.ndarray, tag: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places of the entries that are left when each (document, class) leaves out its longest lists."""
+    order = np.lexsort((sig, length, tag, doc))
+    sig, doc, tag = sig[order], doc[order], tag[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    starts = np.flatnonzero(new)
+    sizes = np.diff(starts, append=len(order))
+    rank = np.arange(len(order)) - np.repeat(starts, sizes)
+    return order[rank < np.repeat(sizes - (tag[starts] & 0xFFFF).astype(np.int64), sizes)]
 
 
 def kept_entries(shared: DataFrame, buckets: int) -> DataFrame:
-    """Entries without the longest lists of each document and class, packed by bucket again: digests, doc_ids."""
+    """Entries without the longest lists of each document and class, packed by bucket of lists again: digests, doc_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
-        sigs, ids, n = [], [], 0
 
-        def close() -> int:
-            sig = np.concatenate([np.frombuffer(s, np.uint64) for s, _ in parts])
-            length = np.concatenate([np.frombuffer(x, np.int32) for _, x in parts])
-            left_out = now[1] & 0xFFFF
-            some = np.lexsort((sig, length))[: max(0, len(sig) - left_out)]
-            sigs.append(sig[some])
-            ids.append(np.full(len(some), now[0], np.int64))
-            return len(some)
+        def close() -> Iterator[pa.RecordBatch]:
+            if parts:
+                sig, doc, tag, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+                some = without_longest(sig, doc, tag, length)
+                if len(some):
+                    yield by_bucket(sig[some], [sig[some], doc[some]], buckets)
 
         for batch in batches:
-            for doc_id, tag, sig, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (doc_id, tag) != now:
-                    n += close() if parts else 0
-                    now, parts = (doc_id, tag), []
-                parts.append((sig, length))
-                if n >= GATHERED:
-                    yield by_bucket([np.concatenate(sigs), np.concatenate(ids)], buckets)
-                    sigs, ids, n = [], [], 0
-        n += close() if parts else 0
-        if n:
-            yield by_bucket([np.concatenate(sigs), np.concatenate(ids)], buckets)
+            for k in range(batch.num_rows):
+                bucket, *raw = (c[k].as_py() for c in batch.columns)
+                if bucket != now:
+                    yield from close()
+                    now, parts = bucket, []
+                parts.append([np.frombuffer(r, t) for r, t in zip(raw, (np.uint64, np.int64, np.uint32, np.int32), strict=True)])
+        yield from close()
 
-    return shared.repartition("doc_id").sortWithinPartitions("doc_id", "tag").mapInArrow(run, "bucket long, c0 binary, c1 binary")
+    return shared.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, c0 binary, c1 binary")
 
 
 def cell_edges(kept: DataFrame) -> DataFrame:
@@ -395,7 +400,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     reps = same.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "rep").distinct()
 
     buckets = max(8, members.count() // BUCKET_DOCUMENTS)
-    shared = staged(shared_entries(list_entries(named, buckets, words, percent)), "lists")
+    shared = staged(shared_entries(list_entries(named, buckets, words, percent), buckets), "lists")
     edges = cell_edges(kept_entries(shared, buckets))
     for side in ("a", "b"):
         edges = edges.join(reps.select(F.col("doc_id").alias(side), F.col("rep").alias(f"r{side}")), side).drop(side)
