@@ -128,7 +128,8 @@ def test_tree_scan_to_verdict(spark, make_trace, tmp_path):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(SAMPLE)
     (root / "big.c").write_text("x" * 500_001)
-    files = tree.scan_tree(spark, str(root))
+    assert sorted(r["path"] for r in tree.scan_tree(spark, str(root)).collect()) == ["a/copy.c", "big.c"]
+    files = tree.scan_tree(spark, str(root), max_bytes=500_000)
     assert [r["path"] for r in files.collect()] == ["a/copy.c"]
     assert tree.list_tree(spark, str(root)).count() == 4  # hidden folders are not listed
     facts = st.line_facts(files)
