@@ -401,7 +401,8 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     buckets = max(8, members.count() // BUCKET_DOCUMENTS)
     shared = staged(shared_entries(list_entries(named, buckets, words, percent), buckets), "lists")
-    edges = cell_edges(kept_entries(shared, buckets))
+    # few buckets: a pair of documents with many common lists comes once from each
+    edges = cell_edges(kept_entries(shared, max(8, buckets // 4)))
     for side in ("a", "b"):
         edges = edges.join(reps.select(F.col("doc_id").alias(side), F.col("rep").alias(f"r{side}")), side).drop(side)
     cells = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b"), "cells")
