@@ -1,12 +1,13 @@
-"""Repeated lines, found with two Bloom filters and confirmed exactly.
+"""Repeated lines, found with Bloom filters and confirmed exactly.
 
 First pass: every task hashes the keys of its lines (once per document) and sums equal
-hashes up; hashes travel packed, by class of hash. The task of a class keeps two Bloom
-filters of fixed size, of hashes seen once and of those seen twice, and gives out a hash
-when it comes for the second time. A hash that did repeat is always given out; a few
-others may be, which costs only their exact check.
+hashes up; hashes travel packed, by class of hash, and the number of classes follows the
+number of lines. The task of a class keeps a Bloom filter of fixed size of the hashes it
+has seen, gathers every hash that the filter holds already, and gives each of them out
+once. A hash that did repeat is always given out, for no other filter stands behind the
+first; a few others may be, which costs only their exact check.
 
-The hashes given out fill a third filter whose size follows their number up to a fixed
+The hashes given out fill a second filter whose size follows their number up to a fixed
 bound; that filter alone is broadcast. Second pass: lines whose hash is in it are the
 suspected repeats, and only they are shuffled, as (document, SHA-256 of the key): they
 are counted exactly and the document that keeps the line is chosen. Third pass: each
@@ -30,8 +31,8 @@ from assayer.llm.common import staged, text_slices
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
 STRIPPED = " \t\n\x0b\x0c\r"
-#: Documents per class of hashes, and bits of each of a class's two filters (one byte each while they are filled).
-CLASS_DOCUMENTS = 50_000
+#: Line keys per class of hashes, and bits of a class's filter (one byte each while it is filled): a sixth of them is set at most.
+CLASS_KEYS = 1_000_000
 CLASS_BITS = 1 << 24
 #: Hashes that a task gathers before it gives them out.
 GATHERED = 1 << 21
@@ -52,36 +53,56 @@ def long_keys(text: str | None, min_chars: int) -> set[bytes]:
 
 
 def probes(hashes: np.ndarray, bits: int, n: int = 3) -> np.ndarray:
-    """``n`` places of each hash in a filter of ``bits`` (a power of two)."""
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    """``n`` places of each hash in a filter of ``bits`` (a power of two), from its low 48 bits."""
+    step = (hashes >> np.uint64(24)) | np.uint64(1)
     return np.stack([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(n)]).astype(np.int64)
 
 
+def class_of(hashes: np.ndarray, classes: int) -> np.ndarray:
+    """Class of each hash, from its high 32 bits: up to 65,536 classes share none with the places in a filter."""
+    return ((hashes >> np.uint64(32)) * np.uint64(classes) >> np.uint64(32)).astype(np.int64)
+
+
 class SeenTwice:
-    """Two Bloom filters: hashes seen once, hashes seen twice."""
+    """A Bloom filter of hashes seen, and the hashes that came when it held them already."""
 
     def __init__(self, bits: int = CLASS_BITS):
-        self.bits, self.once, self.twice = bits, np.zeros(bits, bool), np.zeros(bits, bool)
+        self.bits, self.once = bits, np.zeros(bits, bool)
+        self.found, self.more, self.n_more = np.zeros(0, np.uint64), [], 0
 
     def add(self, once: np.ndarray, twice: np.ndarray) -> np.ndarray:
-        """Take in distinct hashes, those in ``twice`` seen more than once already; give the ones now seen twice for the first time."""
+        """Take in distinct hashes, those in ``twice`` seen more than once already; give all that are seen again, also those given before."""
         hashes = np.concatenate([once, twice])
         at = probes(hashes, self.bits)
         again = self.once[at].all(0)
         again[len(once) :] = True
-        new = again & ~self.twice[at].all(0)
         self.once[at] = True
-        self.twice[at[:, new]] = True
-        return hashes[new]
+        out = hashes[again]
+        self.more.append(out)
+        self.n_more += len(out)
+        if self.n_more > max(GATHERED // 8, len(self.found)):
+            self.repeated()
+        return out
+
+    def repeated(self) -> np.ndarray:
+        """All hashes given so far, once each."""
+        self.found, self.more, self.n_more = np.unique(np.concatenate([self.found, *self.more])), [], 0
+        return self.found
+
+
+def most_keys(docs: DataFrame, min_chars: int) -> int:
+    """Line keys of all documents, at most: lines with enough code points before they are stripped."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(x) >= min_chars)
+    return docs.agg(F.sum(F.size(lines).cast("long"))).first()[0] or 0
 
 
 def suspects(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Hashes of line keys that may stand in two documents or more, packed: rows (n, hashes)."""
-    classes = max(8, docs.count() // CLASS_DOCUMENTS)
+    classes = max(8, -(-most_keys(docs, min_chars) // CLASS_KEYS))
 
     def pack(parts: list[np.ndarray]) -> pa.RecordBatch:
         hashes, counts = np.unique(np.concatenate(parts), return_counts=True)
-        group = (hashes % np.uint64(classes)).astype(np.int64)
+        group = class_of(hashes, classes)
         order = np.argsort(group, kind="stable")
         hashes, counts, group = hashes[order], counts[order], group[order]
         found, start = np.unique(group, return_index=True)
@@ -104,13 +125,16 @@ def suspects(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = None, None
+        give = lambda found: pa.RecordBatch.from_pydict({"n": [len(found)], "hashes": pa.array([found.tobytes()], pa.binary())})
         for batch in batches:
             for cls, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if cls != now:
-                    now, seen = cls, SeenTwice()
-                found = seen.add(np.frombuffer(once, np.uint64), np.frombuffer(twice, np.uint64))
-                if len(found):
-                    yield pa.RecordBatch.from_pydict({"n": [len(found)], "hashes": pa.array([found.tobytes()], pa.binary())})
+                    if now is not None:
+                        yield give(seen.repeated())
+                    now, seen = cls, SeenTwice(CLASS_BITS)
+                seen.add(np.frombuffer(once, np.uint64), np.frombuffer(twice, np.uint64))
+        if now is not None:
+            yield give(seen.repeated())
 
     packed = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(hashed, "cls long, once binary, twice binary")
     return staged(packed.repartition("cls").sortWithinPartitions("cls").mapInArrow(repeated, "n long, hashes binary"), "line-suspects")
@@ -127,7 +151,7 @@ def suspect_filter(found: DataFrame) -> np.ndarray:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 hashes = np.frombuffer(raw, np.uint64)
-                group = hashes >> np.uint64(40) & np.uint64(segments - 1)
+                group = hashes >> np.uint64(48) & np.uint64(segments - 1)
                 names = np.unique(group)
                 yield pa.RecordBatch.from_pydict({"segment": pa.array(names.astype(np.int64)), "hashes": pa.array([hashes[group == s].tobytes() for s in names], pa.binary())})
 
@@ -152,7 +176,7 @@ def suspect_filter(found: DataFrame) -> np.ndarray:
 
 
 def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    segment = (hashes >> np.uint64(40) & np.uint64(len(bits) - 1)).astype(np.int64)
+    segment = (hashes >> np.uint64(48) & np.uint64(len(bits) - 1)).astype(np.int64)
     at = probes(hashes, SEGMENT_BITS)
     return (bits[segment, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(0)
 

@@ -229,6 +229,32 @@ def test_bloom_filters_lose_nothing():
     assert set(again) | set(first) >= {*hashes[:500].tolist(), *hashes[4000:4100].tolist()}
 
 
+def test_nearly_full_filters_give_out_every_repeated_hash():
+    rnd = np.random.default_rng(6)
+    hashes, none = np.unique(rnd.integers(0, 2**64, 40_000, np.uint64)), np.zeros(0, np.uint64)
+    seen, given = line_dedup.SeenTwice(1 << 16), set()
+    for part in np.array_split(hashes, 8):
+        given |= set(seen.add(part, none).tolist())
+    for part in np.array_split(rnd.permutation(hashes), 8):
+        given |= set(seen.add(part[: len(part) // 2], part[len(part) // 2 :]).tolist())
+    assert given == set(hashes.tolist())
+    assert seen.repeated().tolist() == hashes.tolist()
+
+
+def test_classes_of_hashes_follow_lines_and_leave_every_place_of_a_filter(spark, monkeypatch):
+    hashes = np.random.default_rng(7).integers(0, 2**64, 200_000, np.uint64)
+    cls = line_dedup.class_of(hashes, 16)
+    assert set(cls.tolist()) == set(range(16))
+    places = line_dedup.probes(hashes[cls == 3], 1 << 10)
+    assert all(len(np.unique(p)) == 1 << 10 for p in places)
+    long = spark.createDataFrame([(1, "\n".join(f"line number {k} of a long document" for k in range(500))), (2, None), (3, "short")], "doc_id long, text string")
+    assert line_dedup.most_keys(long, 20) == 500
+    monkeypatch.setattr(line_dedup, "CLASS_BITS", 1 << 8)
+    monkeypatch.setattr(line_dedup, "CLASS_KEYS", 50)
+    many = spark.createDataFrame([(k, long.first().text) for k in range(4)], "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.ld_dropped for r in line_dedup.dedup_lines(many).collect()} == {0: 500, 1: 500, 2: 500, 3: 0}
+
+
 # toxicity
 
 
