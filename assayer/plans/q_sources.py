@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import trace as tr
 from assayer.plans import views as v
+from assayer.plans.q_trace import RANKED
 from assayer.plans.registry import flag, query
 from assayer.sources import issues_json, report_html, tabular
 
@@ -120,7 +121,7 @@ SELECT f.cid, CASE WHEN e.l IS NULL THEN CASE WHEN f.cid % 17 = 0 THEN 0 ELSE f.
 FROM v_findings f LEFT JOIN (SELECT cid, arg_max(line, (step, -ordinal)) AS l FROM v_trace WHERE main AND line <> 0 GROUP BY 1) e USING (cid)"""
 )
 def sheet_lines_from_trace(spark, d):
-    """A main event gives the line and clears the flag."""
+    """A main event gives the line and clears the flag. Flagged events only; :func:`sheet_lines_from_whole_trace` reads all."""
     f = v.findings(spark, d).withColumn("line_is_various", F.col("cid") % 17 == 0)
     f = f.withColumn("line", F.when(F.col("line_is_various"), 0).otherwise(F.col("line")))
     mains = tr.elect(v.trace(spark, d).where("main")).select("cid", F.col("line").alias("event_line"))
@@ -128,6 +129,21 @@ def sheet_lines_from_trace(spark, d):
     return out.select("cid", F.col("line").cast("bigint").alias("line"), flag(F.col("line_is_various")).alias("line_is_various"))
 
 
+@query(
+    """
+SELECT f.cid, CASE WHEN e.line IS NULL THEN CASE WHEN f.cid % 17 = 0 THEN 0 ELSE f.line END ELSE e.line END AS line, CASE WHEN f.cid % 17 = 0 AND e.line IS NULL THEN 1 ELSE 0 END::BIGINT AS line_is_various
+FROM v_findings f LEFT JOIN v_elected e USING (cid)""",
+    RANKED,
+)
+def sheet_lines_from_whole_trace(spark, d):
+    """A trace with any line gives the line and clears the flag, whether an event is flagged or not."""
+    sheet = v.findings(spark, d)
+    f = sheet.withColumn("line_is_various", F.col("cid") % 17 == 0)
+    f = f.withColumn("line", F.when(F.col("line_is_various"), 0).otherwise(F.col("line")))
+    out = tabular.settle_line(f, tr.trace_line(v.trace(spark, d), sheet))
+    return out.select("cid", F.col("line").cast("bigint").alias("line"), flag(F.col("line_is_various")).alias("line_is_various"))
+
+
 def _issue_struct():
     ev = lambda no, tag, line, main: F.struct(F.lit(no).alias("eventNumber"), F.lit(tag).alias("eventTag"), line.alias("lineNumber"), F.lit(main).alias("main"), F.lit("d").alias("eventDescription"))
     line = F.col("line")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayer.operators import source_tree as st
 from assayer.operators import trace as tr
 from assayer.operators import verdicts as vd
+from assayer.plans import q_sources
 from assayer.sources import events_text, issues_json, report_html, sinks, tabular, tree
 
 INDEX = """<html><body><table border=1><tr><th>CID</th><th>Checker</th><th>File</th><th>Function</th><th>Type</th></tr>
@@ -147,3 +148,14 @@ def test_tree_scan_to_verdict(spark, make_trace, tmp_path):
     out = vd.analyze(code, make_trace(("overrun", 7, True, "Calling 'strncpy' with a maximum size argument of 64 bytes on destination array 'buf' of size 64 bytes."))).first()
     assert (out["classification"], out["sink_func"], out["arg_dest"]) == ("Bug", "strncpy", "buf")
     assert "strncpy_no_null_terminator" in [e["label"] for e in out["evidence"]]
+
+
+def test_sheet_line_comes_from_a_trace_without_a_flagged_event(spark, make_trace, make_findings, monkeypatch):
+    plain = make_trace(("cond_true", 5), ("overrun-local", 30), ("note", 40), cid=17)
+    unlined = make_trace(("note", 0), cid=34)
+    flagged = make_trace(("overrun-local", 30), ("note", 8, True), cid=1)
+    found = make_findings((17, "OVERRUN", "a.c", 3), (34, "OVERRUN", "a.c", 4), (1, "OVERRUN", "a.c", 6), (2, "OVERRUN", "a.c", 7))
+    monkeypatch.setattr(q_sources.v, "findings", lambda spark, d: found)
+    monkeypatch.setattr(q_sources.v, "trace", lambda spark, d: plain.union(unlined).union(flagged))
+    got = {(r.cid, r.line, r.line_is_various) for r in q_sources.sheet_lines_from_whole_trace(spark, "").collect()}
+    assert got == {(17, 30, 0), (34, 0, 1), (1, 8, 0), (2, 7, 0)}
