@@ -9,7 +9,7 @@ from assayer import dimensions as dim
 from assayer.functions import text as t
 from assayer.operators import decision, rules, snippets as sn, trace as tr
 from assayer.operators.normalize import capped_confidence
-from assayer.operators.source_tree import lines_of
+from assayer.operators.source_tree import corroborate, first_function, lines_of
 from assayer.session import staged
 
 INTENTIONAL_SETS = ("DEADCODE", "ARRAY_VS_SINGLETON", "UNUSED_VALUE", "CONSTANT_EXPRESSION_RESULT", "NO_BREAK")
@@ -356,6 +356,50 @@ def gather(findings: DataFrame, trace: DataFrame, code: DataFrame | None = None)
     return df.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in fill.items()})
 
 
+def function_name(df: DataFrame) -> Column:
+    """Bare name of a finding's function, '' for none."""
+    return F.regexp_extract(t.txt(F.col("function")), r"(\w+)\s*(?:\(.*)?$", 1)
+
+
+def neighbour_code(df: DataFrame, call_sites: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """Code around findings that have none of their own: cid, rank, text for :func:`rules.fallback_code`.
+
+    First what the finding's function calls, by line, where ``bodies`` has its definition, then
+    the functions that call it, by path and line; each once. Only names of such findings are looked up.
+    """
+    bare = df.where(F.col("code") == "").select("cid", function_name(df).alias("__name")).where("__name <> ''")
+    names = bare.select("__name").distinct()
+    sites = call_sites.where(~F.col("callee").eqNullSafe(F.col("caller")))
+    rank = lambda kind, path, line: F.struct(F.lit(kind).alias("kind"), path.alias("path"), line.cast("long").alias("line"))
+    calling = sites.join(names, F.col("callee") == F.col("__name")).select("__name", rank(1, F.col("path"), F.col("caller_start")).alias("rank"), F.col("body").alias("text"))
+    found = calling.groupBy("__name", "rank").agg(F.max("text").alias("text"))
+    if bodies is not None:
+        called = sites.join(names, F.col("caller") == F.col("__name")).groupBy("__name", "callee").agg(F.min(rank(0, F.col("path"), F.col("line_no"))).alias("rank"))
+        defined = first_function(bodies).select(F.col("name").alias("callee"), F.col("body").alias("text"))
+        found = found.unionByName(called.join(defined, "callee").select("__name", "rank", "text"))
+    return bare.join(found, "__name").select("cid", "rank", "text")
+
+
+def with_context(df: DataFrame, call_sites: DataFrame | None = None, bodies: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """What stands around a finding: adds used_fallback, callee_taint, corroborated_by and prior.
+
+    ``bodies(name, path, start_line, body)`` are the functions of the source tree, ``hits(path, line, ordinal,
+    rule_id)`` those of another scanner; findings need ``path`` for them. Each may be missing, its columns then say nothing.
+    """
+    if call_sites is not None:
+        df = rules.fallback_code(df, neighbour_code(df, call_sites, bodies))
+    if bodies is not None:
+        reading = first_function(bodies).where(F.col("body").rlike(r"\b(" + "|".join(dim.CALLEE_TAINT) + r")\s*\("))
+        callees = sn.callees(df).join(reading.select(F.col("name").alias("callee"), "body"), "callee")
+        df = df.drop("callee_taint").join(callee_taint(callees), "cid", "left").withColumn("callee_taint", t.txt(F.col("callee_taint")))
+    if hits is not None:
+        df = corroborate(df.drop("rule_id"), hits).withColumnRenamed("rule_id", "corroborated_by")
+    for name, default in (("used_fallback", False), ("callee_taint", ""), ("corroborated_by", "")):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(default))
+    return context_prior(df)
+
+
 def with_caller_count(df: DataFrame, call_sites: DataFrame | None) -> DataFrame:
     """Number of call sites of each finding's function: ``n_callers``; NULL without a call graph or a function name.
 
@@ -364,8 +408,7 @@ def with_caller_count(df: DataFrame, call_sites: DataFrame | None) -> DataFrame:
     if call_sites is None:
         return df.withColumn("n_callers", F.lit(None).cast("bigint"))
     used = call_sites.where(~F.col("callee").eqNullSafe(F.col("caller"))).groupBy(F.col("callee").alias("__callee")).agg(F.count(F.lit(1)).alias("n_callers"))
-    name = F.regexp_extract(t.txt(F.col("function")), r"(\w+)\s*(?:\(.*)?$", 1)
-    out = df.withColumn("__name", name).join(used, F.col("__name") == F.col("__callee"), "left")
+    out = df.withColumn("__name", function_name(df)).join(used, F.col("__name") == F.col("__callee"), "left")
     count = F.when(F.col("__name") != "", F.coalesce("n_callers", F.lit(0))).cast("bigint")
     return out.withColumn("n_callers", count).drop("__name", "__callee")
 
@@ -438,11 +481,16 @@ def _finish(df: DataFrame, book: rules.RuleBook) -> DataFrame:
 
 
 def analyze(
-    findings: DataFrame, trace: DataFrame, code: DataFrame | None = None, book: rules.RuleBook = rules.DEFAULT_BOOK, call_sites: DataFrame | None = None
+    findings: DataFrame, trace: DataFrame, code: DataFrame | None = None, book: rules.RuleBook = rules.DEFAULT_BOOK, call_sites: DataFrame | None = None,
+    bodies: DataFrame | None = None, hits: DataFrame | None = None,
 ) -> DataFrame:
     """The analysis of a report: findings, trace and code to verdicts.
 
+    Call sites, function bodies and another scanner's hits are joined in by :func:`with_context`.
     The gathered findings are staged: the verdict itself is then one scan and one
     projection, planned once.
     """
-    return judge(staged(gather(findings, trace, code), "gathered"), book, call_sites)
+    gathered = gather(findings, trace, code)
+    if call_sites is not None or bodies is not None:
+        gathered = staged(gathered, "gathered-alone")
+    return judge(staged(with_context(gathered, call_sites, bodies, hits), "gathered"), book, call_sites)

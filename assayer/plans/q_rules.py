@@ -218,8 +218,15 @@ def _passing_sites(spark, d):
     return sites.where("callee <> caller OR line_no <> caller_start")
 
 
+# another scanner's hits, up to four lines below each finding
+HITS = ["path", "line + CAST(cid % 5 AS BIGINT) AS line", "cid AS ordinal", "CASE WHEN cid % 6 = 0 THEN '' ELSE concat('rule-', CAST(cid % 9 AS STRING)) END AS rule_id"]
+
+
 def _verdicts(spark, d):
-    return vd.analyze(v.code(spark, d), v.trace(spark, d), call_sites=_passing_sites(spark, d))
+    files = v.files(spark, d)
+    bodies = st.function_bodies(st.functions(st.line_facts(files)), files)
+    placed = v.code(spark, d).selectExpr("*", f"{v.FILE_NO} AS file_no").selectExpr("*", f"{v.FILE_PATH} AS path").drop("file_no")
+    return vd.analyze(placed, v.trace(spark, d), call_sites=_passing_sites(spark, d), bodies=staged(bodies, "bodies"), hits=placed.selectExpr(*HITS))
 
 
 @query()
@@ -244,7 +251,8 @@ def tree_verdicts(spark, d):
     placed = v.code(spark, d).selectExpr("cid", f"{v.FILE_NO} AS file_no", "checker", "function", "cid % 140 AS line").selectExpr("cid", f"{v.FILE_PATH} AS path", "checker", "function", "line")
     code = st.attach_code(placed, funcs, files)
     located = st.callers(placed.select(F.col("function").alias("callee")), st.call_sites(facts).where("NOT (is_start AND callee = fn_name)"))
-    bodies = st.function_bodies(funcs, files).select("path", F.col("start_line").alias("caller_start"), "body")
-    sites = located.join(bodies, ["path", "caller_start"], "left").withColumn("body", t.txt(F.col("body")))
-    out = vd.analyze(code.select("cid", "checker", "function", "line", "code", "code_start_line"), v.trace(spark, d), call_sites=staged(sites, "call-sites"))
+    bodies = staged(st.function_bodies(funcs, files), "bodies")
+    sites = located.join(bodies.select("path", F.col("start_line").alias("caller_start"), "body"), ["path", "caller_start"], "left").withColumn("body", t.txt(F.col("body")))
+    found = code.select("cid", "path", "checker", "function", "line", "code", "code_start_line")
+    out = vd.analyze(found, v.trace(spark, d), call_sites=staged(sites, "call-sites"), bodies=bodies, hits=placed.selectExpr(*HITS))
     return out.select("cid", "checker", "classification", "confidence")

@@ -133,3 +133,26 @@ def test_registered_rule_and_checker(spark, make_trace):
     assert got[1]["classification"] == "Bug" and got[1]["reasons"][1] == "my_rule: found f"
     assert got[2]["classification"] == "Intentional"
     assert rules.rules_table(spark, book).where("label = 'my_rule'").count() == 1
+
+
+def test_verdicts_read_neighbours_callees_and_other_scanners(spark, make_trace):
+    body = "void take(char *b) {\n  recv(s, b, 9);\n}"
+    near = "void caller(void) {\n  lost(p);\n  memcpy(a, b, n);\n}"
+    rows = [
+        (1, "BUFFER_SIZE", "lost(char *)", "", 1, 2, "a.c"), (2, "BUFFER_SIZE", "own", "void own(char *d) {\n  take(x);\n  show(d);\n}", 1, 3, "b.c"),
+        (3, "BUFFER_SIZE", "nobody", "", 1, 2, "c.c"),
+    ]
+    findings = spark.createDataFrame(rows, CODE + ", path string")
+    sites = spark.createDataFrame(
+        [("lost", "z.c", 2, "lost(p);", "caller", 1, near), ("take", "a.c", 5, "take(q);", "lost", 4, ""), ("lost", "a.c", 4, "lost(char *p)", "lost", 4, "")],
+        "callee string, path string, line_no long, snippet string, caller string, caller_start long, body string",
+    )
+    bodies = spark.createDataFrame([("take", "t.c", 1, 3, body)], "name string, path string, start_line long, end_line long, body string")
+    hits = spark.createDataFrame([("b.c", 5, 1, "rule-7"), ("a.c", 9, 2, "rule-8")], "path string, line long, ordinal long, rule_id string")
+    trace = make_trace(("note", 3), cid=9)
+    got = {r["cid"]: r for r in vd.analyze(findings, trace, call_sites=sites, bodies=bodies, hits=hits).collect()}
+    assert (got[1]["used_fallback"], got[1]["code"]) == (True, f"{body}\n\n{near}") and got[1]["confidence"] <= 0.6
+    assert not got[2]["used_fallback"] and got[2]["origin"] == "take() (calls recv() internally)"
+    assert [e["label"] for e in got[2]["evidence"]].count("semgrep_confirms") == 1 and got[2]["corroborated_by"] == "rule-7"
+    assert (got[3]["code"], got[3]["used_fallback"], got[3]["corroborated_by"]) == ("", False, "")
+    assert {c: r["prior"] for c, r in got.items()} == {1: 0.5, 2: 0.45, 3: 0.3}
