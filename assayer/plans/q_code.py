@@ -402,6 +402,31 @@ def guarded_success_call(spark, d):
     return s.select("cid", F.when(F.col("x_var") == "ok", F.col("x_guard_at")).otherwise(0).cast("bigint").alias("guard_at"), F.when(F.col("x_var") == "ok", "ok").otherwise("").alias("var"), F.when(F.col("x_var") == "ok", F.col("x_call")).otherwise("").alias("call"))
 
 
+SUCCESS = {
+    "v_brace": r"""
+SELECT cid, i, rel, text, length(replace(text, '{', '')) - length(replace(text, '}', '')) AS d, regexp_matches(text, '\b(if|while)\s*\(([^)]+)\)') AS guard, trim(regexp_extract(text, '\b(if|while)\s*\(([^)]+)\)', 2)) AS cond,
+ regexp_extract(text, '(\b\w+(?:->\w+)*)\s*\(', 1) AS call FROM code_lines""",
+    # outwards from the flagged line, block by block, to the first one that a condition opens
+    "v_opened": """
+WITH RECURSIVE walk AS (
+ SELECT cid, i, cond, greatest(d, 0) AS depth, d < 0 AND guard AS found FROM v_brace WHERE i = rel
+ UNION ALL SELECT b.cid, b.i, b.cond, greatest(walk.depth + b.d, 0), walk.depth + b.d < 0 AND b.guard FROM walk JOIN v_brace b ON b.cid = walk.cid AND b.i = walk.i - 1 WHERE NOT walk.found)
+SELECT cid, i, cond FROM walk WHERE found""",
+    "v_flagged": r"""
+SELECT cid, i, coalesce(nullif(regexp_extract(cond, '\b([A-Za-z_][A-Za-z0-9_]*)\s*==\s*(?:TRUE|true|1)\b', 1), ''), nullif(regexp_extract(cond, '\b([A-Za-z_][A-Za-z0-9_]*)\b', 1), '')) AS var FROM v_opened""",
+    "v_success": r"""
+SELECT cid, i, var, call FROM (SELECT f.cid, f.i, f.var, c.call, row_number() OVER (PARTITION BY f.cid ORDER BY s.i DESC, c.i) AS rn FROM v_flagged f
+ JOIN v_brace s ON s.cid = f.cid AND s.i < f.i AND regexp_matches(s.text, '\b' || f.var || '\s*=\s*(?:TRUE|true|1)\b') JOIN v_brace c ON c.cid = f.cid AND c.i BETWEEN s.i - 6 AND s.i - 1 AND c.call <> '') WHERE rn = 1""",
+}
+
+
+@query("SELECT c.cid, coalesce(x.i + 1, 0)::BIGINT AS guard_at, coalesce(x.var, '') AS var, coalesce(x.call, '') AS call FROM v_code c LEFT JOIN v_success x USING (cid)", SUCCESS)
+def guarded_success_calls(spark, d):
+    """G21, every answer, whatever the flag is called."""
+    s = sn.guarded_success_call(_snip(spark, d), "x")
+    return s.select("cid", F.col("x_guard_at").alias("guard_at"), F.col("x_var").alias("var"), F.col("x_call").alias("call"))
+
+
 @query(
     """
 SELECT c.cid, 'stack' AS alloc, CASE WHEN cid % 9 = 0 THEN 'MAX' ELSE p_size::VARCHAR END AS size_expr, CASE WHEN cid % 9 = 0 THEN 0 ELSE p_size END::BIGINT AS size_bytes,
@@ -464,6 +489,39 @@ def index_flow(spark, d):
     return s.select("cid", *[F.col(f"x_{c}").alias(c) for c in ("assign_at", "assign_expr", "guard_at", "guard_cond", "guard_op", "guard_limit")])
 
 
+# the same around the place and the index that the access has
+FLOW_AT = ACCESS | {
+    "v_asked": "SELECT cid, i AS upto, index_var AS v FROM v_acc WHERE regexp_matches(index_var, '^[A-Za-z_][A-Za-z0-9_]*$')",
+    "v_cond": r"SELECT cid, i, text, regexp_extract(text, '\b(if|while|for)\s*\(([^)]+)\)', 2) AS cond FROM code_lines",
+    "v_assign": r"""
+SELECT cid, upto, v, i, trim(regexp_extract(text, '\b' || v || '\s*=\s*([^;]+);', 1)) AS expr FROM (SELECT a.*, l.i, l.text, row_number() OVER (PARTITION BY a.cid ORDER BY l.i DESC) AS rn
+ FROM v_asked a JOIN code_lines l ON l.cid = a.cid AND l.i <= a.upto AND regexp_matches(l.text, '\b' || a.v || '\s*=\s*([^;]+);')) WHERE rn = 1""",
+    "v_own": "SELECT cid, max(l.i) AS i FROM v_asked a JOIN v_cond l USING (cid) WHERE l.i <= a.upto AND contains(l.cond, a.v) GROUP BY 1",
+    "v_base": r"""
+SELECT * FROM (SELECT cid, upto, regexp_extract(trim(regexp_replace(expr, '\(\s*\w+\s*\)', '', 'g')), '^([A-Za-z_][A-Za-z0-9_]*)\s*\[', 1) AS base FROM v_assign WHERE cid NOT IN (SELECT cid FROM v_own)) WHERE base <> ''""",
+    "v_guard": r"""
+SELECT g.cid, g.i, trim(l.cond) AS cond, g.name FROM (SELECT o.cid, o.i, '\b' || a.v AS name FROM v_own o JOIN v_asked a USING (cid)
+ UNION ALL SELECT b.cid, max(l.i), '\b' || b.base || '\s*\[[^\]]+\]' FROM v_base b JOIN v_cond l ON l.cid = b.cid AND l.i <= b.upto AND contains(l.cond, b.base) GROUP BY b.cid, b.base) g JOIN v_cond l ON l.cid = g.cid AND l.i = g.i""",
+    "v_compared": r"""
+SELECT *, regexp_extract(cond, name || '\s*([<>!=]=?|==)\s*([^;)\s&|]+)', 1) AS op, trim(regexp_extract(cond, name || '\s*([<>!=]=?|==)\s*([^;)\s&|]+)', 2)) AS lim,
+ regexp_extract(cond, '([^;)\s&|]+)\s*([<>!=]=?|==)\s*' || name, 2) AS back, trim(regexp_extract(cond, '([^;)\s&|]+)\s*([<>!=]=?|==)\s*' || name, 1)) AS back_lim FROM v_guard""",
+}
+
+
+@query(
+    """
+SELECT c.cid, coalesce(a.i + 1, 0)::BIGINT AS assign_at, coalesce(a.expr, '') AS assign_expr, coalesce(g.i + 1, 0)::BIGINT AS guard_at, coalesce(g.cond, '') AS guard_cond,
+ coalesce(CASE WHEN g.op <> '' THEN g.op ELSE CASE g.back WHEN '<' THEN '>' WHEN '>' THEN '<' WHEN '<=' THEN '>=' WHEN '>=' THEN '<=' ELSE g.back END END, '') AS guard_op,
+ coalesce(CASE WHEN g.op <> '' THEN g.lim ELSE g.back_lim END, '') AS guard_limit FROM v_code c LEFT JOIN v_assign a USING (cid) LEFT JOIN v_compared g USING (cid)""",
+    FLOW_AT,
+)
+def index_flow_at_access(spark, d):
+    """Assignment and guard of the index up to the access of each snippet."""
+    s = _snip(spark, d).withColumn("acc", sn.array_access(F.col("lines"), F.col("rel")))
+    s = sn.index_flow(s.withColumns({"v": t.txt(F.col("acc.index_var")), "a": F.coalesce(F.col("acc.i"), F.lit(-1))}), "lines", "v", "a", "x")
+    return s.select("cid", *[F.col(f"x_{c}").alias(c) for c in ("assign_at", "assign_expr", "guard_at", "guard_cond", "guard_op", "guard_limit")])
+
+
 _BOUND = [
     "event_id AS cid", "CASE event_id % 4 WHEN 0 THEN '<' WHEN 1 THEN '<=' WHEN 2 THEN '>' ELSE '==' END AS op",
     "CASE WHEN event_id % 5 = 0 THEN 'MAX' ELSE CAST(event_id % 30 AS STRING) END AS lim", "CAST(event_id % 25 AS BIGINT) AS size",

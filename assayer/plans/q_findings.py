@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from assayer import dimensions as dim
 from assayer.functions import text as t
+from assayer.functions.frames import positions
 from assayer.operators import categories as cat
 from assayer.operators import normalize as n
 from assayer.operators import reconcile as rc
 from assayer.operators import summary as sm
 from assayer.plans import views as v
 from assayer.plans.registry import flag, query, quoted_list
-from assayer.session import scratch_dir
+from assayer.session import scratch_dir, staged
 from assayer.sources import events_text, sinks
 
 _CAT_ROWS = ", ".join(f"('{chk}', '{c}')" for c, names in dim.CHECKERS_BY_CATEGORY.items() for chk in names)
@@ -504,6 +505,17 @@ def group_sort(spark, d):
     return sm.sorted_in_groups(f, "shown").select("cid", "category")
 
 
+@query(
+    "SELECT cid, category, row_number() OVER (PARTITION BY category ORDER BY CASE WHEN regexp_matches(shown, '^[0-9]+$') THEN try_cast(shown AS BIGINT) END NULLS LAST, lower(shown), ordinal) AS place "
+    "FROM (SELECT *, CASE WHEN cid % 3 = 0 THEN checker ELSE line::VARCHAR END AS shown FROM v_cat)", CATS
+)
+def group_places(spark, d):
+    """Place of each finding in its category, from 1. Rows are sorted over all tasks, then numbered per category."""
+    f = cat.with_category(v.findings(spark, d)).withColumn("shown", F.when(F.col("cid") % 3 == 0, F.col("checker")).otherwise(F.col("line").cast("string")))
+    ordered = staged(sm.sorted_in_groups(f, "shown").select("cid", "category", F.monotonically_increasing_id().alias("at")), "group-places")
+    return positions(ordered, ["category"], "at").select("cid", "category", (F.col("position") + 1).cast("bigint").alias("place"))
+
+
 @query(
     "SELECT 'union' AS op, count(*) AS n FROM (SELECT cid FROM v_findings UNION SELECT cid FROM v_server) UNION ALL SELECT 'both', count(*) FROM (SELECT cid FROM v_findings INTERSECT SELECT cid FROM v_server) "
     "UNION ALL SELECT 'missing', count(*) FROM (SELECT cid FROM v_findings EXCEPT SELECT cid FROM v_server)"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import decision, rules, snippets as sn
 from assayer.operators import verdicts as vd
+from assayer.plans import q_code, q_findings
 
 CODE = "cid long, checker string, function string, code string, code_start_line long, line long"
 
@@ -156,3 +157,16 @@ def test_verdicts_read_neighbours_callees_and_other_scanners(spark, make_trace):
     assert [e["label"] for e in got[2]["evidence"]].count("semgrep_confirms") == 1 and got[2]["corroborated_by"] == "rule-7"
     assert (got[3]["code"], got[3]["used_fallback"], got[3]["corroborated_by"]) == ("", False, "")
     assert {c: r["prior"] for c, r in got.items()} == {1: 0.5, 2: 0.45, 3: 0.3}
+
+
+def test_queries_give_every_answer_of_their_operators(spark, make_findings, monkeypatch):
+    late = "\n".join(["void f(int k) {", *["  pad();"] * 8, "  k = m;", "  if (k < 9) {", "    buf[k] = 0;", "  }", "}"])
+    done = "void f(void) {\n" + "  x = 1;\n" * 5 + "  fetch(p);\n  done = TRUE;\n  if (done == TRUE) {\n    use(p);\n  }\n}"
+    code = spark.createDataFrame([(1, "X", "f", late, 1, 12), (2, "X", "f", done, 1, 10)], CODE)
+    monkeypatch.setattr(q_code.v, "code", lambda spark, d: code)
+    flow = {r["cid"]: tuple(r)[1:] for r in q_code.index_flow_at_access(spark, "").collect()}
+    assert flow == {1: (10, "m", 11, "k < 9", "<", "9"), 2: (0, "", 0, "", "", "")}
+    assert {tuple(r) for r in q_code.guarded_success_calls(spark, "").collect()} == {(1, 0, "", ""), (2, 9, "done", "fetch")}
+    found = make_findings((1, "OVERRUN", "a.c", 10), (2, "OVERRUN", "a.c", 9), (3, "OVERRUN", "a.c", 1), (4, "OVERRUN", "a.c", 9))
+    monkeypatch.setattr(q_findings.v, "findings", lambda spark, d: found)
+    assert {r["cid"]: r["place"] for r in q_findings.group_places(spark, "").collect()} == {2: 1, 4: 2, 1: 3, 3: 4}
