@@ -32,7 +32,7 @@ def compare(spark, sf_dir, name, query, sql):
         if v is None or v is pd.NA or v != v:
             return "NULL"
         if isinstance(v, float):
-            return repr(round(v, 9))
+            return str(int(v)) if v.is_integer() else repr(round(v, 9))
         return str(v)
 
     def rows(pdf):
