@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, chat, fim, licenses, line_dedup, ngram_join, quality, suffixes, token_files, toxicity, warc
+from assayer.llm import bpe, chat, fim, licenses, line_dedup, ngram_join, periodic, quality, suffixes, token_files, toxicity, warc
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +157,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, a tenth of which is made periodic, and the text without the repeats."""
+    return periodic.contract(table(spark, sf_dir, "documents"))
+
+
 OP13_SQL = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents
