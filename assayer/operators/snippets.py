@@ -162,76 +162,71 @@ _TAINT_KINDS = [kind for kind, _ in dim.TAINT_ORDER]
 _TAINT_ANY = "|".join(_TAINT_FNS)
 
 
-def provenance(df: DataFrame, var: str, hops: int = 3, prefix: str = "origin") -> DataFrame:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, inside a lambda too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def provenance(df: DataFrame, var: str, hops: int | None = None, prefix: str = "origin") -> DataFrame:
     """Where a variable comes from: adds {prefix}_kind, _line, _confidence, _var.
 
     A parameter is 'args' at once. Else, per hop: a line naming the variable and a
     data source called in the snippet decides (sources in their fixed order, then
     the first line); otherwise the last assignment to the variable names the next
-    one. ``hops`` is a fixed bound and a revisited name stops the walk.
+    one. The walk is a fold that stands still where a source is found or where no new name
+    follows; no walk is longer than the snippet has assignments. ``hops`` gives a limited form.
+    Rows that ask for no variable, and snippets without a source, pay for nothing more.
     """
     code, start = F.col("code"), F.col(var)
-    # rows that ask for no variable skip all of this
-    lines = F.when(t.txt(start) != "", F.col("lines"))
-    df = df.withColumn(
-        "__present",
-        F.when(t.txt(start) != "", F.array_distinct(F.regexp_extract_all(code, F.lit(rf"\b({_TAINT_ANY})\s*\("), 1))),
-    )
-    df = df.withColumn("__assign", F.when(t.txt(start) != "", assignments(code)))
-    df = df.withColumn(
-        "__tainted",
-        F.filter(
-            F.transform(
-                lines,
-                lambda x, i: F.struct(
-                    F.array_min(
-                        F.transform(
-                            F.array_intersect(F.regexp_extract_all(x, F.lit(rf"\b({_TAINT_ANY})\b"), 1), F.col("__present")),
-                            lambda f: F.array_position(t.members(_TAINT_FNS), f).cast("int"),
-                        )
-                    ).alias("p"),
-                    i.alias("i"),
-                    F.when(x.rlike(rf"\b(?:{_TAINT_ANY})\b"), F.regexp_extract_all(x, F.lit(r"\b(\w+)\b"), 1)).alias("words"),
-                    x.alias("x"),
-                ),
-            ),
-            lambda s: s["p"].isNotNull(),
-        ),
-    )
     known = (t.txt(start) != "") & t.matches(code, t.word(start))
-    df = df.withColumn("__cur0", F.when(known & ~is_parameter(code, start), start))
-    df = df.withColumn("__seen", F.array(F.col("__cur0")))
-    hits = []
-    for k in range(hops):
-        cur = F.col(f"__cur{k}")
+    df = df.withColumn("__known", known)
+    df = df.withColumn("__param", F.when(F.col("__known"), is_parameter(code, start)).otherwise(False))
+    called = F.array_distinct(F.regexp_extract_all(code, F.lit(rf"\b({_TAINT_ANY})\s*\("), 1))
+    df = df.withColumn("__present", F.when(F.col("__known") & ~F.col("__param"), called))
+    place = lambda x: F.array_min(
+        F.transform(
+            F.array_intersect(F.regexp_extract_all(x, F.lit(rf"\b({_TAINT_ANY})\b"), 1), F.col("__present")),
+            lambda f: F.array_position(t.members(_TAINT_FNS), f).cast("int"),
+        )
+    )
+    line = lambda x, i: F.when(
+        x.rlike(rf"\b(?:{_TAINT_ANY})\b"),
+        F.struct(place(x).alias("p"), i.alias("i"), F.regexp_extract_all(x, F.lit(r"\b(\w+)\b"), 1).alias("words"), x.alias("x")),
+    )
+    df = df.withColumn("__tainted", F.when(F.size("__present") > 0, F.filter(F.transform("lines", line), lambda s: s["p"].isNotNull())))
+    df = df.withColumn("__assign", F.when(F.size("__tainted") > 0, assignments(code)))
+
+    def source_of(cur: Column) -> Column:
         # a plain name is one of the words of a line; only other texts need a pattern of their own
         names = F.when(cur.rlike(r"^\w+$"), F.filter("__tainted", lambda s: F.array_contains(s["words"], cur))).otherwise(
             F.filter("__tainted", lambda s: t.matches(s["x"], t.word(cur)))
         )
-        best = F.array_min(F.transform(names, lambda s: F.struct(s["p"].alias("p"), s["i"].alias("i"))))
-        df = df.withColumn(f"__hit{k}", F.when(cur.isNotNull(), best))
-        hits.append(k)
-        if k + 1 == hops:
-            break
-        source = F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter("__assign", lambda a: a["target"] == cur), lambda a: a["source"])), -1)
-        nxt = F.get(F.filter(t.identifiers(source), lambda x: ~x.isin(*dim.NOT_A_SOURCE)), F.lit(0))
-        df = df.withColumn(f"__nxt{k}", nxt)
-        ok = F.col(f"__hit{k}").isNull() & cur.isNotNull() & ~F.array_contains("__seen", F.col(f"__nxt{k}"))
-        df = df.withColumn(f"__cur{k + 1}", F.when(ok, F.col(f"__nxt{k}"))).withColumn(
-            "__seen", F.concat("__seen", F.array(F.col(f"__cur{k + 1}")))
-        )
-    found = F.coalesce(*[F.when(F.col(f"__hit{k}").isNotNull(), F.struct(F.col(f"__hit{k}.p").alias("p"), F.col(f"__hit{k}.i").alias("i"), F.col(f"__cur{k}").alias("v"))) for k in hits])
-    df = df.withColumn("__found", found).withColumn("__param", known & is_parameter(code, start))
+        return F.array_min(F.transform(names, lambda s: F.struct(s["p"].alias("p"), s["i"].alias("i"))))
+
+    def name_after(cur: Column, seen: Column) -> Column:
+        last = F.get(F.reverse(F.filter("__assign", lambda a: a["target"] == cur)), F.lit(0))["source"]
+        return _let(F.get(F.filter(t.identifiers(last), lambda x: ~x.isin(*dim.NOT_A_SOURCE)), F.lit(0)), lambda x: F.when(~F.array_contains(seen, x), x))
+
+    def state(cur: Column, seen: Column, p: Column, i: Column) -> Column:
+        return F.struct(cur.cast("string").alias("cur"), seen.cast("array<string>").alias("seen"), p.cast("int").alias("p"), i.cast("int").alias("i"))
+
+    def step(s: Column, _: Column) -> Column:
+        on = lambda nxt: F.when(nxt.isNull(), state(nxt, s["seen"], s["p"], s["i"])).otherwise(state(nxt, F.concat(s["seen"], F.array(nxt)), s["p"], s["i"]))
+        moved = lambda hit: F.when(hit.isNotNull(), state(s["cur"], s["seen"], hit["p"], hit["i"])).otherwise(_let(name_after(s["cur"], s["seen"]), on))
+        return F.when(s["cur"].isNull() | s["p"].isNotNull(), s).otherwise(_let(source_of(s["cur"]), moved))
+
+    none = F.lit(None)
+    most = F.size("__assign") + 1
+    rounds = F.sequence(F.lit(1), most if hops is None else F.least(F.lit(hops), most))
+    df = df.withColumn("__walk", F.when(F.col("__assign").isNotNull(), F.aggregate(rounds, state(F.when(F.col("__known"), start), F.array(start), none, none), step)))
+    found, param = F.col("__walk.p"), F.col("__param")
     out = (
-        df.withColumn(
-            f"{prefix}_kind",
-            F.when(F.col("__param"), "args").otherwise(t.txt(F.get(t.members(_TAINT_KINDS), F.col("__found.p") - 1))),
-        )
-        .withColumn(f"{prefix}_line", F.coalesce(F.col("__found.i") + 1, F.lit(0)).cast("bigint"))
-        .withColumn(f"{prefix}_confidence", F.when(F.col("__param"), "medium").when(F.col("__found").isNotNull(), "high").otherwise(""))
-        .withColumn(f"{prefix}_var", F.when(F.col("__param"), start).otherwise(t.txt(F.col("__found.v"))))
+        df.withColumn(f"{prefix}_kind", F.when(param, "args").otherwise(t.txt(F.get(t.members(_TAINT_KINDS), found - 1))))
+        .withColumn(f"{prefix}_line", F.coalesce(F.col("__walk.i") + 1, F.lit(0)).cast("bigint"))
+        .withColumn(f"{prefix}_confidence", F.when(param, "medium").when(found.isNotNull(), "high").otherwise(""))
+        .withColumn(f"{prefix}_var", F.when(param, start).otherwise(t.txt(F.when(found.isNotNull(), F.col("__walk.cur")))))
     )
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    return out.drop("__known", "__param", "__present", "__tainted", "__assign", "__walk")
 
 
 def origin_text(kind: Column) -> Column:

@@ -32,7 +32,7 @@ def code_facts(df: DataFrame) -> DataFrame:
     # only rule sets with the shared rules read origin and guard
     shared = F.col("rule_set").isin(*[s for s in rules.SHARED_SETS if s != rules.GENERIC])
     df = df.withColumn("traced_var", F.when(shared, F.col("arg_src")).otherwise(""))
-    df = sn.provenance(df, "traced_var", hops=4)
+    df = sn.provenance(df, "traced_var")
     df = df.withColumn("guard_var", F.when(shared, t.first_text(F.col("arg_src"), F.col("arg_dest"))).otherwise(""))
     df = sn.guard_scope(df, "guard_var", "arg")
     # A call with flat arguments
@@ -253,7 +253,7 @@ def extra_overrun_evidence(df: DataFrame) -> DataFrame:
     """Second evidence array of inconclusive overruns: index constant, provenance, callers."""
     open_ = (F.col("rule_set") == "OVERRUN") & (F.col("classification") == "Needs review")
     df = df.withColumn("asked_var", F.when(open_, F.col("index_var")).otherwise(""))
-    df = sn.provenance(df, "asked_var", hops=3, prefix="index_origin").drop("asked_var")
+    df = sn.provenance(df, "asked_var", prefix="index_origin").drop("asked_var")
     plain = lambda c: F.regexp_extract(F.regexp_replace(F.col(c), r"\s+", ""), r"^\(?(\d+)\)?$", 1)
     const = F.nullif(t.first_text(plain("index_expr"), plain("idx_assign_expr")), F.lit("")).try_cast("bigint")
     known, sized = ~F.col("index_var").isin("the offset", "the index", "index"), F.col("bound") > 0

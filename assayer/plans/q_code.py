@@ -269,7 +269,7 @@ def assignments(spark, d):
     return a.select("cid", (F.col("seq") + 1).cast("bigint").alias("seq"), F.col("a.target").alias("target"), F.col("a.source").alias("source"))
 
 
-# walk of at most three hops over assignments, one step per recursion
+# walk over assignments to the first name on a line with a source, one step per recursion
 _TAINT_ROWS = ", ".join(f"({i}, '{k}', '{f}')" for i, (k, f) in enumerate(dim.TAINT_ORDER))
 ORIGIN = {
     **ASSIGN,
@@ -278,25 +278,24 @@ ORIGIN = {
     "v_hit": "SELECT l.cid, l.i, l.text, p.p, p.kind FROM code_lines l JOIN v_present p ON p.cid = l.cid AND regexp_matches(l.text, '\\b' || p.fn || '\\b')",
     "v_next": f"""
 SELECT cid, target, list_filter(regexp_extract_all(arg_max(source, seq), '\\b([A-Za-z_]\\w*)\\b', 1), lambda x: x NOT IN ({quoted_list(dim.NOT_A_SOURCE)}))[1] AS nxt FROM v_assign GROUP BY 1, 2""",
-    "v_h0": "SELECT c.cid, 'i' AS cur, h.p, h.i, h.kind FROM v_code c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY p, i) AS rn FROM v_hit WHERE regexp_matches(text, '\\bi\\b')) h ON h.cid = c.cid AND h.rn = 1",
-    "v_c1": "SELECT h.cid, n.nxt AS cur FROM v_h0 h JOIN v_next n ON n.cid = h.cid AND n.target = h.cur WHERE h.kind IS NULL AND n.nxt <> 'i'",
-    "v_h1": "SELECT * FROM (SELECT c.cid, c.cur, h.p, h.i, h.kind, row_number() OVER (PARTITION BY c.cid ORDER BY h.p, h.i) AS rn FROM v_c1 c LEFT JOIN v_hit h ON h.cid = c.cid AND regexp_matches(h.text, '\\b' || c.cur || '\\b')) WHERE rn = 1",
-    "v_c2": "SELECT h.cid, n.nxt AS cur, h.cur AS prev FROM v_h1 h JOIN v_next n ON n.cid = h.cid AND n.target = h.cur WHERE h.kind IS NULL AND n.nxt NOT IN ('i', h.cur)",
-    "v_h2": "SELECT * FROM (SELECT c.cid, c.cur, h.p, h.i, h.kind, row_number() OVER (PARTITION BY c.cid ORDER BY h.p, h.i) AS rn FROM v_c2 c LEFT JOIN v_hit h ON h.cid = c.cid AND regexp_matches(h.text, '\\b' || c.cur || '\\b')) WHERE rn = 1",
+    "v_asked_of": "SELECT cid, 'i' AS v FROM v_code",
+    "v_start": r"""
+SELECT a.cid, a.v, regexp_matches(c.code, '\b\w+\s+\w*\s*\([^)]*\b\Q' || a.v || '\E\b[^)]*\)') AS is_p FROM v_asked_of a JOIN v_code c USING (cid) WHERE a.v <> '' AND regexp_matches(c.code, '\b\Q' || a.v || '\E\b')""",
+    "v_walk": r"""
+WITH RECURSIVE walk AS (
+ SELECT s.cid, s.v AS cur, [s.v] AS seen, (SELECT min((h.p, h.i, h.kind)) FROM v_hit h WHERE h.cid = s.cid AND regexp_matches(h.text, '\b\Q' || s.v || '\E\b')) AS hit FROM v_start s WHERE NOT s.is_p
+ UNION ALL SELECT w.cid, n.nxt, list_append(w.seen, n.nxt), (SELECT min((h.p, h.i, h.kind)) FROM v_hit h WHERE h.cid = w.cid AND regexp_matches(h.text, '\b\Q' || n.nxt || '\E\b'))
+ FROM walk w JOIN v_next n ON n.cid = w.cid AND n.target = w.cur WHERE w.hit IS NULL AND n.nxt IS NOT NULL AND NOT list_contains(w.seen, n.nxt))
+SELECT cid, cur, hit[2] AS i, hit[3] AS kind FROM walk WHERE hit IS NOT NULL""",
+    "v_origin": """
+SELECT s.cid, CASE WHEN s.is_p THEN 'args' ELSE coalesce(w.kind, '') END AS kind, CASE WHEN s.is_p THEN 0 ELSE coalesce(w.i + 1, 0) END::BIGINT AS line, CASE WHEN s.is_p THEN s.v ELSE coalesce(w.cur, '') END AS var FROM v_start s LEFT JOIN v_walk w USING (cid)""",
 }
 
 
-@query(
-    """
-SELECT c.cid, CASE WHEN NOT regexp_matches(c.code, '\\bi\\b') THEN '' WHEN is_p THEN 'args' ELSE coalesce(h0.kind, h1.kind, h2.kind, '') END AS origin_kind,
- CASE WHEN is_p OR NOT regexp_matches(c.code, '\\bi\\b') THEN 0 ELSE coalesce(h0.i + 1, h1.i + 1, h2.i + 1, 0) END::BIGINT AS origin_line,
- CASE WHEN NOT regexp_matches(c.code, '\\bi\\b') THEN '' WHEN is_p THEN 'i' WHEN h0.kind IS NOT NULL THEN 'i' WHEN h1.kind IS NOT NULL THEN h1.cur WHEN h2.kind IS NOT NULL THEN h2.cur ELSE '' END AS origin_var
-FROM (SELECT *, regexp_matches(code, '\\b\\w+\\s+\\w*\\s*\\([^)]*\\bi\\b[^)]*\\)') AS is_p FROM v_code) c LEFT JOIN v_h0 h0 USING (cid) LEFT JOIN v_h1 h1 USING (cid) LEFT JOIN v_h2 h2 USING (cid)""",
-    ORIGIN,
-)
+@query("SELECT c.cid, coalesce(o.kind, '') AS origin_kind, coalesce(o.line, 0)::BIGINT AS origin_line, coalesce(o.var, '') AS origin_var FROM v_code c LEFT JOIN v_origin o USING (cid)", ORIGIN)
 def provenance(spark, d):
-    """G15, for the index variable."""
-    s = sn.provenance(_snip(spark, d).withColumn("v", F.lit("i")), "v", hops=3)
+    """G15, for the index variable, however many assignments lie between."""
+    s = sn.provenance(_snip(spark, d).withColumn("v", F.lit("i")), "v")
     return s.select("cid", "origin_kind", "origin_line", "origin_var")
 
 
