@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -234,12 +235,12 @@ def later_ones(part: np.ndarray, whole: np.ndarray, doc: np.ndarray, start: np.n
     return first, later
 
 
-def runs_of(doc: np.ndarray, start: np.ndarray, whole: np.ndarray) -> list[np.ndarray]:
-    """Consecutive windows put together: documents, starts, numbers of windows, sums of their hashes."""
-    order = np.lexsort((start, doc))
-    doc, start, whole = doc[order], start[order], whole[order]
+def runs_of(doc: np.ndarray, text: np.ndarray, start: np.ndarray, whole: np.ndarray) -> list[np.ndarray]:
+    """Consecutive windows of a text put together: documents, starts, numbers of windows, sums of their hashes."""
+    order = np.lexsort((start, text, doc))
+    doc, text, start, whole = doc[order], text[order], start[order], whole[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
     return [doc[first], start[first].astype(np.int32), np.diff(first, append=len(doc)).astype(np.int32), np.add.reduceat(whole, first) if len(first) else whole[:0]]
 
@@ -248,16 +249,17 @@ def candidates(suspected: DataFrame, window: int, classes: int) -> DataFrame:
     """Windows with a suspected minimizer (doc_id, text, places), packed by class.
 
     One of equal windows of a task is a candidate: groups of windows with a common minimizer as (its hash,
-    document, first start, number), and the hashes of the windows; the others are runs to be removed.
+    document, mark of the text, first start, number), and the hashes of the windows; the others are runs to be
+    removed. The mark keeps apart texts that share a doc_id.
     """
 
     def packed(columns: list) -> Iterator[pa.RecordBatch]:
-        part, whole, doc, start = (np.concatenate(c) for c in zip(*columns, strict=True))
+        part, whole, doc, text, start = (np.concatenate(c) for c in zip(*columns, strict=True))
         first, later = later_ones(part, whole, doc, start)
-        names = ["bucket", *[f"c{k}" for k in range(5)]]
+        names = ["bucket", *[f"c{k}" for k in range(6)]]
         at = np.flatnonzero(first)  # in order of the documents' windows
         new = np.ones(len(at), bool)
-        new[1:] = (doc[at[1:]] != doc[at[:-1]]) | (start[at[1:]] != start[at[:-1]] + 1) | (part[at[1:]] != part[at[:-1]])
+        new[1:] = (doc[at[1:]] != doc[at[:-1]]) | (start[at[1:]] != start[at[:-1]] + 1) | (part[at[1:]] != part[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
         head = np.flatnonzero(new)
         size = np.diff(head, append=len(at))
         cls = (mix(part[at[head]]) % np.uint64(classes)).astype(np.int64)
@@ -266,24 +268,25 @@ def candidates(suspected: DataFrame, window: int, classes: int) -> DataFrame:
         ends = [*begin[1:].tolist(), len(order)]
         inside = np.argsort(np.repeat(cls, size), kind="stable")
         hashes, cut = whole[at][inside], np.concatenate([[0], np.cumsum(size[order])])
-        own = [part[at[head]][order], doc[at[head]][order], start[at[head]][order].astype(np.int32), size[order].astype(np.int32)]
+        own = [part[at[head]][order], doc[at[head]][order], text[at[head]][order], start[at[head]][order].astype(np.int32), size[order].astype(np.int32)]
         rows = [[*[c[a:b].tobytes() for c in own], hashes[cut[a] : cut[b]].tobytes()] for a, b in zip(begin.tolist(), ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(found), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(5)]], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(found), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(6)]], names=names)
         if later.any():
-            gone = runs_of(doc[later], start[later], whole[later])
-            yield placed(by_bucket(mix(gone[0].astype(np.uint64)), gone, classes), [1, 2, 3, 4], 5)
+            gone = runs_of(doc[later], text[later], start[later], whole[later])
+            yield placed(by_bucket(mix(gone[0].astype(np.uint64)), gone, classes), [1, 2, 3, 4], 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for ids, starts, w, rows in scanned(batch, window):
+                marks = np.array([xxhash.xxh32_intdigest(t or "") for t in rows.column(1).to_pylist()], np.uint32)
                 flagged = np.zeros(len(w.doc) + 1, bool)
                 for k, raw in enumerate(rows.column(2).to_pylist()):
                     places = np.frombuffer(raw, np.int32)
                     flagged[starts[k] + places[places < starts[k + 1] - starts[k]]] = True
                 at = np.flatnonzero(w.valid & flagged[w.minimizer])
                 doc = w.doc[at]
-                held.append((w.part[w.minimizer[at]], w.whole[at], ids[doc], at - starts[doc]))
+                held.append((w.part[w.minimizer[at]], w.whole[at], ids[doc], marks[doc], at - starts[doc]))
                 n += len(at)
                 if n >= GATHERED:
                     yield from packed(held)
@@ -291,7 +294,7 @@ def candidates(suspected: DataFrame, window: int, classes: int) -> DataFrame:
         if n:
             yield from packed(held)
 
-    return suspected.mapInArrow(run, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary")
+    return suspected.mapInArrow(run, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -304,15 +307,15 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         columns, gone = [], []
         for raw in held:
             if raw[0] is None:
-                gone.append(read(raw[1:], np.int64, np.int32, np.int32, np.uint64))
+                gone.append(read(raw[1:5], np.int64, np.int32, np.int32, np.uint64))
                 continue
-            part, doc, start, size, whole = read(raw, np.uint64, np.int64, np.int32, np.int32, np.uint64)
+            part, doc, text, start, size, whole = read(raw, np.uint64, np.int64, np.uint32, np.int32, np.int32, np.uint64)
             inside = np.arange(len(whole)) - np.repeat(np.cumsum(size) - size, size)
-            columns.append((np.repeat(part, size), whole, np.repeat(doc, size), np.repeat(start, size) + inside))
+            columns.append((np.repeat(part, size), whole, np.repeat(doc, size), np.repeat(text, size), np.repeat(start, size) + inside))
         if columns:
-            part, whole, doc, start = (np.concatenate(c) for c in zip(*columns, strict=True))
+            part, whole, doc, text, start = (np.concatenate(c) for c in zip(*columns, strict=True))
             _, later = later_ones(part, whole, doc, start)
-            gone.append(runs_of(doc[later], start[later], whole[later]))
+            gone.append(runs_of(doc[later], text[later], start[later], whole[later]))
         doc, start, size, total = (np.concatenate(c) for c in zip(*gone, strict=True))
         if len(doc):
             yield by_bucket(mix(doc.astype(np.uint64)), [doc, start, size, total], classes)
@@ -332,7 +335,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A text that loses words is its other words, joined by single spaces; any other text stays as it is. NULL
     and empty texts, and texts of fewer words than a window, lose nothing. Places are told apart by
     (doc_id, start): rows that share a doc_id don't repeat each other at the same start, so repeated rows keep
-    or lose the same words. Rows whose doc_id is NULL are neither counted nor changed. Windows are judged on the
+    or lose the same words; texts that differ may share a doc_id, each is judged by itself. Rows whose doc_id is NULL are neither counted nor changed. Windows are judged on the
     input, equal windows inside one text too. Input columns named like the new ones are replaced.
     """
     rows = docs.drop("ss_words", "ss_removed")
