@@ -1,7 +1,8 @@
 """Chat formatting of heterogeneous records by schema fingerprints.
 
 A record is a JSON text. The set of its nested field paths (``messages[].role`` and the
-like; fields whose value is null do not count) is hashed to a fingerprint. Every known
+like; fields whose value is null do not count; a list or object without content is told apart
+from a plain value, and marks inside field names are escaped) is hashed to a fingerprint. Every known
 layout is a declarative mapping: where its turns lie and which fields name role and text;
 it is entered under the fingerprints of all path sets that it allows. A record whose
 fingerprint is known becomes canonical turns (conversation, turn, role, text); all others
@@ -67,13 +68,46 @@ LAYOUTS = (
 )
 
 
-def field_paths(value, prefix: str = "") -> set[str]:
-    """Paths of all values that are not null; elements of a list share one path."""
-    if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items())) if value else {prefix or "{}"}
-    if isinstance(value, list):
-        return set().union(*(field_paths(v, f"{prefix}[]") for v in value)) if value else {f"{prefix}[]"}
-    return {prefix} if value is not None else set()
+#: What follows the path of a list or an object that holds nothing.
+NO_ITEMS, NO_FIELDS = "[]:none", ":empty"
+
+
+def field_name(key: str) -> str:
+    """A field's name as one step of a path."""
+    return re.sub(r"[\\.\[\]:\n]", lambda m: "\\n" if m[0] == "\n" else "\\" + m[0], key)
+
+
+def field_paths(value) -> set[str]:
+    """Paths of all values that are not null, at any depth; elements of a list share one path."""
+    found, left = set(), [("", value)]
+    while left:
+        prefix, value = left.pop()
+        if isinstance(value, dict):
+            left += [(f"{prefix}.{field_name(k)}" if prefix else field_name(k), v) for k, v in value.items()]
+            if not value:
+                found.add(prefix + NO_FIELDS)
+        elif isinstance(value, list):
+            left += [(f"{prefix}[]", v) for v in value]
+            if not value:
+                found.add(prefix + NO_ITEMS)
+        elif value is not None:
+            found.add(prefix)
+    return found
+
+
+def parse(raw: str | None):
+    """The JSON value; None where there is none, where it is nested too deep to read, or where an object names a field twice."""
+
+    def fields(pairs: list) -> dict:
+        out = dict(pairs)
+        if len(out) < len(pairs):
+            raise ValueError("a field comes twice")
+        return out
+
+    try:
+        return json.loads(raw or "", object_pairs_hook=fields)
+    except (ValueError, RecursionError):
+        return None
 
 
 def fingerprint(paths: set[str] | frozenset[str]) -> str:
@@ -101,7 +135,7 @@ def registry(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
                     out.setdefault(fingerprint(paths), layout)
         if layout.items:
             for some in (c for n in range(3) for c in combinations(IDS, n)):  # no items at all
-                out.setdefault(fingerprint({layout.items, *some}), layout)
+                out.setdefault(fingerprint({layout.items[:-2] + NO_ITEMS, *some}), layout)
     return out
 
 
@@ -133,8 +167,9 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -
     """Turns of all records (conv_id, turn, record): conv_id, turn, position, role, text, layout.
 
     ``position`` counts the turns inside a record. A NULL text or role is empty. Records that are no
-    JSON object, and those whose fingerprint is unknown, give one row of the layout ``unmapped`` with
-    the fingerprint as its role and the record as its text. A record without turns gives none.
+    JSON object, that are nested too deep for the parser (some thousand levels) or name a field twice, and those
+    whose fingerprint is unknown, give one row of the layout ``unmapped`` with the fingerprint as its role
+    and the record as its text, so no text is lost. A record without turns gives none.
     """
     known = registry(layouts)
 
@@ -142,10 +177,7 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -
         for batch in batches:
             rows = []
             for conv_id, turn, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    record = json.loads(raw or "")
-                except ValueError:
-                    record = None
+                record = parse(raw)
                 paths = field_paths(record)
                 layout = known.get(fingerprint(paths)) if isinstance(record, dict) else None
                 if layout is None:

@@ -5,22 +5,24 @@ shingles are five words. Templates are cut to windows at every word, documents t
 overlapping windows. Window sizes are chosen so that retrieval is certain, not just probable:
 
 - Templates of 12 words or more take windows of 8 words (4 shingles), in documents every 4
-  words. A copy with a containment of 0.8 keeps a run of 7 shingles or more unbroken (a change
-  inside breaks at least 4 shingles, and a fifth may break), so one window of the document lies
-  in it and equals a window of the template; equal windows collide in every band.
+  words. A text that holds 0.8 of the template's shingles keeps a run of 7 shingles or more unbroken
+  (a change or an insertion breaks at least 4 shingles, and a fifth may break), so one
+  window of the document lies in it and equals a window of the template; equal windows collide in every band.
 - Shorter templates (5 to 11 words) take windows of one shingle, at every word.
 
 Windows that only resemble each other collide in at least one of 6 bands of 2 rows with
 probability 1 - (1 - J^2)^6. Before hashing, windows without any run of five words of the
-templates' vocabulary are left out: they share no shingle with any template. Candidates are
-verified by exact containment of the template's shingles in the text around the place.
+templates' vocabulary are left out: they share no shingle with any template. Band keys of
+documents meet those of templates in a join; the pairs of document and template that it retrieves are
+verified by exact containment: the share of the template's distinct shingles that the
+whole text holds. What is put in between, however long, doesn't matter.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.frames import fixed_table
@@ -29,8 +31,10 @@ SHINGLE = 5
 WINDOW, STEP = 8, 4
 LONG_TEMPLATE = 12
 BANDS, ROWS = 6, 2
-#: Words of all templates together, at most: what is broadcast and put into the plan is bounded by it.
-MOST_TEMPLATE_WORDS = 20_000
+#: Templates of so many words together are broadcast (some 20 MB); more of them are joined by shuffles.
+BROADCAST_WORDS = 100_000
+#: Distinct words that the first filter of windows knows, at most; beyond it all windows are hashed.
+MOST_VOCABULARY = 50_000
 
 # The wording of common notices.
 TEMPLATES = [
@@ -110,66 +114,68 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def template_windows(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """Windows of all templates: license, t_words, t_shingles, at (from 1), size, keys."""
-    rows = fixed_table(spark, ["license", "t_text"], templates).select("license", words_of(F.col("t_text")).alias("t_words"))
-    rows = rows.select("*", F.array_distinct(shingles(F.col("t_words"))).alias("t_shingles"), F.size("t_words").alias("n"))
+def template_windows(templates: DataFrame) -> DataFrame:
+    """Band keys of all windows of templates (license, t_text): rows (key, license), each once."""
+    rows = templates.select("license", words_of(F.col("t_text")).alias("t_words"))
+    rows = rows.select("*", F.size("t_words").alias("n"))
     size = F.when(F.col("n") >= LONG_TEMPLATE, WINDOW).otherwise(SHINGLE)
     rows = rows.select("*", size.alias("size")).select("*", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1)).alias("at"))
     keys = F.when(F.col("size") == WINDOW, bands(F.col("t_words"), F.col("at"), WINDOW)).otherwise(bands(F.col("t_words"), F.col("at"), SHINGLE))
-    return rows.select("license", "t_words", "t_shingles", "at", "size", keys.alias("keys"))
+    return rows.select("license", F.explode(keys).alias("key")).distinct()
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """Licenses found: doc_id, license, n_shingles (of the template), n_hit (most around one place), first_word (from 0), n_places.
+    """Licenses found: doc_id, license, n_shingles (of the template), n_hit (of them in the text), first_word (from 0), n_places.
 
-    A template is found where the text around a place holds at least 0.8 of its distinct shingles. NULL and
-    empty texts hold none; rows with the same doc_id are put together, rows without one likewise.
-    Texts and templates of fewer than five words hold no shingle; such templates are refused.
+    A template is found where the text holds at least 0.8 of its distinct shingles, with anything of
+    any length in between. ``first_word`` is where the first of its shingles starts, ``n_places`` how often that
+    shingle stands in the text. NULL and empty texts hold none; rows with the same doc_id are put together (the
+    fullest text counts), rows without one likewise. Texts and templates of fewer than five words hold
+    no shingle; such templates are refused. Any number of templates can be given.
     """
-    sizes = [len(re.findall("[a-z0-9]+", text.lower())) for _, text in templates]
-    if len({name for name, _ in templates}) < len(templates) or min(sizes) < SHINGLE:
+    cut = [re.findall("[a-z0-9]+", text.lower()) for _, text in templates]
+    if len({name for name, _ in templates}) < len(templates) or min(map(len, cut)) < SHINGLE:
         raise ValueError("templates need distinct names and five words or more")
-    if sum(sizes) > MOST_TEMPLATE_WORDS:
-        raise ValueError(f"templates have {sum(sizes)} words; at most {MOST_TEMPLATE_WORDS} fit")
-    windows = template_windows(docs.sparkSession, templates)
-    lists = windows.select("license", "t_words").distinct().collect()  # bounded by the check above
-    longest = max(len(r.t_words) for r in lists)
-    vocabulary = sorted({w for r in lists for w in r.t_words})
-    keyed = windows.select("license", "t_words", "t_shingles", F.col("at").alias("t_at"), F.explode("keys").alias("key"))
-    known = sorted({r.key for r in keyed.select("key").distinct().collect()})
+    few = sum(map(len, cut)) <= BROADCAST_WORDS
+    sized = lambda df: F.broadcast(df) if few else df
+    texts = fixed_table(docs.sparkSession, ["license", "t_text"], templates)
+    vocabulary = sorted({w for words in cut for w in words})
 
     w, n = F.col("w"), F.size("w")
     rows = once(docs.where("text IS NOT NULL").select("doc_id", "text"), w=words_of(F.col("text"))).drop("text")
-    rows = once(rows, known=F.transform(w, lambda x: x.isin(vocabulary)))
-    in_run = F.array_join(F.transform("known", lambda x: F.when(x, "1").otherwise("0")), "")
-    rows = rows.where(F.contains(in_run, F.lit("1" * SHINGLE)))
+    if len(vocabulary) <= MOST_VOCABULARY:
+        rows = once(rows, known=F.transform(w, lambda x: x.isin(vocabulary)))
+        in_run = F.array_join(F.transform("known", lambda x: F.when(x, "1").otherwise("0")), "")
+        rows = rows.where(F.contains(in_run, F.lit("1" * SHINGLE)))
+    else:
+        rows = once(rows.where(n >= SHINGLE), known=F.transform(w, lambda x: F.lit(True)))
     get = lambda a, i: F.element_at(a, i)
     starts = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: get(F.col("known"), i) & get(F.col("known"), i + 1) & get(F.col("known"), i + 2) & get(F.col("known"), i + 3) & get(F.col("known"), i + 4))
     rows = once(rows, runs=starts).drop("known")
     short = F.filter(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda p: get(F.col("runs"), p))
     every = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1), F.lit(STEP))).otherwise(F.array().cast("array<int>"))
     wide = F.filter(every, lambda p: get(F.col("runs"), p) | get(F.col("runs"), p + 1) | get(F.col("runs"), p + 2) | get(F.col("runs"), p + 3))
-    cut = lambda at, size: F.transform(at, lambda p: F.struct(p.alias("at"), bands(w, p, size).alias("keys")))
-    some = F.filter(F.concat(cut(short, SHINGLE), cut(wide, WINDOW)), lambda x: F.exists(x["keys"], lambda k: k.isin(known)))
 
-    # as many words on either side as an insertion or deletion within the bound can shift the text
-    pad = longest + longest // 5 + 2
-    found = rows.select("doc_id", "w", F.explode(some).alias("x")).select(
-        "doc_id", F.col("x.at").alias("at"), F.greatest(F.col("x.at") - pad, F.lit(1)).alias("from"), "w", F.explode("x.keys").alias("key")
-    )
-    found = found.select("doc_id", "at", "from", F.slice("w", F.col("from"), 2 * pad + WINDOW).alias("near"), "key")
-    found = found.join(F.broadcast(keyed), "key")  # bounded by MOST_TEMPLATE_WORDS
-    place = F.col("at") - F.col("t_at") + 1  # word of the text where the template would start
-    size, slack = F.size("t_words"), F.floor(F.size("t_words") / 5).cast("int") + 1
-    begin = F.greatest(place - slack, F.lit(1))
-    found = found.select("doc_id", "license", "t_shingles", begin.alias("begin"), F.slice("near", begin - F.col("from") + 1, size + slack + place - begin).alias("span"))
-    own = shingles(F.col("span"))
-    found = once(found, own=own).select(
-        "doc_id", "license", F.size("t_shingles").alias("n_shingles"), F.size(F.array_intersect("t_shingles", "own")).alias("n_hit"),
-        (F.col("begin") - 1 + F.array_position(F.transform("own", lambda s: F.array_contains(F.col("t_shingles"), s)), True) - 1).cast("long").alias("first_word"),
+    # retrieval: pairs of document and template with a common band
+    keys = F.array_distinct(F.flatten(F.concat(F.transform(short, lambda p: bands(w, p, SHINGLE)), F.transform(wide, lambda p: bands(w, p, WINDOW)))))
+    keyed = rows.select("doc_id", F.explode(keys).alias("key"))
+    found = keyed.join(sized(template_windows(texts)), "key").select("doc_id", "license").distinct()
+    per_document = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("license").alias("licenses"))
+
+    # verification: the shingles of the texts that have a candidate
+    whole = once(rows, own=F.transform(short, lambda p: F.struct(p.alias("at"), shingle(w, p).alias("text")))).select("doc_id", "own")
+    whole = whole.join(per_document.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    whole = once(whole, texts=F.col("own.text")).select("doc_id", "own", "texts", F.explode("licenses").alias("license"))
+    wanted = texts.select("license", F.array_distinct(shingles(words_of(F.col("t_text")))).alias("t_shingles"))
+    found = whole.join(sized(wanted), "license")
+    found = once(found, hits=F.array_intersect("texts", "t_shingles"))
+    first = F.get(F.filter("own", lambda x: F.array_contains(F.col("t_shingles"), x["text"])), F.lit(0))
+    found = found.where(F.size("hits") * 10 >= F.size("t_shingles") * 8)
+    found = once(found, first=first).select(
+        "doc_id", "license", F.size("t_shingles").cast("long").alias("n_shingles"), F.size("hits").cast("long").alias("n_hit"),
+        (F.col("first.at") - 1).cast("long").alias("first_word"),
+        F.size(F.filter("texts", lambda x: x == F.col("first.text"))).cast("long").alias("n_places"),
     )
-    found = found.where(F.col("n_hit") * 10 >= F.col("n_shingles") * 8)
     return found.groupBy("doc_id", "license").agg(
-        F.max("n_shingles").cast("long").alias("n_shingles"), F.max("n_hit").cast("long").alias("n_hit"), F.min("first_word").alias("first_word"), F.count_distinct("first_word").alias("n_places")
+        F.max("n_shingles").alias("n_shingles"), F.max("n_hit").alias("n_hit"), F.min("first_word").alias("first_word"), F.sum("n_places").alias("n_places")
     )

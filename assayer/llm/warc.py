@@ -33,8 +33,6 @@ VERSION = b"WARC/1."
 MAGIC = b"\x1f\x8b\x08"
 WINDOW_BYTES = 1 << 20
 STEP_BYTES = 1 << 14
-#: A header longer than this is damage.
-LONGEST_HEADER = 1 << 20
 #: Payload bytes after which a batch of records is given out.
 BATCH_BYTES = 8 << 20
 ENTRIES = "path string, start long, stop long, kind string, reason string, record_type string, record_id string, target string, refers_to string, digest string, payload_length long, payload binary"
@@ -63,17 +61,18 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 def revisits(pages: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
     """Pages (page_id, url, html) with ``digest`` and ``refers_to`` (NULL: stored).
 
-    A NULL html is an empty payload, a NULL page_id is always stored. Groups are counted by
-    partial aggregates and joined back as (page_id, digest) rows only; a hot digest is split
-    by the adaptive skew join.
+    A NULL html is an empty payload, a NULL page_id is always stored. A page_id may come more than once:
+    each of its payloads is judged by itself, and rows of the largest page_id are all stored. Groups are
+    counted by partial aggregates and joined back as (page_id, digest, size) rows only; a hot digest is
+    split by the adaptive skew join.
     """
     body = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"))
-    large = rows.where(F.octet_length("html") >= least).select("page_id", F.sha1("html").alias("d"), F.octet_length("html").alias("n"))
-    groups = large.groupBy("d", "n").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    later = large.join(groups, ["d", "n"]).where("page_id <> keeper").groupBy(F.col("page_id").alias("__id")).agg(F.first("keeper").alias("refers_to"))
-    joined = rows.join(later.hint("shuffle_hash"), F.col("page_id") == F.col("__id"), "left").drop("__id")
-    return joined.withColumn("digest", F.sha1("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
+    large = rows.where(F.col("size") >= least).select("page_id", "digest", "size")
+    groups = large.groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    later = large.join(groups, ["digest", "size"]).where("page_id <> keeper")
+    later = later.groupBy("page_id", "digest", "size").agg(F.max("keeper").alias("refers_to"))
+    return rows.join(later.hint("shuffle_hash"), ["page_id", "digest", "size"], "left").drop("size")
 
 
 def write(pages: DataFrame, where: str, least: int = LEAST_REVISITED, level: int = 6) -> DataFrame:
@@ -123,6 +122,8 @@ class Salvager:
     def __init__(self, file):
         self.file, self.size = file, file.size()
         self.base, self.window = 0, b""
+        #: From here on no header ends; and the last end found, with the place it was looked for from.
+        self.endless, self.ending = self.size, (0, 0)
 
     def peek(self, at: int, n: int) -> bytes:
         """Up to ``n`` bytes from ``at``."""
@@ -178,22 +179,35 @@ class Salvager:
         return self.checked(Entry(at, stop, None, headers, raw[begin : begin + length]))
 
     def uncompressed(self, at: int) -> Entry:
-        n = 4096
-        while b"\r\n\r\n" not in (raw := self.peek(at, n)):
-            if len(raw) < n or n > LONGEST_HEADER:
-                raise Damaged("header without an end")
-            n *= 4
-        headers, begin = self.header(raw)
+        headers, begin = self.header(self.peek(at, self.header_end(at) - at))
         length = self.length(headers)
         block = self.peek(at + begin, length + 4) if at + begin + length + 4 <= self.size else b""
         if len(block) != length + 4 or block[length:] != b"\r\n\r\n":
             raise Damaged("content length does not fit")
         return self.checked(Entry(at, at + begin + length + 4, None, headers, block[:length]))
 
+    def header_end(self, at: int) -> int:
+        """The place behind the first empty line from ``at`` on; the archive's size is the only bound."""
+        since, end = self.ending
+        if since <= at <= end - 4:
+            return end
+        place = at
+        while place < self.endless:
+            part = self.peek(place, min(STEP_BYTES, self.size - place))
+            found = part.find(b"\r\n\r\n")
+            if found >= 0:
+                self.ending = (at, place + found + 4)
+                return place + found + 4
+            if place + len(part) >= self.size:
+                break
+            place += len(part) - 3
+        self.endless = min(self.endless, at)
+        raise Damaged("header without an end")
+
     @staticmethod
     def header(raw: bytes) -> tuple[dict[str, str], int]:
         """Fields (names in lower case) and the place behind the empty line."""
-        end = raw.find(b"\r\n\r\n", 0, LONGEST_HEADER)
+        end = raw.find(b"\r\n\r\n")
         if not raw.startswith(VERSION) or end < 0:
             raise Damaged("header without an end")
         fields = {}
