@@ -1,7 +1,7 @@
 """Queries over evidence, decisions and verdicts.
 
-The rule queries take their facts from plain expressions of the finding number, so
-that the check can state the same facts; `verdicts` reads them from trace and code.
+All of them read their facts from trace and code; the checks derive the same facts in SQL
+(``fact_checks``), apply the rules as written out in ``rule_checks`` and decide.
 """
 
 from __future__ import annotations
@@ -13,32 +13,27 @@ from assayer.functions import text as t
 from assayer.operators import categories as cat
 from assayer.operators import decision, rules, snippets as sn, source_tree as st
 from assayer.operators import verdicts as vd
+from assayer.plans import fact_checks as fc
 from assayer.plans import rule_checks as checks
 from assayer.plans import views as v
 from assayer.plans.registry import flag, query, quoted_list
 from assayer.session import staged
 
-FACTS = [
-    "cid", "checker", "function", "code",
-    "(cid % 4 = 0) AS defect_confirmed", "(cid % 9 = 0) AS taint_confirmed", "(cid % 5 = 0) AS guard_on_path", "(cid % 10 = 0) AS guard_takes_true",
-    "(cid % 3 = 0) AS size_equal_in_trace", "(cid % 7 = 0) AS size_equal_in_code", "(cid % 6 = 0) AS trace_validates", "(cid % 2 = 0) AS src_bounded",
-    "(cid % 8 = 0) AS memset_before", "(cid % 3 = 1) AS null_guard_covers", "(cid % 4 = 1) AS null_guard_before", "(cid % 5 = 1) AS null_guard_inside",
-    "(cid % 6 = 1) AS guarded_by_flag", "(cid % 3 = 2) AS caller_exempt", "CASE cid % 3 WHEN 0 THEN NULL WHEN 1 THEN (cid % 2 = 0) ELSE (cid % 4 = 0) END AS guard_covers",
-    "CASE cid % 11 WHEN 0 THEN 'a network receive buffer' WHEN 1 THEN 'function arguments (caller-controlled)' WHEN 2 THEN 'a heap allocation (may return NULL)' WHEN 3 THEN 'a local literal' "
-    "WHEN 4 THEN 'a file read operation' WHEN 5 THEN 'a string copy operation' ELSE 'an unknown source' END AS origin",
-    "CASE cid % 13 WHEN 0 THEN 'strcpy' WHEN 1 THEN 'sprintf' WHEN 2 THEN 'gets' WHEN 3 THEN 'strncpy' WHEN 4 THEN 'snprintf' WHEN 5 THEN 'memcpy' WHEN 6 THEN 'memmove' WHEN 7 THEN 'strncat' ELSE '' END AS sink_func",
-    "CASE WHEN cid % 6 = 5 THEN 'free' ELSE '' END AS release_func", "CASE WHEN cid % 17 = 0 THEN 'r1' ELSE '' END AS corroborated_by",
-    "CASE WHEN cid % 4 = 2 THEN 'p' ELSE '' END AS null_var", "CASE WHEN cid % 3 = 0 THEN 'q' ELSE 'p' END AS var",
-    "CAST(CASE WHEN cid % 4 = 3 THEN cid % 20 + 1 ELSE 0 END AS BIGINT) AS guard_line", "CAST(cid % 3 AS BIGINT) AS null_guard_line", "CAST(cid % 16 AS BIGINT) AS dest_size",
-    "CAST(cid % 21 AS BIGINT) AS copy_size", "CAST(cid % 2 AS BIGINT) AS n_callers",
+FLAGS = [
+    "defect_confirmed", "taint_confirmed", "guard_on_path", "guard_takes_true", "size_equal_in_trace", "size_equal_in_code", "trace_validates", "src_bounded",
+    "memset_before", "null_guard_covers", "null_guard_before", "null_guard_inside", "guarded_by_flag", "caller_exempt", "guard_covers",
 ]
+TEXTS = ["rule_set", "origin", "sink_func", "release_func", "null_var", "var"]
+NUMBERS = ["guard_line", "null_guard_line", "dest_size", "copy_size"]
 
 
 _BLANK = ("origin", "sink_func", "release_func", "corroborated_by", "guard_line", "guard_covers")
 _DEF = {"origin": "''", "sink_func": "''", "release_func": "''", "corroborated_by": "''", "guard_line": "0", "guard_covers": "false"}
-RULED = {
-    "v_fact0": "SELECT " + ", ".join(FACTS) + f", {checks.RULE_SET} AS rule_set FROM v_code",
-    "v_fact1": "SELECT * REPLACE (" + ", ".join(f"CASE WHEN rule_set = 'GENERIC' THEN {_DEF[c]} ELSE {c} END AS {c}" for c in _BLANK) + "), len(string_split(code, chr(10))) AS n_lines FROM v_fact0",
+RULED = fc.CODE_FACTS | {
+    "v_fact1": "SELECT * REPLACE (" + ", ".join(f"CASE WHEN rule_set = 'GENERIC' THEN {_DEF[c]} ELSE {c} END AS {c}" for c in _BLANK) + "), len(string_split(code, chr(10))) AS n_lines FROM v_known",
+    "v_prior": """
+SELECT cid, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN defect_confirmed THEN 0.35 ELSE 0 END::DOUBLE + CASE WHEN taint_confirmed THEN 0.15 ELSE 0 END::DOUBLE
+ + CASE WHEN guard_on_path AND guard_takes_true THEN -0.3 ELSE 0 END::DOUBLE + CASE WHEN len(string_split(code, chr(10))) < 5 THEN -0.2 ELSE 0 END::DOUBLE)) + CASE WHEN corroborated_by <> '' THEN 0.15 ELSE 0 END::DOUBLE), 2) AS prior FROM v_known""",
     "v_fire1": "SELECT *, list_filter([" + ", ".join(checks.FIRST) + "], lambda x: x IS NOT NULL) AS ev1 FROM v_fact1",
     "v_fire": "SELECT cid, checker, rule_set, list_concat(ev1, list_filter([" + ", ".join(checks.LATER) + "], lambda x: x IS NOT NULL)) AS ev FROM v_fire1",
     "v_ev": "SELECT cid, e.seq AS seq, e.label AS label, e.polarity AS polarity, e.w AS w, e.text AS text FROM (SELECT cid, unnest(ev) AS e FROM v_fire)",
@@ -57,9 +52,20 @@ SELECT cid, b, f, round(CASE WHEN step = 'tie' THEN greatest(c, 0.5::DOUBLE) ELS
 }
 
 
+def _known(spark, d):
+    """Facts of trace and code of every finding."""
+    df = vd.gather(v.code(spark, d), v.trace(spark, d))
+    return vd.code_facts(df.withColumn("rule_set", rules.rule_set(F.col("checker"), F.col("code") != "")))
+
+
+@query("SELECT cid, " + ", ".join(f"{c}::INT::BIGINT AS {c}" for c in FLAGS) + ", " + ", ".join(TEXTS + NUMBERS) + " FROM v_known", fc.CODE_FACTS)
+def code_facts(spark, d):
+    """G11-G21 and E10-E12 as the rules read them."""
+    return _known(spark, d).select("cid", *[flag(F.col(c)).alias(c) for c in FLAGS], *TEXTS, *[F.col(c).cast("bigint").alias(c) for c in NUMBERS])
+
+
 def _ruled(spark, d):
-    df = v.code(spark, d).selectExpr(*FACTS)
-    df = df.withColumn("rule_set", rules.rule_set(F.col("checker"), F.col("code") != ""))
+    df = staged(_known(spark, d), "known")
     return rules.evidence(rules.with_facts(df)).select("cid", "checker", "rule_set", "evidence")
 
 
@@ -126,13 +132,11 @@ def fallback_code(spark, d):
     return rules.fallback_code(df, snippets).select("cid", flag(F.col("used_fallback")).alias("used_fallback"), "code")
 
 
-@query(
-    """
-SELECT cid, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN cid % 4 = 0 THEN 0.35 ELSE 0 END::DOUBLE + CASE WHEN cid % 9 = 0 THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN cid % 10 = 0 THEN -0.3 ELSE 0 END::DOUBLE)) + CASE WHEN cid % 17 = 0 THEN 0.15 ELSE 0 END::DOUBLE), 2) AS prior FROM v_code"""
-)
+@query("SELECT cid, prior FROM v_prior", RULED)
 def context_prior(spark, d):
     """R8."""
-    return vd.context_prior(v.code(spark, d).selectExpr(*FACTS)).select("cid", "prior")
+    df = _known(spark, d).withColumn("corroborated_by", F.lit(""))
+    return vd.context_prior(df).select("cid", "prior")
 
 
 OVER = [
