@@ -14,7 +14,7 @@ from assayer.operators import categories as cat
 from assayer.operators import decision, rules, snippets as sn, source_tree as st
 from assayer.operators import verdicts as vd
 from assayer.plans import fact_checks as fc
-from assayer.plans import rule_checks as checks
+from assayer.plans import verdict_checks as vc
 from assayer.plans import views as v
 from assayer.plans.registry import flag, query, quoted_list
 from assayer.session import staged
@@ -27,31 +27,6 @@ TEXTS = ["rule_set", "origin", "sink_func", "release_func", "null_var", "var"]
 NUMBERS = ["guard_line", "null_guard_line", "dest_size", "copy_size"]
 
 
-_BLANK = ("origin", "sink_func", "release_func", "corroborated_by", "guard_line", "guard_covers")
-_DEF = {"origin": "''", "sink_func": "''", "release_func": "''", "corroborated_by": "''", "guard_line": "0", "guard_covers": "false"}
-RULED = fc.CODE_FACTS | {
-    "v_fact1": "SELECT * REPLACE (" + ", ".join(f"CASE WHEN rule_set = 'GENERIC' THEN {_DEF[c]} ELSE {c} END AS {c}" for c in _BLANK) + "), len(string_split(code, chr(10))) AS n_lines FROM v_known",
-    "v_prior": """
-SELECT cid, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN defect_confirmed THEN 0.35 ELSE 0 END::DOUBLE + CASE WHEN taint_confirmed THEN 0.15 ELSE 0 END::DOUBLE
- + CASE WHEN guard_on_path AND guard_takes_true THEN -0.3 ELSE 0 END::DOUBLE + CASE WHEN len(string_split(code, chr(10))) < 5 THEN -0.2 ELSE 0 END::DOUBLE)) + CASE WHEN corroborated_by <> '' THEN 0.15 ELSE 0 END::DOUBLE), 2) AS prior FROM v_known""",
-    "v_fire1": "SELECT *, list_filter([" + ", ".join(checks.FIRST) + "], lambda x: x IS NOT NULL) AS ev1 FROM v_fact1",
-    "v_fire": "SELECT cid, checker, rule_set, list_concat(ev1, list_filter([" + ", ".join(checks.LATER) + "], lambda x: x IS NOT NULL)) AS ev FROM v_fire1",
-    "v_ev": "SELECT cid, e.seq AS seq, e.label AS label, e.polarity AS polarity, e.w AS w, e.text AS text FROM (SELECT cid, unnest(ev) AS e FROM v_fire)",
-    "v_score": f"""
-SELECT c.cid, coalesce(sum(w) FILTER (polarity = 'bug'), 0)::INT AS b, coalesce(sum(w) FILTER (polarity = 'fp'), 0)::INT AS f, coalesce(max(label IN ({quoted_list(checks.CRITICAL_BUG)})), false) AS cb,
- coalesce(max(label IN ({quoted_list(checks.CRITICAL_FP)})), false) AS cf, count(*) FILTER (label = 'insufficient_context') AS ins, coalesce(arg_max(w, (w, -seq)), 0) AS tw, coalesce(arg_max(polarity, (w, -seq)), '') AS tp FROM v_code c LEFT JOIN v_ev e USING (cid) GROUP BY 1""",
-    "v_conf": """
-SELECT *, CASE WHEN ins > 0 THEN greatest(0.0::DOUBLE, c1 - ins * 0.20::DOUBLE) ELSE c1 END AS c FROM (SELECT *, CASE WHEN (cb AND NOT cf AND fs < 0.3) OR (cf AND NOT cb AND bs < 0.3) THEN least(1.0::DOUBLE, c0 + 0.15::DOUBLE) ELSE c0 END AS c1 FROM (
- SELECT *, CASE WHEN b + f = 0 THEN 0.0::DOUBLE WHEN lo = 0 THEN least(1.0::DOUBLE, 0.55::DOUBLE + wi * 0.22::DOUBLE + dom * 0.15::DOUBLE) ELSE least(1.0::DOUBLE, 0.45::DOUBLE + (wi - lo) * 0.30::DOUBLE + wi * 0.12::DOUBLE + dom * 0.15::DOUBLE) END AS c0 FROM (
-  SELECT *, CASE WHEN b + f > 0 THEN wi / (bs + fs) ELSE 0.0::DOUBLE END AS dom FROM (SELECT *, greatest(bs, fs) AS wi, least(bs, fs) AS lo FROM (SELECT *, b / 100.0::DOUBLE AS bs, f / 100.0::DOUBLE AS fs FROM v_score)))))""",
-    "v_decided": """
-SELECT cid, b, f, round(CASE WHEN step = 'tie' THEN greatest(c, 0.5::DOUBLE) ELSE c END, 2) AS confidence, CASE WHEN step = 'tie' THEN CASE WHEN tp = 'bug' THEN 'Bug' ELSE 'False positive' END ELSE step END AS classification, c AS raw FROM (
- SELECT *, CASE WHEN b + f = 0 THEN 'Needs review' WHEN cb AND NOT cf AND b > f THEN 'Bug' WHEN cf AND NOT cb AND f > b THEN 'False positive'
-  WHEN c >= 0.45 AND dom >= 0.62 AND wi - lo >= 0.12 THEN CASE WHEN b > f THEN 'Bug' ELSE 'False positive' END WHEN c >= 0.50 AND b > f THEN 'Bug' WHEN c >= 0.50 AND f > b THEN 'False positive'
-  WHEN c >= 0.35 AND bs > fs + 0.15::DOUBLE THEN 'Bug' WHEN c >= 0.35 AND fs > bs + 0.15::DOUBLE THEN 'False positive' WHEN tw >= 75 AND tp IN ('bug', 'fp') AND abs(b - f) <= 2 THEN 'tie' ELSE 'Needs review' END AS step FROM v_conf)""",
-}
-
-
 def _known(spark, d):
     """Facts of trace and code of every finding."""
     df = vd.gather(v.code(spark, d), v.trace(spark, d))
@@ -69,41 +44,33 @@ def _ruled(spark, d):
     return rules.evidence(rules.with_facts(df)).select("cid", "checker", "rule_set", "evidence")
 
 
-@query("SELECT cid, seq::BIGINT AS seq, label, polarity, w::BIGINT AS weight_c, text AS description FROM v_ev", RULED)
+@query("SELECT cid, seq::BIGINT AS seq, label, polarity, w::BIGINT AS weight_c, text AS description FROM v_ev", fc.RULED)
 def rule_evidence(spark, d):
     """R0, R1, R2."""
     e = rules.evidence_rows(_ruled(spark, d))
     return e.select("cid", F.col("seq").cast("bigint").alias("seq"), "label", "polarity", F.col("weight_c").cast("bigint").alias("weight_c"), "description")
 
 
-@query("SELECT cid, b::BIGINT AS bug_c, f::BIGINT AS fp_c FROM v_score WHERE cid IN (SELECT cid FROM v_ev)", RULED)
+@query("SELECT cid, b::BIGINT AS bug_c, f::BIGINT AS fp_c FROM v_score WHERE cid IN (SELECT cid FROM v_ev)", fc.RULED)
 def evidence_score(spark, d):
     """D1, as an aggregate of the long table."""
     return decision.score_rows(rules.evidence_rows(_ruled(spark, d)))
 
 
-@query("SELECT cid, b::BIGINT AS bug_c, f::BIGINT AS fp_c, cb::INT::BIGINT AS critical_bug, cf::INT::BIGINT AS critical_fp FROM v_score", RULED)
+@query("SELECT cid, b::BIGINT AS bug_c, f::BIGINT AS fp_c, cb::INT::BIGINT AS critical_bug, cf::INT::BIGINT AS critical_fp FROM v_score", fc.RULED)
 def critical_flags(spark, d):
     """D1 in the row, D2."""
     s = decision.critical_flags(decision.scores(_ruled(spark, d)))
     return s.select("cid", F.col("bug_c").cast("bigint").alias("bug_c"), F.col("fp_c").cast("bigint").alias("fp_c"), flag(F.col("critical_bug")).alias("critical_bug"), flag(F.col("critical_fp")).alias("critical_fp"))
 
 
-@query("SELECT cid, classification, confidence FROM v_decided", RULED)
+@query("SELECT cid, classification, confidence FROM v_decided", fc.RULED)
 def decision_by_evidence(spark, d):
     """D3, D4, D5."""
     return decision.decide(_ruled(spark, d)).select("cid", "classification", "confidence")
 
 
-@query(
-    """
-SELECT d.cid, d.classification, CASE WHEN max(d.raw2) >= 0.80 THEN 'High confidence.' WHEN max(d.raw2) >= 0.55 THEN 'Moderate confidence — review recommended.' ELSE 'Low confidence — manual review required.' END || ' | ' ||
- coalesce(string_agg(r.label || ': ' || r.text, ' | ' ORDER BY CASE WHEN d.classification = 'Needs review' AND r.polarity = 'fp' THEN 1 ELSE 0 END, r.w DESC, r.seq), 'Insufficient evidence for automatic classification.') AS reasons
-FROM (SELECT *, greatest(raw, confidence) AS raw2 FROM (SELECT cid, classification, raw, CASE WHEN raw < 0.5 THEN confidence ELSE raw END AS confidence FROM v_decided)) d
-LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cid, polarity ORDER BY w DESC, seq) AS rn FROM v_ev) r ON r.cid = d.cid AND ((d.classification = 'Bug' AND r.polarity = 'bug' AND rn <= 3) OR (d.classification = 'False positive' AND r.polarity = 'fp' AND rn <= 3)
- OR (d.classification = 'Needs review' AND r.polarity IN ('bug', 'fp') AND rn <= 2)) GROUP BY 1, 2""",
-    RULED,
-)
+@query("SELECT cid, classification, reasons FROM v_reasons", fc.RULED)
 def top_reasons(spark, d):
     """D6."""
     return decision.decide(_ruled(spark, d)).select("cid", "classification", F.array_join("reasons", " | ").alias("reasons"))
@@ -112,7 +79,7 @@ def top_reasons(spark, d):
 @query(
     "SELECT a.cid, a.label AS bug_label, b.label AS fp_label FROM v_ev a JOIN v_ev b ON a.cid = b.cid AND a.polarity = 'bug' AND b.polarity = 'fp' WHERE a.label = b.label OR "
     + " OR ".join(f"(contains(a.label, '{w}') AND contains(b.label, '{w}'))" for w in dim.DOMAIN_WORDS),
-    RULED,
+    fc.RULED,
 )
 def conflicts(spark, d):
     """D7."""
@@ -132,58 +99,43 @@ def fallback_code(spark, d):
     return rules.fallback_code(df, snippets).select("cid", flag(F.col("used_fallback")).alias("used_fallback"), "code")
 
 
-@query("SELECT cid, prior FROM v_prior", RULED)
+@query("SELECT cid, prior FROM v_prior", fc.RULED)
 def context_prior(spark, d):
     """R8."""
     df = _known(spark, d).withColumn("corroborated_by", F.lit(""))
     return vd.context_prior(df).select("cid", "prior")
 
 
-OVER = [
-    "event_id AS cid", "'OVERRUN' AS rule_set", "CASE event_id % 3 WHEN 0 THEN 'Bug' WHEN 1 THEN 'False positive' ELSE 'Needs review' END AS classification", "CAST(event_id % 10 AS DOUBLE) / 10 AS confidence",
-    "(event_id % 7 = 0) AS is_off_by_one", "(event_id % 5 = 0) AS guard_is_safe", "CASE event_id % 4 WHEN 0 THEN 'irrelevant' WHEN 1 THEN 'unsafe' WHEN 2 THEN 'unknown' ELSE 'safe' END AS index_guard",
-    "(event_id % 2 = 0) AS named_access", "CAST(event_id % 12 AS BIGINT) AS bound", "CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(event_id % 16 AS BIGINT) END AS traced_index",
-    "CASE event_id % 13 WHEN 0 THEN 'Bug' WHEN 1 THEN 'False positive' ELSE 'Needs review' END AS extra_class", "CAST(event_id % 9 AS DOUBLE) / 8 AS extra_confidence",
-]
+def _overrun(spark, d):
+    """Facts, evidence and both decisions of every finding, as :func:`verdicts.judge` orders them, without a call graph."""
+    df = staged(vd.overrun_facts(staged(_known(spark, d), "known")), "overrun").withColumn("caller_verdict", F.lit(""))
+    df = decision.decide(staged(rules.evidence(rules.with_facts(df)), "evidence"))
+    return vd._extra_decision(vd.extra_overrun_evidence(df))
 
 
 @query(
-    """
-SELECT cid, CASE WHEN c3 = 'Needs review' AND extra_class <> 'Needs review' AND extra_confidence >= 0.55 THEN extra_class ELSE c3 END AS classification,
- CASE WHEN c3 = 'Needs review' AND extra_class <> 'Needs review' AND extra_confidence >= 0.55 THEN greatest(p3, extra_confidence - 0.05::DOUBLE) ELSE p3 END AS confidence FROM (
- SELECT *, CASE WHEN c2 <> 'Needs review' THEN c2 WHEN oob THEN 'Bug' WHEN index_guard = 'safe' THEN 'False positive' WHEN index_guard = 'unsafe' OR (index_guard = 'irrelevant' AND named_access) THEN 'Bug' ELSE c2 END AS c3,
-  CASE WHEN c2 <> 'Needs review' THEN p2 WHEN oob THEN 0.78 WHEN index_guard = 'safe' THEN 0.55 WHEN index_guard = 'unsafe' THEN 0.60 WHEN index_guard = 'irrelevant' AND named_access THEN 0.55 ELSE p2 END::DOUBLE AS p3 FROM (
-  SELECT *, CASE WHEN c1 = 'False positive' AND index_guard <> 'safe' THEN CASE WHEN index_guard = 'unsafe' OR named_access THEN 'Bug' ELSE 'Needs review' END ELSE c1 END AS c2,
-   CASE WHEN c1 = 'False positive' AND index_guard <> 'safe' THEN CASE WHEN index_guard = 'unsafe' AND oob THEN 0.78 WHEN index_guard = 'unsafe' OR named_access THEN 0.60 ELSE 0.55 END ELSE p1 END::DOUBLE AS p2 FROM (
-   SELECT *, coalesce(bound > 0 AND traced_index >= bound, false) AS oob, CASE WHEN is_off_by_one THEN 'Bug' WHEN guard_is_safe AND classification = 'Bug' THEN 'False positive' ELSE classification END AS c1,
-    CASE WHEN is_off_by_one AND classification <> 'Bug' THEN greatest(confidence, 0.82) WHEN NOT is_off_by_one AND guard_is_safe AND classification = 'Bug' THEN greatest(confidence, 0.78) ELSE confidence END::DOUBLE AS p1 FROM v_over)))""",
-    {"v_over": "SELECT " + ", ".join(OVER) + " FROM events"},
+    "SELECT cid, buffer AS array, index_var, index_expr, bound, bound_expr, cond AS guard_cond, index_guard, is_off_by_one::INT::BIGINT AS is_off_by_one, guard_is_safe::INT::BIGINT AS guard_is_safe, named_access::INT::BIGINT AS named_access FROM k_bound WHERE rule_set = 'OVERRUN'",
+    vc.ALONE,
 )
-def overrun_overrides(spark, d):
-    """R6."""
-    return vd.overrun_overrides(v.table(spark, d, "events").selectExpr(*OVER)).select("cid", "classification", "confidence")
+def overrun_bounds(spark, d):
+    """G23, G24 of overrun findings: access, bound, guard and what the guard is worth."""
+    df = vd.overrun_facts(staged(_known(spark, d).where("rule_set = 'OVERRUN'"), "known"))
+    return df.select(
+        "cid", "array", "index_var", "index_expr", "bound", "bound_expr", F.col("idx_guard_cond").alias("guard_cond"), "index_guard",
+        *[flag(F.col(c)).alias(c) for c in ("is_off_by_one", "guard_is_safe", "named_access")],
+    )
 
 
-FINAL = [
-    "event_id AS cid", "CASE event_id % 6 WHEN 0 THEN 'DEADCODE' WHEN 1 THEN 'UNUSED_VALUE' WHEN 2 THEN 'CHECKED_RETURN' WHEN 3 THEN 'NO_BREAK' WHEN 4 THEN 'GENERIC' ELSE 'UNINIT' END AS rule_set",
-    "CASE event_id % 5 WHEN 0 THEN 'Bug' WHEN 1 THEN 'False positive' ELSE 'Needs review' END AS classification", "0.9D AS confidence", "CASE WHEN event_id % 8 = 0 THEN '' ELSE 'x' END AS code",
-    "CAST(event_id % 2 AS BIGINT) AS n_events", "'Intentional' AS fate_class", "0.85D AS fate_confidence", "(event_id % 7 = 0) AS used_fallback", "(event_id % 9 = 0) AS line_is_various",
-]
+@query("SELECT cid, classification, confidence FROM k_corrected", vc.ALONE)
+def overrun_overrides(spark, d):
+    """R6."""
+    return vd.overrun_overrides(_overrun(spark, d)).select("cid", "classification", "confidence")
 
 
-@query(
-    """
-SELECT cid, classification, CASE WHEN cid % 9 = 0 THEN least(p, 0.70) ELSE p END::DOUBLE AS confidence FROM (SELECT cid, CASE WHEN empty THEN 'Needs review' WHEN rs = 2 THEN 'Intentional' WHEN rs = 1 AND c = 'Needs review' AND cid % 4 IN (1, 2) THEN CASE WHEN cid % 4 = 1 THEN 'Bug' ELSE 'Intentional' END WHEN rs IN (0, 1, 3) AND c = 'False positive' THEN 'Intentional' ELSE c END AS classification,
- CASE WHEN cid % 7 = 0 THEN least(q, 0.60) ELSE q END AS p FROM (SELECT *, CASE WHEN empty THEN 0.0 WHEN rs = 2 THEN 0.85 WHEN rs = 1 AND c = 'Needs review' AND cid % 4 IN (1, 2) THEN 0.55 ELSE 0.9 END AS q FROM (
-  SELECT event_id AS cid, event_id % 6 AS rs, CASE event_id % 5 WHEN 0 THEN 'Bug' WHEN 1 THEN 'False positive' ELSE 'Needs review' END AS c, event_id % 8 = 0 AND event_id % 2 = 0 AS empty FROM events)))"""
-)
+@query("SELECT cid, classification, confidence FROM k_final", vc.ALONE)
 def final_classes(spark, d):
-    """R4, R5, R7, N15."""
-    one = lambda p: F.array(F.struct(F.lit(p).alias("polarity")))
-    k = F.col("cid") % 4
-    ev = F.when(k == 1, one("bug")).when(k == 2, one("fp")).when(k == 3, F.concat(one("bug"), one("fp"))).otherwise(one("neutral"))
-    df = v.table(spark, d, "events").selectExpr(*FINAL).withColumn("evidence", ev)
-    return vd._finish(df, rules.RuleBook()).select("cid", "classification", "confidence")
+    """The verdict from trace and snippet alone."""
+    return vd.analyze(v.code(spark, d), v.trace(spark, d)).select("cid", "classification", "confidence")
 
 
 @query(
