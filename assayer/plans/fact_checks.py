@@ -143,8 +143,9 @@ SELECT c.cid, coalesce(sum(w) FILTER (polarity = 'bug'), 0)::INT AS b, coalesce(
 SELECT *, CASE WHEN ins > 0 THEN greatest(0.0::DOUBLE, c1 - ins * 0.20::DOUBLE) ELSE c1 END AS c FROM (SELECT *, CASE WHEN (cb AND NOT cf AND fs < 0.3) OR (cf AND NOT cb AND bs < 0.3) THEN least(1.0::DOUBLE, c0 + 0.15::DOUBLE) ELSE c0 END AS c1 FROM (
  SELECT *, CASE WHEN b + f = 0 THEN 0.0::DOUBLE WHEN lo = 0 THEN least(1.0::DOUBLE, 0.55::DOUBLE + wi * 0.22::DOUBLE + dom * 0.15::DOUBLE) ELSE least(1.0::DOUBLE, 0.45::DOUBLE + (wi - lo) * 0.30::DOUBLE + wi * 0.12::DOUBLE + dom * 0.15::DOUBLE) END AS c0 FROM (
   SELECT *, CASE WHEN b + f > 0 THEN wi / (bs + fs) ELSE 0.0::DOUBLE END AS dom FROM (SELECT *, greatest(bs, fs) AS wi, least(bs, fs) AS lo FROM (SELECT *, b / 100.0::DOUBLE AS bs, f / 100.0::DOUBLE AS fs FROM v_score)))))""",
+    # rounded by its decimal digits: DuckDB rounds a double just below a half upwards
     "v_decided": """
-SELECT cid, b, f, round(CASE WHEN step = 'tie' THEN greatest(c, 0.5::DOUBLE) ELSE c END, 2) AS confidence, CASE WHEN step = 'tie' THEN CASE WHEN tp = 'bug' THEN 'Bug' ELSE 'False positive' END ELSE step END AS classification, c AS raw FROM (
+SELECT cid, b, f, round((CASE WHEN step = 'tie' THEN greatest(c, 0.5::DOUBLE) ELSE c END)::VARCHAR::DECIMAL(38, 20), 2)::DOUBLE AS confidence, CASE WHEN step = 'tie' THEN CASE WHEN tp = 'bug' THEN 'Bug' ELSE 'False positive' END ELSE step END AS classification, c AS raw FROM (
  SELECT *, CASE WHEN b + f = 0 THEN 'Needs review' WHEN cb AND NOT cf AND b > f THEN 'Bug' WHEN cf AND NOT cb AND f > b THEN 'False positive'
   WHEN c >= 0.45 AND dom >= 0.62 AND wi - lo >= 0.12 THEN CASE WHEN b > f THEN 'Bug' ELSE 'False positive' END WHEN c >= 0.50 AND b > f THEN 'Bug' WHEN c >= 0.50 AND f > b THEN 'False positive'
   WHEN c >= 0.35 AND bs > fs + 0.15::DOUBLE THEN 'Bug' WHEN c >= 0.35 AND fs > bs + 0.15::DOUBLE THEN 'False positive' WHEN tw >= 75 AND tp IN ('bug', 'fp') AND abs(b - f) <= 2 THEN 'tie' ELSE 'Needs review' END AS step FROM v_conf)""",

@@ -279,16 +279,16 @@ ORIGIN = {
     "v_next": f"""
 SELECT cid, target, list_filter(regexp_extract_all(arg_max(source, seq), '\\b([A-Za-z_]\\w*)\\b', 1), lambda x: x NOT IN ({quoted_list(dim.NOT_A_SOURCE)}))[1] AS nxt FROM v_assign GROUP BY 1, 2""",
     "v_asked_of": "SELECT cid, 'i' AS v FROM v_code",
-    "v_start": r"""
+    "v_begun": r"""
 SELECT a.cid, a.v, regexp_matches(c.code, '\b\w+\s+\w*\s*\([^)]*\b\Q' || a.v || '\E\b[^)]*\)') AS is_p FROM v_asked_of a JOIN v_code c USING (cid) WHERE a.v <> '' AND regexp_matches(c.code, '\b\Q' || a.v || '\E\b')""",
     "v_walk": r"""
 WITH RECURSIVE walk AS (
- SELECT s.cid, s.v AS cur, [s.v] AS seen, (SELECT min((h.p, h.i, h.kind)) FROM v_hit h WHERE h.cid = s.cid AND regexp_matches(h.text, '\b\Q' || s.v || '\E\b')) AS hit FROM v_start s WHERE NOT s.is_p
+ SELECT s.cid, s.v AS cur, [s.v] AS seen, (SELECT min((h.p, h.i, h.kind)) FROM v_hit h WHERE h.cid = s.cid AND regexp_matches(h.text, '\b\Q' || s.v || '\E\b')) AS hit FROM v_begun s WHERE NOT s.is_p
  UNION ALL SELECT w.cid, n.nxt, list_append(w.seen, n.nxt), (SELECT min((h.p, h.i, h.kind)) FROM v_hit h WHERE h.cid = w.cid AND regexp_matches(h.text, '\b\Q' || n.nxt || '\E\b'))
  FROM walk w JOIN v_next n ON n.cid = w.cid AND n.target = w.cur WHERE w.hit IS NULL AND n.nxt IS NOT NULL AND NOT list_contains(w.seen, n.nxt))
 SELECT cid, cur, hit[2] AS i, hit[3] AS kind FROM walk WHERE hit IS NOT NULL""",
     "v_origin": """
-SELECT s.cid, CASE WHEN s.is_p THEN 'args' ELSE coalesce(w.kind, '') END AS kind, CASE WHEN s.is_p THEN 0 ELSE coalesce(w.i + 1, 0) END::BIGINT AS line, CASE WHEN s.is_p THEN s.v ELSE coalesce(w.cur, '') END AS var FROM v_start s LEFT JOIN v_walk w USING (cid)""",
+SELECT s.cid, CASE WHEN s.is_p THEN 'args' ELSE coalesce(w.kind, '') END AS kind, CASE WHEN s.is_p THEN 0 ELSE coalesce(w.i + 1, 0) END::BIGINT AS line, CASE WHEN s.is_p THEN s.v ELSE coalesce(w.cur, '') END AS var FROM v_begun s LEFT JOIN v_walk w USING (cid)""",
 }
 
 

@@ -174,31 +174,34 @@ def _passing_sites(spark, d):
     return sites.where("callee <> caller OR line_no <> caller_start")
 
 
-# another scanner's hits, up to four lines below each finding
-HITS = ["path", "line + CAST(cid % 5 AS BIGINT) AS line", "cid AS ordinal", "CASE WHEN cid % 6 = 0 THEN '' ELSE concat('rule-', CAST(cid % 9 AS STRING)) END AS rule_id"]
+def _hits(files):
+    """Another scanner's hits: lines of the tree that call what it watches."""
+    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text"))
+    rule = F.expr("CASE WHEN contains(text, 'strcpy(') THEN 'unsafe-copy' WHEN contains(text, 'sprintf(') THEN 'unsafe-format' WHEN contains(text, 'atoi(') THEN 'unchecked-number' ELSE '' END")
+    return lines.select("path", (F.col("i") + 1).cast("bigint").alias("line"), (F.col("i") + 1).cast("bigint").alias("ordinal"), rule.alias("rule_id"))
 
 
 def _verdicts(spark, d):
     files = v.files(spark, d)
     bodies = st.function_bodies(st.functions(st.line_facts(files)), files)
     placed = v.code(spark, d).selectExpr("*", f"{v.FILE_NO} AS file_no").selectExpr("*", f"{v.FILE_PATH} AS path").drop("file_no")
-    return vd.analyze(placed, v.trace(spark, d), call_sites=_passing_sites(spark, d), bodies=staged(bodies, "bodies"), hits=placed.selectExpr(*HITS))
+    return vd.analyze(placed, v.trace(spark, d), call_sites=_passing_sites(spark, d), bodies=staged(bodies, "bodies"), hits=_hits(files))
 
 
-@query()
+@query(vc.VERDICTS, vc.WHOLE)
 def verdicts(spark, d):
     """G11-G25, R0-R8, D1-D6 in one plan: finding, trace and code to a verdict."""
     return _verdicts(spark, d).select("cid", "checker", "sink_func", "origin", "guard_line", "index_guard", "classification", "confidence", F.array_join("reasons", " | ").alias("reasons"))
 
 
-@query()
+@query(vc.SUMMARY, vc.WHOLE | vc.CATEGORY)
 def verdict_summary(spark, d):
     """Flagship: verdicts per category and class."""
     out = cat.with_category(_verdicts(spark, d).select("checker", "classification", "confidence"))
     return out.groupBy("category", "classification").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
 
 
-@query()
+@query("SELECT cid, checker, classification, confidence FROM k_final", vc.TREE)
 def tree_verdicts(spark, d):
     """Files to verdicts: function spans, enclosing code, callers and rules over the source tree."""
     files = v.files(spark, d)
@@ -210,5 +213,5 @@ def tree_verdicts(spark, d):
     bodies = staged(st.function_bodies(funcs, files), "bodies")
     sites = located.join(bodies.select("path", F.col("start_line").alias("caller_start"), "body"), ["path", "caller_start"], "left").withColumn("body", t.txt(F.col("body")))
     found = code.select("cid", "path", "checker", "function", "line", "code", "code_start_line")
-    out = vd.analyze(found, v.trace(spark, d), call_sites=staged(sites, "call-sites"), bodies=bodies, hits=placed.selectExpr(*HITS))
+    out = vd.analyze(found, v.trace(spark, d), call_sites=staged(sites, "call-sites"), bodies=bodies, hits=_hits(files))
     return out.select("cid", "checker", "classification", "confidence")

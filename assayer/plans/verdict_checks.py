@@ -95,7 +95,7 @@ _ENTRIES = [
 ]
 _DECISION = {k: fc.RULED[k] for k in ("v_score", "v_conf", "v_decided")}
 CORRECTED = {
-    **fc.renamed({k: x for k, x in q_code.ORIGIN.items() if k in ("v_asked_of", "v_start", "v_walk", "v_origin")}, {k: f"x_{k}" for k in ("v_asked_of", "v_start", "v_walk", "v_origin")}),
+    **fc.renamed({k: x for k, x in q_code.ORIGIN.items() if k in ("v_asked_of", "v_begun", "v_walk", "v_origin")}, {k: f"x_{k}" for k in ("v_asked_of", "v_begun", "v_walk", "v_origin")}),
     "x_v_asked_of": "SELECT cid, index_var AS v FROM k_bound JOIN v_decided USING (cid) WHERE rule_set = 'OVERRUN' AND classification = 'Needs review'",
     "k_extra": f"""
 SELECT cid, list_filter([{", ".join(_ENTRIES)}], lambda x: x IS NOT NULL) AS ev FROM (SELECT b.*, b.index_var NOT IN ('the offset', 'the index', 'index') AS known, coalesce(o.kind, '') AS kind, coalesce(t.caller_verdict, '') AS caller_verdict,
@@ -153,6 +153,31 @@ WHERE callee NOT IN ({quoted_list(dim.SKIPPED_CALLEES)}) GROUP BY 1""",
 SELECT c.cid, coalesce(t.callee_taint, '') AS callee_taint, coalesce(h.corroborated_by, '') AS corroborated_by, CASE WHEN c.name <> '' THEN coalesce(u.n, 0) ELSE -1 END AS n_callers
 FROM (SELECT *, regexp_extract(function, '(\w+)\s*(?:\(.*)?$', 1) AS name FROM v_code) c LEFT JOIN k_callee_taint t USING (cid) LEFT JOIN k_confirmed h USING (cid) LEFT JOIN k_used u ON u.callee = c.name""",
 }
-PLACED = {"k_placed": q_code.PLACED.replace("v_placed", "k_placed")}
+PLACED = {"k_placed": q_code.PLACED.replace("cid % 140 AS line", "line")}
 WHOLE = ALONE | SITES | CALLERS | AROUND | PLACED
 CATEGORY = {"d_cat": q_findings.CATS["d_cat"]}
+
+
+def over(views: dict[str, str], code: str, lines: str) -> dict[str, str]:
+    """The views with other findings and code lines in the place of ``v_code`` and ``code_lines``."""
+    return {k: fc.renamed({k: x}, {"v_code": code, "code_lines": lines})[k] for k, x in views.items()}
+
+
+# the same over a source tree: code is the function around each finding, sites are those of all files
+TREE = over(ALONE | CALLERS | AROUND, "t_code", "t_lines") | {
+    "k_placed": q_code.PLACED,
+    "t_code": """
+SELECT c.cid, c.checker, c.function, p.line, coalesce(string_agg(l.text, chr(10) ORDER BY l.line_no), '') AS code, coalesce(max(s.start_line), greatest(max(p.line) - 25, 0) + 1)::BIGINT AS code_start_line
+FROM v_code c JOIN k_placed p USING (cid) LEFT JOIN v_span s ON p.path = s.path AND p.line BETWEEN s.start_line AND s.end_line
+JOIN file_lines l ON l.path = p.path AND l.line_no BETWEEN coalesce(s.start_line, greatest(p.line - 25, 0) + 1) AND coalesce(s.end_line, p.line + 25) GROUP BY 1, 2, 3, 4""",
+    "t_lines": "SELECT cid, i, text, line - code_start_line AS rel, code_start_line, line FROM (SELECT cid, line, code_start_line, unnest(string_split(code, chr(10))) AS text, generate_subscripts(string_split(code, chr(10)), 1) - 1 AS i FROM t_code)",
+    "k_site": """
+SELECT v.path || '#' || s.start_line AS cid, v.path, v.line_no, v.line_no - s.start_line AS i, v.snippet, v.callee, s.name AS caller, s.start_line AS caller_start FROM v_site v JOIN v_span s ON v.path = s.path AND v.line_no BETWEEN s.start_line AND s.end_line
+WHERE NOT (v.line_no = s.start_line AND v.callee = s.name) AND v.callee IN (SELECT function FROM v_code)""",
+    "k_site_lines": "SELECT s.path || '#' || s.start_line AS site, l.line_no - s.start_line AS i, l.text FROM v_span s JOIN file_lines l ON l.path = s.path AND l.line_no BETWEEN s.start_line AND s.end_line",
+}
+VERDICTS = """
+SELECT f.cid, f.checker, k.sink_func, k.origin, k.guard_line::BIGINT AS guard_line, CASE WHEN k.rule_set = 'OVERRUN' THEN b.index_guard ELSE 'none' END AS index_guard, f.classification, f.confidence, r.reasons
+FROM k_final f JOIN v_fact1 k USING (cid) JOIN k_bound b USING (cid) JOIN v_reasons r USING (cid)"""
+SUMMARY = """
+SELECT coalesce(d_cat.category, 'Uncategorized') AS category, classification, count(*) AS n, round(avg(confidence), 4) AS mean_confidence FROM k_final f LEFT JOIN d_cat ON upper(trim(f.checker)) = d_cat.k GROUP BY 1, 2"""
