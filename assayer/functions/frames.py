@@ -62,6 +62,30 @@ def positions(
     )
 
 
+def heavy_keys(df: DataFrame, key: str, share: float = 1 / 256) -> list:
+    """Keys that hold more than ``share`` of all rows: at most 1 / share of them, so the list is bounded."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    every = counts.agg(F.sum("n")).first()[0] or 0
+    return [r[0] for r in counts.where(F.col("n") > every * share).collect()] if every else []
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, spread_by: list[str], how: str = "inner", share: float = 1 / 256, pieces: int = 64) -> DataFrame:
+    """Join on ``key`` whose heavy keys are dealt to many tasks.
+
+    Rows of ``big`` with a heavy key get one of ``pieces`` salts by the hash of ``spread_by``; the rows of
+    ``small`` with that key are there once per salt. All other rows keep the salt 0.
+    ``how`` may be inner, left or left_semi, seen from ``big``; a left join deals out rows without a key, too.
+    """
+    heavy = heavy_keys(big, key, share)
+    if not heavy and how != "left":
+        return big.join(small, key, how)
+    is_heavy = F.col(key).isin(heavy) if heavy else F.lit(False)
+    dealt = is_heavy | F.col(key).isNull()
+    salted = big.withColumn("__salt", F.when(dealt, F.pmod(F.xxhash64(*spread_by), F.lit(pieces)).cast("int")).otherwise(0))
+    copies = small.where(F.col(key).isNotNull()).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(is_heavy, pieces - 1).otherwise(0))))
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def latest(df: DataFrame, key: str, ordinal: str, columns: list[str]) -> DataFrame:
     """Last row per key by ordinal, as one partial aggregate (no window)."""
     rest = [c for c in columns if c != key]

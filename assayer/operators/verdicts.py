@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import dimensions as dim
 from assayer.functions import text as t
+from assayer.functions.frames import spread_join
 from assayer.operators import decision, rules, snippets as sn, trace as tr
 from assayer.operators.normalize import capped_confidence
 from assayer.operators.source_tree import corroborate, first_function, lines_of
@@ -103,20 +104,26 @@ def code_facts(df: DataFrame) -> DataFrame:
     ).drop("args", "guard_var", "arg_guard_at", "arg_guard_kind", "arg_guard_covers", "arg_guard_inside", "nul_guard_at", "nul_guard_kind", "nul_guard_covers", "nul_guard_inside", "flag_guard_at", "flag_var", "flag_call")
 
 
-def callee_taint(callees: DataFrame) -> DataFrame:
+def reading_functions(bodies: DataFrame) -> DataFrame:
+    """Functions that read outside data (G7): callee, reads (the first such call in the fixed order)."""
+    readers = t.members(dim.CALLEE_TAINT)
+    called = F.regexp_extract_all("body", F.lit(r"\b(" + "|".join(dim.CALLEE_TAINT) + r")\s*\("), 1)
+    place = F.array_min(F.transform(called, lambda fn: F.array_position(readers, fn)))
+    found = first_function(bodies).select(F.col("name").alias("callee"), F.get(readers, (place - 1).cast("int")).alias("reads"))
+    return found.where(F.col("reads").isNotNull())
+
+
+def callee_taint(callees: DataFrame, reading: DataFrame) -> DataFrame:
     """Callees that read outside data (G7): cid, callee_taint for the first such callee.
 
-    ``callees(cid, rank, callee, body)`` holds at most a few ranked rows per finding.
-    The result joins the findings before :func:`judge` and stands in as origin where
+    ``callees(cid, rank, callee)`` are the ranked callees of each finding, ``reading`` is what
+    :func:`reading_functions` gives: names meet names, no body travels, and a callee of very many findings is
+    dealt to many tasks. The result joins the findings before :func:`judge` and stands in as origin where
     the snippet itself shows none.
     """
-    readers = F.array(*[F.lit(fn) for fn in dim.CALLEE_TAINT])
-    called = F.regexp_extract_all("body", F.lit(r"\b(" + "|".join(dim.CALLEE_TAINT) + r")\s*\("), 1)
-    place = F.array_min(F.transform(called, lambda fn: F.array_position(readers, fn)))
-    text = F.concat("callee", F.lit("() (calls "), F.get(readers, (place - 1).cast("int")), F.lit("() internally)"))
-    found = callees.select("cid", "rank", text.alias("text"))
-    picked = found.groupBy("cid").agg(F.min_by("text", F.when(F.col("text").isNotNull(), F.col("rank"))).alias("callee_taint"))
-    return picked.where(F.col("callee_taint").isNotNull())
+    text = F.concat("callee", F.lit("() (calls "), "reads", F.lit("() internally)"))
+    found = spread_join(callees.select("cid", "rank", "callee"), reading, "callee", ["cid"]).select("cid", "rank", text.alias("text"))
+    return found.groupBy("cid").agg(F.min_by("text", "rank").alias("callee_taint"))
 
 
 def overrun_access(df: DataFrame) -> DataFrame:
@@ -191,47 +198,59 @@ def caller_question(df: DataFrame) -> DataFrame:
     )
 
 
+PLACES = ["callee", "arg_pos", "buf_pos"]
+
+
 def caller_answers(asked: DataFrame, call_sites: DataFrame) -> DataFrame:
     """Verdict of the callers per question (G25): 'oob', 'bounded_before', 'bounded' or ''.
 
     ``call_sites(callee, path, line_no, snippet, caller, caller_start, body)``.
-    Questions are distinct (function, places, size): many findings in one function ask
-    once, and a callee with very many sites is summed map-side, so findings and sites
-    are never paired.
+    Sites never meet questions. A site is read once for each pair of places among the arguments that
+    anybody asks about (a few per callee) and summed up at once: per place a histogram of the constants
+    passed, and counts of the rest. How many constants lie below a bound is a
+    running sum over the histogram and the bounds together, ordered by value. The sites of a callee that
+    very many call are dealt to many tasks.
     """
     asked = asked.where((F.col("callee") != "") & (F.col("arg_pos") > 0)).select(*QUESTION).distinct()
+    places = asked.select(*PLACES).distinct().groupBy("callee").agg(F.collect_list(F.struct("arg_pos", "buf_pos")).alias("places"))
+    sites = call_sites.where(F.col("snippet") != "").select("callee", "path", "line_no", "snippet", "caller_start", "body")
     q = (
-        call_sites.where(F.col("snippet") != "")
+        spread_join(sites, places, "callee", ["path", "line_no"])
         .withColumn("args", sn.call_arguments(F.col("snippet"), F.col("callee")))
-        .join(asked, "callee")
-        .withColumn("arg", F.get("args", F.col("arg_pos") - 1))
         .withColumn("lines", lines_of(F.col("body")))
+        .select("callee", "path", "line_no", "caller_start", "args", "lines", F.inline("places"))
+        .withColumn("arg", F.get("args", F.col("arg_pos") - 1))
     )
     passed = F.get("args", F.col("buf_pos") - 1)
-    declared = F.when((F.col("bound") <= 0) & (F.col("buf_pos") > 0), sn.array_declaration(F.col("lines"), passed)["size"])
+    declared = F.when(F.col("buf_pos") > 0, sn.array_declaration(F.col("lines"), passed)["size"])
     at = F.greatest(F.lit(1), F.least(F.col("line_no") - F.col("caller_start") + 1, F.size("lines"))) - 1
     q = q.withColumn("declared", F.when(declared > 0, declared)).withColumn("at", at.cast("int"))
     q = sn.index_flow(q, "lines", "arg", "at", "cf")
     number = F.when(F.col("arg").rlike(r"^\d+$"), F.col("arg").try_cast("bigint"))
     input_call = F.col("arg").rlike(INPUT_CALLS)
     relative = ~input_call & F.col("arg").rlike(r"\b(sizeof\s*\(|\b[\w]+\s*-\s*1\b)")
-    # the size may only be known from a caller's declaration, so sites are counted per
-    # passed constant first and compared with the size afterwards
-    per_value = q.groupBy(*QUESTION, number.alias("value")).agg(
-        F.count_if(F.col("arg").isNotNull()).alias("n"),
-        F.count_if(number.isNull() & input_call).alias("from_input"),
-        F.count_if(number.isNull() & relative).alias("relative"),
-        F.count_if(number.isNull() & F.col("arg").isNotNull() & (F.col("cf_guard_at") > 0)).alias("guarded"),
-        F.min(F.when(F.col("declared").isNotNull(), F.struct("path", "line_no", "declared"))).alias("d"),
+    histogram = staged(
+        q.groupBy(*PLACES, number.alias("value")).agg(
+            F.count_if(F.col("arg").isNotNull()).alias("n"),
+            F.count_if(number.isNull() & input_call).alias("from_input"),
+            F.count_if(number.isNull() & relative).alias("relative"),
+            F.count_if(number.isNull() & F.col("arg").isNotNull() & (F.col("cf_guard_at") > 0)).alias("guarded"),
+            F.min(F.when(F.col("declared").isNotNull(), F.struct("path", "line_no", "declared"))).alias("d"),
+        ),
+        "passed-values",
     )
-    sizes = per_value.groupBy(*QUESTION).agg(F.min("d").alias("d"))
-    sized = per_value.drop("d").join(sizes, QUESTION)
-    size = F.when(F.col("bound") > 0, F.col("bound")).otherwise(F.coalesce(F.col("d.declared"), F.lit(0)))
-    inside, outside = (size > 0) & (F.col("value") < size), (size > 0) & (F.col("value") >= size)
-    hits = sized.groupBy(*QUESTION).agg(
-        F.sum(F.when(outside, F.col("n")).otherwise(0) + F.col("from_input")).alias("b"),
-        F.sum(F.when(inside, F.col("n")).when(size > 0, F.col("relative")).otherwise(0)).alias("f"),
-        F.sum("guarded").alias("g"),
+    whole = histogram.groupBy(*PLACES).agg(
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("constants"),
+        F.sum("from_input").alias("from_input"), F.sum("relative").alias("relative"), F.sum("guarded").alias("guarded"), F.min("d")["declared"].alias("declared"),
+    )
+    sized = asked.join(whole, PLACES).withColumn("size", F.when(F.col("bound") > 0, F.col("bound")).otherwise(F.coalesce("declared", F.lit(0))))
+    hits = sized.join(below_sizes(histogram, sized), [*PLACES, "size"], "left")
+    below, known = F.coalesce("below", F.lit(0)), F.col("size") > 0
+    hits = hits.select(
+        *QUESTION,
+        (F.when(known, F.col("constants") - below).otherwise(0) + F.col("from_input")).alias("b"),
+        F.when(known, below + F.col("relative")).otherwise(0).alias("f"),
+        F.col("guarded").alias("g"),
     )
     verdict = (
         F.when((F.col("b") > 0) & (F.col("f") == 0) & (F.col("g") == 0), "oob")
@@ -243,6 +262,14 @@ def caller_answers(asked: DataFrame, call_sites: DataFrame) -> DataFrame:
     return hits.select(*QUESTION, verdict.alias("caller_verdict"))
 
 
+def below_sizes(histogram: DataFrame, sized: DataFrame) -> DataFrame:
+    """Constants below each asked size (callee, places, size): ``below``, by one running sum per place."""
+    values = histogram.where(F.col("value").isNotNull()).select(*PLACES, F.col("value").alias("x"), F.lit(1).alias("kind"), "n")
+    bounds = sized.where(F.col("size") > 0).select(*PLACES, F.col("size").alias("x"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("n")).distinct()
+    earlier = Window.partitionBy(*PLACES).orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return values.unionByName(bounds).withColumn("below", F.sum("n").over(earlier)).where("kind = 0").select(*PLACES, F.col("x").alias("size"), "below")
+
+
 def caller_evidence(df: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers of the callers onto findings: adds caller_verdict ('' for none)."""
     out = caller_question(df).join(answers, QUESTION, "left")
@@ -361,23 +388,37 @@ def function_name(df: DataFrame) -> Column:
     return F.regexp_extract(t.txt(F.col("function")), r"(\w+)\s*(?:\(.*)?$", 1)
 
 
-def neighbour_code(df: DataFrame, call_sites: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
-    """Code around findings that have none of their own: cid, rank, text for :func:`rules.fallback_code`.
+def neighbour_code(names: DataFrame, call_sites: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """Code around functions (R3): name, text, one row for each of ``names(name)`` that has any.
 
-    First what the finding's function calls, by line, where ``bodies`` has its definition, then
-    the functions that call it, by path and line; each once. Only names of such findings are looked up.
+    First what the function calls, by line, where ``bodies`` has its definition, then
+    the functions that call it, by path and line; each once. A name's text is as long as its neighbours are.
     """
-    bare = df.where(F.col("code") == "").select("cid", function_name(df).alias("__name")).where("__name <> ''")
-    names = bare.select("__name").distinct()
+    names = names.select("name").distinct()
     sites = call_sites.where(~F.col("callee").eqNullSafe(F.col("caller")))
     rank = lambda kind, path, line: F.struct(F.lit(kind).alias("kind"), path.alias("path"), line.cast("long").alias("line"))
-    calling = sites.join(names, F.col("callee") == F.col("__name")).select("__name", rank(1, F.col("path"), F.col("caller_start")).alias("rank"), F.col("body").alias("text"))
-    found = calling.groupBy("__name", "rank").agg(F.max("text").alias("text"))
+    asked = names.select(F.col("name").alias("callee"), "name")
+    calling = spread_join(sites.select("callee", "path", "line_no", "caller_start", "body"), asked, "callee", ["path", "line_no"])
+    found = calling.groupBy("name", rank(1, F.col("path"), F.col("caller_start")).alias("rank")).agg(F.max("body").alias("text"))
     if bodies is not None:
-        called = sites.join(names, F.col("caller") == F.col("__name")).groupBy("__name", "callee").agg(F.min(rank(0, F.col("path"), F.col("line_no"))).alias("rank"))
+        called = sites.select("caller", "callee", "path", "line_no").join(names, F.col("caller") == F.col("name"))
+        called = called.groupBy("name", "callee").agg(F.min(rank(0, F.col("path"), F.col("line_no"))).alias("rank"))
         defined = first_function(bodies).select(F.col("name").alias("callee"), F.col("body").alias("text"))
-        found = found.unionByName(called.join(defined, "callee").select("__name", "rank", "text"))
-    return bare.join(found, "__name").select("cid", "rank", "text")
+        found = found.unionByName(spread_join(called, defined, "callee", ["name"]).select("name", "rank", "text"))
+    parts = F.array_sort(F.collect_list(F.struct("rank", "text")))
+    return found.where(t.strip(F.col("text")) != "").groupBy("name").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def with_neighbours(df: DataFrame, call_sites: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """The code around its function for a finding that has none (R3): adds used_fallback.
+
+    Each function's text is put together once and handed to its findings; findings never meet single neighbours.
+    """
+    named = df.withColumn("__name", F.when(F.col("code") == "", F.nullif(function_name(df), F.lit(""))))
+    texts = staged(neighbour_code(named.where("__name IS NOT NULL").select(F.col("__name").alias("name")), call_sites, bodies), "neighbours")
+    out = spread_join(named, texts.select(F.col("name").alias("__name"), F.col("text").alias("__fb")), "__name", ["cid"], "left")
+    out = out.withColumn("used_fallback", F.col("__fb").isNotNull()).withColumn("code", F.coalesce("__fb", "code"))
+    return out.drop("__name", "__fb")
 
 
 def with_context(df: DataFrame, call_sites: DataFrame | None = None, bodies: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
@@ -387,11 +428,10 @@ def with_context(df: DataFrame, call_sites: DataFrame | None = None, bodies: Dat
     rule_id)`` those of another scanner; findings need ``path`` for them. Each may be missing, its columns then say nothing.
     """
     if call_sites is not None:
-        df = rules.fallback_code(df, neighbour_code(df, call_sites, bodies))
+        df = with_neighbours(df, call_sites, bodies)
     if bodies is not None:
-        reading = first_function(bodies).where(F.col("body").rlike(r"\b(" + "|".join(dim.CALLEE_TAINT) + r")\s*\("))
-        callees = sn.callees(df).join(reading.select(F.col("name").alias("callee"), "body"), "callee")
-        df = df.drop("callee_taint").join(callee_taint(callees), "cid", "left").withColumn("callee_taint", t.txt(F.col("callee_taint")))
+        taint = callee_taint(sn.callees(df), reading_functions(bodies))
+        df = df.drop("callee_taint").join(taint, "cid", "left").withColumn("callee_taint", t.txt(F.col("callee_taint")))
     if hits is not None:
         df = corroborate(df.drop("rule_id"), hits).withColumnRenamed("rule_id", "corroborated_by")
     for name, default in (("used_fallback", False), ("callee_taint", ""), ("corroborated_by", "")):

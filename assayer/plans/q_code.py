@@ -124,16 +124,16 @@ def callers(spark, d):
 
 @query(
     f"""
-SELECT cid, rank, callee FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY strpos(code, callee || '('), callee) AS rank FROM (SELECT DISTINCT cid, code, callee FROM (SELECT cid, code, unnest(regexp_extract_all(code, '\\b(\\w+)\\s*\\(', 1)) AS callee FROM v_code) WHERE callee NOT IN ({_SKIP}))) WHERE rank <= 5"""
+SELECT cid, rank, callee FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY strpos(code, callee || '('), callee) AS rank FROM (SELECT DISTINCT cid, code, callee FROM (SELECT cid, code, unnest(regexp_extract_all(code, '\\b(\\w+)\\s*\\(', 1)) AS callee FROM v_code) WHERE callee NOT IN ({_SKIP})))"""
 )
-def callees_top5(spark, d):
+def callees(spark, d):
     """G7."""
     return sn.callees(v.code(spark, d)).select("cid", F.col("rank").cast("bigint").alias("rank"), "callee")
 
 
 @query(
     f"""
-SELECT c.cid, c.callee, f.path, f.signature FROM (SELECT cid, callee FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY strpos(code, callee || '('), callee) AS rank FROM (SELECT DISTINCT cid, code, callee FROM (SELECT cid, code, unnest(regexp_extract_all(code, '\\b(\\w+)\\s*\\(', 1)) AS callee FROM v_code) WHERE callee NOT IN ({_SKIP}))) WHERE rank <= 5) c
+SELECT c.cid, c.callee, f.path, f.signature FROM (SELECT cid, callee FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY strpos(code, callee || '('), callee) AS rank FROM (SELECT DISTINCT cid, code, callee FROM (SELECT cid, code, unnest(regexp_extract_all(code, '\\b(\\w+)\\s*\\(', 1)) AS callee FROM v_code) WHERE callee NOT IN ({_SKIP})))) c
 JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, start_line) AS rn FROM v_span) WHERE rn = 1) f ON f.name = c.callee""",
     TREE,
 )
@@ -147,7 +147,7 @@ def callee_definitions(spark, d):
     f"""
 SELECT cid, arg_min(callee || '() (calls ' || fn || '() internally)', rank) AS callee_taint FROM (
  SELECT c.cid, c.rank, c.callee, list_filter([{quoted_list(dim.CALLEE_TAINT)}], lambda f: regexp_matches(b.body, '\\b' || f || '\\s*\\('))[1] AS fn
- FROM (SELECT cid, rank, callee FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY strpos(code, callee || '('), callee) AS rank FROM (SELECT DISTINCT cid, code, callee FROM (SELECT cid, code, unnest(regexp_extract_all(code, '\\b(\\w+)\\s*\\(', 1)) AS callee FROM v_code) WHERE callee NOT IN ({_SKIP}))) WHERE rank <= 5) c
+ FROM (SELECT cid, rank, callee FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY strpos(code, callee || '('), callee) AS rank FROM (SELECT DISTINCT cid, code, callee FROM (SELECT cid, code, unnest(regexp_extract_all(code, '\\b(\\w+)\\s*\\(', 1)) AS callee FROM v_code) WHERE callee NOT IN ({_SKIP})))) c
  JOIN (SELECT s.name, string_agg(l.text, chr(10) ORDER BY l.line_no) AS body FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, start_line) AS rn FROM v_span) WHERE rn = 1) s JOIN file_lines l ON l.path = s.path AND l.line_no BETWEEN s.start_line AND s.end_line GROUP BY 1) b ON b.name = c.callee)
 WHERE fn IS NOT NULL GROUP BY 1""",
     TREE,
@@ -156,7 +156,7 @@ def callee_taint(spark, d):
     """First callee that reads outside data."""
     files = v.files(spark, d)
     bodies = st.function_bodies(st.functions(st.line_facts(files)), files)
-    return vd.callee_taint(sn.callee_code(sn.callees(v.code(spark, d)), bodies))
+    return vd.callee_taint(sn.callees(v.code(spark, d)), vd.reading_functions(bodies))
 
 
 @query(
@@ -302,7 +302,7 @@ def provenance(spark, d):
 @query(
     """
 SELECT cid, rank, i::BIGINT + code_start_line AS line, trim(regexp_extract(text, '\\bn\\s*(?:[+\\-*/&|^]?=)\\s*([^;]+);', 1)) AS rhs FROM (
- SELECT *, row_number() OVER (PARTITION BY cid ORDER BY i DESC) AS rank FROM code_lines WHERE i < rel AND regexp_matches(text, '\\bn\\s*(?:[+\\-*/&|^]?=)\\s*([^;]+);')) WHERE rank <= 5"""
+ SELECT *, row_number() OVER (PARTITION BY cid ORDER BY i DESC) AS rank FROM code_lines WHERE i < rel AND regexp_matches(text, '\\bn\\s*(?:[+\\-*/&|^]?=)\\s*([^;]+);'))"""
 )
 def reaching_definitions(spark, d):
     """G16."""
@@ -390,17 +390,6 @@ def fault_then_proceed(spark, d):
     return s.select("cid", F.coalesce(F.col("f.i") + F.col("code_start_line"), F.lit(0)).alias("fault_line"), t.txt(F.col("f.cond")).alias("cond"))
 
 
-@query(
-    """
-SELECT cid, CASE WHEN hit THEN 12 ELSE 0 END::BIGINT AS guard_at, CASE WHEN hit THEN 'ok' ELSE '' END AS var, CASE WHEN hit THEN coalesce((SELECT arg_min(regexp_extract(l.text, '(\\b\\w+(?:->\\w+)*)\\s*\\(', 1), l.i) FROM code_lines l WHERE l.cid = c.cid AND l.i BETWEEN 1 AND 6 AND regexp_matches(l.text, '\\w\\s*\\(')), '') ELSE '' END AS call
-FROM (SELECT cid, cid % 10 = 7 AND line - code_start_line IN (11, 12) AS hit FROM v_code) c"""
-)
-def guarded_success_call(spark, d):
-    """Only one snippet form holds a success flag."""
-    s = sn.guarded_success_call(_snip(spark, d), "x")
-    return s.select("cid", F.when(F.col("x_var") == "ok", F.col("x_guard_at")).otherwise(0).cast("bigint").alias("guard_at"), F.when(F.col("x_var") == "ok", "ok").otherwise("").alias("var"), F.when(F.col("x_var") == "ok", F.col("x_call")).otherwise("").alias("call"))
-
-
 SUCCESS = {
     "v_brace": r"""
 SELECT cid, i, rel, text, length(replace(text, '{', '')) - length(replace(text, '}', '')) AS d, regexp_matches(text, '\b(if|while)\s*\(([^)]+)\)') AS guard, trim(regexp_extract(text, '\b(if|while)\s*\(([^)]+)\)', 2)) AS cond,
@@ -468,27 +457,7 @@ def array_access(spark, d):
     )
 
 
-FLOW = {
-    "v_flow": """
-SELECT c.cid, a.i AS ai, a.text AS a_text, g.i AS gi, g.cond FROM v_code c
-LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY i DESC) AS rn FROM code_lines WHERE i <= 6 AND regexp_matches(text, '\\bi\\s*=\\s*([^;]+);')) WHERE rn = 1) a USING (cid)
-LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY i DESC) AS rn FROM (SELECT *, regexp_extract(text, '\\b(if|while|for)\\s*\\(([^)]+)\\)', 2) AS cond FROM code_lines WHERE i <= 6) WHERE contains(cond, 'i')) WHERE rn = 1) g USING (cid)"""
-}
-
-
-@query(
-    """
-SELECT cid, coalesce(ai + 1, 0)::BIGINT AS assign_at, coalesce(trim(regexp_extract(a_text, '\\bi\\s*=\\s*([^;]+);', 1)), '') AS assign_expr, coalesce(gi + 1, 0)::BIGINT AS guard_at, coalesce(cond, '') AS guard_cond,
- coalesce(regexp_extract(cond, '\\bi\\s*([<>!=]=?|==)\\s*([^;)\\s&|]+)', 1), '') AS guard_op, coalesce(regexp_extract(cond, '\\bi\\s*([<>!=]=?|==)\\s*([^;)\\s&|]+)', 2), '') AS guard_limit FROM v_flow""",
-    FLOW,
-)
-def index_flow(spark, d):
-    """Assignment and guard of the index up to the seventh line."""
-    s = sn.index_flow(_snip(spark, d).withColumn("v", F.lit("i")).withColumn("a", F.lit(6)), "lines", "v", "a", "x")
-    return s.select("cid", *[F.col(f"x_{c}").alias(c) for c in ("assign_at", "assign_expr", "guard_at", "guard_cond", "guard_op", "guard_limit")])
-
-
-# the same around the place and the index that the access has
+# assignment and guard around the place and the index that the access has
 FLOW_AT = ACCESS | {
     "v_asked": "SELECT cid, i AS upto, index_var AS v FROM v_acc WHERE regexp_matches(index_var, '^[A-Za-z_][A-Za-z0-9_]*$')",
     "v_cond": r"SELECT cid, i, text, regexp_extract(text, '\b(if|while|for)\s*\(([^)]+)\)', 2) AS cond FROM code_lines",

@@ -10,6 +10,7 @@ from assayer.plans.q_findings import CATS
 from assayer.plans.q_trace import RANKED
 from assayer.plans.registry import query
 from assayer.session import scratch_dir
+from assayer.sources import decision_log
 from assayer.streaming import live
 
 
@@ -29,19 +30,19 @@ def running_counts(spark, d):
 
 @query("SELECT cid, max(ordinal) AS ordinal, arg_max(classification, ordinal) AS classification, arg_max(comment, ordinal) AS comment FROM v_decisions GROUP BY 1")
 def stream_upsert(spark, d):
-    """The last action per finding, one table version per micro-batch."""
+    """The last action per finding, kept in a base and a log of batches."""
     table = scratch_dir(spark, "decisions")
     rows = _stream(spark, d, "events").selectExpr(*v.DECISIONS)
-    q = live.upsert_stream(rows, table, scratch_dir(spark, "decisions-state"))
-    q.awaitTermination()
-    return live.latest_version(spark, table, q, rows.schema).select("cid", "ordinal", "classification", "comment")
+    live.upsert_stream(rows, table, scratch_dir(spark, "decisions-state")).awaitTermination()
+    return decision_log.current(spark, table, rows.schema).select("cid", "ordinal", "classification", "comment")
 
 
 @query("SELECT DISTINCT cid FROM v_decisions")
 def stream_dedup(spark, d):
-    """The watermark spans the month that the pages cover."""
-    rows = live.deduplicated(_stream(spark, d, "events").selectExpr(*v.DECISIONS), "ts", "40 days")
-    return live.drain(rows.select("cid"), scratch_dir(spark, "dedup"), scratch_dir(spark, "dedup-state")).select("cid")
+    """Each finding once, whenever its pages come."""
+    table, rows = scratch_dir(spark, "pages"), _stream(spark, d, "events").selectExpr(*v.DECISIONS)
+    live.first_arrivals(rows, table, scratch_dir(spark, "pages-state")).awaitTermination()
+    return live.arrived(spark, table, rows.schema).select("cid")
 
 
 @query(

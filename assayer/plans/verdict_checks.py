@@ -55,6 +55,14 @@ SELECT s.cid, s.cid::VARCHAR AS path, s.code_start_line + s.i AS line_no, s.i, t
  SELECT DISTINCT cid, i, text, code_start_line, unnest(regexp_extract_all(text, '\\b([A-Za-z_]\\w*)\\s*\\(', 1)) AS callee FROM code_lines) s JOIN v_code c USING (cid) WHERE s.callee NOT IN ({quoted_list(dim.SKIPPED_CALLEES)}) AND NOT (s.callee = c.function AND s.i = 0)""",
     "k_site_lines": "SELECT cid AS site, i, text FROM code_lines",
 }
+NEIGHBOURS = {
+    **q_code.TREE,
+    "k_bodies": "SELECT s.name, string_agg(l.text, chr(10) ORDER BY l.line_no) AS body FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, start_line) AS rn FROM v_span) WHERE rn = 1) s JOIN file_lines l ON l.path = s.path AND l.line_no BETWEEN s.start_line AND s.end_line GROUP BY 1",
+    "k_neighbours": """
+SELECT name, string_agg(text, chr(10) || chr(10) ORDER BY kind, path, line, text) AS text FROM (
+ SELECT callee AS name, 1 AS kind, path, caller_start AS line, max(body) AS text FROM k_site WHERE callee <> caller GROUP BY 1, 3, 4
+ UNION ALL SELECT c.caller, 0, c.r[1], c.r[2], b.body FROM (SELECT caller, callee, min((path, line_no)) AS r FROM k_site WHERE callee <> caller GROUP BY 1, 2) c JOIN k_bodies b ON b.name = c.callee) WHERE trim(text) <> '' GROUP BY 1""",
+}
 _SIGNED = r"'^([A-Za-z_][\w\s\*]*?)\s+(\w+)\s*\(([^)]*)\)'"
 CALLERS = {
     "k_heads": f"""

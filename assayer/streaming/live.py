@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from assayer.functions.frames import latest
+from assayer.functions.frames import earliest
 from assayer.operators import trace as tr
 from assayer.operators.categories import with_category
-from assayer.sources.sinks import upsert_table
+from assayer.sources import decision_log
 
 
 def running_counts(findings: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,10 +20,31 @@ def running_counts(findings: DataFrame, keys: list[str]) -> DataFrame:
     return findings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def deduplicated(findings: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """Rows of overlapping pages, each cid once within the watermark."""
-    timed = findings.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["cid"])
+def first_arrivals(findings: DataFrame, table: str, checkpoint: str, key: str = "cid", order: str = "ordinal") -> StreamingQuery:
+    """Rows of overlapping pages, each key once, however late or far apart they come.
+
+    A micro-batch writes the first of its rows per key that no earlier batch has written. What is known
+    is the written table itself, read by its key column only, so nothing is held in memory and no time
+    limits it; a batch that is run again looks at the batches before it and gives the same rows. Rows
+    without a key all stay.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        once = earliest(batch.where(F.col(key).isNotNull()), key, order, batch.columns).select(*batch.columns)
+        before = [f"{table}/batch={b}" for b in decision_log.folders(spark, table, "batch") if b < batch_id]
+        if before:
+            known = spark.read.schema(batch.schema).parquet(*before).select(key).where(F.col(key).isNotNull())
+            once = once.join(known, key, "left_anti").select(*batch.columns)
+        once.unionByName(batch.where(F.col(key).isNull())).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return findings.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def arrived(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """What :func:`first_arrivals` has written."""
+    written = [f"{table}/batch={b}" for b in decision_log.folders(spark, table, "batch")]
+    return spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
 
 
 def running_main_event(trace: DataFrame) -> DataFrame:
@@ -33,16 +54,18 @@ def running_main_event(trace: DataFrame) -> DataFrame:
     return tr.elect(trace)
 
 
-def upsert_stream(decisions: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def upsert_stream(decisions: DataFrame, table: str, checkpoint: str, compact_every: int = 16) -> StreamingQuery:
     """Keep one decision per cid, the last action wins.
 
-    Every micro-batch writes one version of the table, named by its batch id, from
-    the version before. A batch that is run again gives the same version.
+    Every micro-batch adds its changes to the log of the table, in a folder named by its batch id, so a
+    batch that is run again gives the same table; every ``compact_every`` batches the log is merged into
+    the buckets it touched. Read the table with :func:`assayer.sources.decision_log.current`.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        once = latest(batch, "cid", "ordinal", batch.columns).select(*batch.columns)
-        upsert_table(batch.sparkSession, once, table, batch_id)
+        decision_log.append(batch, table, batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            decision_log.compact(batch.sparkSession, table, batch.schema)
 
     return (
         decisions.writeStream.foreachBatch(merge)
@@ -52,14 +75,6 @@ def upsert_stream(decisions: DataFrame, table: str, checkpoint: str) -> Streamin
     )
 
 
-def latest_version(spark: SparkSession, table: str, query: StreamingQuery, schema: StructType) -> DataFrame:
-    """The table as the last batch left it; empty where no batch ran."""
-    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
-    if not done:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{table}/v={max(done)}")
-
-
 def drain(result: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return what it wrote.
 

@@ -13,7 +13,7 @@ from assayer.operators import snippets as sn
 from assayer.operators import source_tree as st
 from assayer.operators import verdicts as vd
 from assayer.session import scratch_dir
-from assayer.sources import issues_json, report_html, sinks, tree
+from assayer.sources import decision_log, issues_json, report_html, sinks, tree
 from assayer.streaming import live
 
 
@@ -125,5 +125,5 @@ def test_streams_read_files_and_folders_in_several_batches(spark, tmp_path, as_f
     q = live.upsert_stream(live.stream_tables(spark, str(tmp_path), "t", rows.schema), table, scratch_dir(spark, "us"))
     q.awaitTermination()
     assert len([p for p in q.recentProgress if p["numInputRows"]]) == (3 if as_folder else 1)
-    got = live.latest_version(spark, table, q, rows.schema).collect()
+    got = decision_log.current(spark, table, rows.schema).collect()
     assert {(r["cid"], r["ordinal"]) for r in got} == {(k, 8 + k) for k in range(4)}

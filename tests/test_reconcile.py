@@ -166,9 +166,5 @@ def test_run_partition_and_versions(spark, tmp_path):
     sinks.write_run(row("b"), log, "r2")
     sinks.write_run(row("c"), log, "r2")
     assert sorted((r["run"], r["comment"]) for r in spark.read.parquet(log).collect()) == [("r1", "a"), ("r2", "c")]
-    table = str(tmp_path / "t")
-    for version, text in enumerate(["x", "y"]):
-        sinks.upsert_table(spark, row(text).withColumn("ordinal", F.lit(version).cast("long")), table, version)
-    assert spark.read.parquet(f"{table}/v=1").first()["comment"] == "y"
     sinks.write_table(cat.with_category(row("q").withColumn("checker", F.lit("OVERRUN"))), str(tmp_path / "csv"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first()["category"] == "Buffer overflow"
