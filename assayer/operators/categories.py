@@ -50,21 +50,25 @@ def comment_with_reference(comment: Column) -> Column:
 CODE_HINTS = ["if (", "sizeof", "strncpy", "snprintf", "free(", "return", "memcpy"]
 
 
-def tagged_fix(fix: Column) -> Column:
-    """Short fix text with the weakness id as a code comment."""
+def tagged_fix(fix: Column, short: bool = False) -> Column:
+    """Fix text with the weakness id as a code comment, once; "no fix" and empty texts stay as they are.
+
+    ``short`` gives the form for narrow cells: a text of over 400 characters is cut to its first code line (or the first
+    220 characters of its first line), one of 300 and more has no id.
+    """
     text = t.strip(fix)
     tag = F.when(
         F.col("cwe_id").isNotNull(), F.concat(F.lit(" // CWE-"), F.col("cwe_id").cast("string"))
     ).otherwise("")
-    lines = F.filter(F.split(text, "\r\n|\r|\n"), lambda x: t.strip(x) != "")
-    code = F.filter(lines, lambda x: F.exists(t.members(CODE_HINTS), lambda h: F.instr(x, h) > 0))
-    cut = F.when(F.size(code) > 0, t.strip(F.get(code, F.lit(0)))).otherwise(F.substring(F.get(lines, F.lit(0)), 1, 220))
-    return (
-        F.when((tag != "") & (F.instr(text, tag) > 0), text)
-        .when(F.length(text) > 400, t.strip(F.concat(cut, tag)))
-        .when(F.lower(text).startswith("no fix") | (text == "") | (F.length(text) >= 300), text)
-        .otherwise(t.strip(F.concat(text, tag)))
-    )
+    whole = F.when((tag != "") & (F.instr(text, tag) > 0), text)
+    bare = F.lower(text).startswith("no fix") | (text == "")
+    if short:
+        lines = F.filter(F.split(text, "\r\n|\r|\n"), lambda x: t.strip(x) != "")
+        code = F.filter(lines, lambda x: F.exists(t.members(CODE_HINTS), lambda h: F.instr(x, h) > 0))
+        cut = F.when(F.size(code) > 0, t.strip(F.get(code, F.lit(0)))).otherwise(F.substring(F.get(lines, F.lit(0)), 1, 220))
+        whole = whole.when(F.length(text) > 400, t.strip(F.concat(cut, tag)))
+        bare = bare | (F.length(text) >= 300)
+    return whole.when(bare, text).otherwise(t.strip(F.concat(text, tag)))
 
 
 def store_for_project(projects: DataFrame, streams: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from assayer.functions import text as t
 from assayer.functions.frames import earliest, latest, positions
 from assayer.operators import normalize as n
+from assayer.session import staged
 
 MAX_BATCH = 100
 
@@ -91,9 +92,10 @@ def validation_report(validated: DataFrame) -> DataFrame:
 
 
 def partition_by_match(validated: DataFrame, require_validated: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Queue to send and rows that are skipped."""
+    """Queue to send and rows that are skipped (W5). The validation runs once and is staged for both."""
     if not require_validated:
         return validated, validated.where(F.lit(False))
+    validated = staged(validated, "validated")
     return validated.where(F.col("server_cid").isNotNull()), validated.where(F.col("server_cid").isNull())
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import dimensions as dim
+from assayer.functions.frames import positions
 from assayer.functions import text as t
 
 
@@ -27,9 +28,18 @@ def with_total(df: DataFrame, key: str) -> DataFrame:
 
 
 def in_category_order(results: DataFrame) -> DataFrame:
-    """Findings in display order of their category, then report order (A3)."""
+    """Findings in display order of their category, then report order (A3): adds category_order and ``place`` (from 1).
+
+    Places inside a category are exact positions, also where a category holds most findings; a running sum over
+    the few categories moves them up. Unknown categories come last.
+    """
     order = dim.category_order(results.sparkSession)
-    return results.join(F.broadcast(order), "category", "left").orderBy("category_order", "ordinal")
+    known = results.join(F.broadcast(order), "category", "left").withColumn("category_order", F.coalesce("category_order", F.lit(1_000_000)))
+    running = Window.orderBy("category_order").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = known.groupBy("category_order").agg(F.count(F.lit(1)).alias("__n"))  # one row per category
+    starts = sizes.select("category_order", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__start"))
+    placed = positions(known, ["category_order"], "ordinal").join(F.broadcast(starts), "category_order")
+    return placed.withColumn("place", (F.col("position") + F.col("__start") + 1).cast("bigint")).drop("position", "__start").orderBy("place")
 
 
 def needs_review_breakdown(results: DataFrame, top: int = 10) -> DataFrame:

@@ -240,11 +240,15 @@ def fill_traces(own: DataFrame, listed: DataFrame, stream_events: DataFrame) ->
 
 def line_columns(trace: DataFrame) -> DataFrame:
     """main_event_line: first main event's; last_event_line: highest step's."""
+    return trace.groupBy("cid").agg(*_line_aggregates())
+
+
+def _line_aggregates() -> list[Column]:
     last = F.struct(F.coalesce("step", F.lit(0)).alias("step"), (-F.col("ordinal")).alias("o"))
-    return trace.groupBy("cid").agg(
+    return [
         F.coalesce(F.min_by("line", F.when(F.col("main"), F.col("ordinal"))), F.lit(0)).cast("bigint").alias("main_event_line"),
         F.coalesce(F.max_by("line", last), F.lit(0)).cast("bigint").alias("last_event_line"),
-    )
+    ]
 
 
 def event_facts(trace: DataFrame) -> DataFrame:
@@ -434,25 +438,18 @@ def _described_aggregates() -> list[Column]:
     ]
 
 
-def trace_text(trace: DataFrame, part_size: int = 1000) -> DataFrame:
-    """Descriptions and tags of a trace in order (E13): cid, part, text, tags.
+def trace_text(trace: DataFrame, part_size: int | None = None) -> DataFrame:
+    """Descriptions and tags of a trace in order (E13): cid, text, tags, one row per cid.
 
-    A part holds up to ``part_size`` consecutive events, so an ordinary trace is
-    the single part 0, and no task ever has to hold an unbounded trace.
+    With ``part_size`` a longer trace goes on in further rows (cid, part) of so many consecutive events.
     """
-    placed = positions(trace, ["cid"], "ordinal")
-    part = F.floor(F.col("position") / part_size).cast("bigint")
-    rows = F.array_sort(F.collect_list(F.struct("position", t.txt(F.col("description")).alias("d"), t.txt(F.col("tag")).alias("g"))))
-    return (
-        placed.groupBy("cid", part.alias("part"))
-        .agg(rows.alias("e"))
-        .select(
-            "cid",
-            "part",
-            F.array_join(F.transform("e", lambda x: x["d"]), " | ").alias("text"),
-            F.array_join(F.transform("e", lambda x: x["g"]), ",").alias("tags"),
-        )
-    )
+    rows = trace.select("cid", "ordinal", t.txt(F.col("description")).alias("__d"), t.txt(F.col("tag")).alias("__g"))
+    keys = ["cid"]
+    if part_size is not None:
+        rows, keys = positions(rows, ["cid"], "ordinal").withColumn("part", F.floor(F.col("position") / part_size).cast("bigint")), ["cid", "part"]
+    events = F.array_sort(F.collect_list(F.struct("ordinal", F.col("__d").alias("d"), F.col("__g").alias("g"))))
+    joined = lambda f, separator: F.array_join(F.transform("__e", lambda x: x[f]), separator)
+    return rows.groupBy(*keys).agg(events.alias("__e")).select(*keys, joined("d", " | ").alias("text"), joined("g", ",").alias("tags"))
 
 
 def synthetic_events(findings: DataFrame, trace: DataFrame) -> DataFrame:
@@ -470,25 +467,12 @@ def synthetic_events(findings: DataFrame, trace: DataFrame) -> DataFrame:
     )
 
 
-def provenance_report(findings: DataFrame, trace: DataFrame) -> DataFrame:
-    """Every line source of a finding and its first five events (A10)."""
-    placed = positions(trace, ["cid"], "ordinal").where(F.col("position") < 5)
-    first = placed.groupBy("cid").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("position", "step", "main", "line", "tag"))),
-                lambda e: F.concat_ws(":", e["step"].cast("string"), F.when(e["main"], "main").otherwise("-"), e["line"].cast("string"), e["tag"]),
-            ),
-            " ",
-        ).alias("first_events")
-    )
-    counts = trace.groupBy("cid").agg(F.count(F.lit(1)).alias("n_events"))
-    return (
-        findings.join(counts, "cid", "left")
-        .join(line_columns(trace), "cid", "left")
-        .join(first, "cid", "left")
-        .withColumn("n_events", F.coalesce("n_events", F.lit(0)).cast("bigint"))
-        .withColumn("main_event_line", F.coalesce("main_event_line", F.lit(0)).cast("bigint"))
-        .withColumn("last_event_line", F.coalesce("last_event_line", F.lit(0)).cast("bigint"))
-        .withColumn("first_events", F.coalesce("first_events", F.lit("")))
+def provenance_report(findings: DataFrame, trace: DataFrame, shown: int = 5) -> DataFrame:
+    """Every line source of a finding and its first events (A10): one aggregate over the numbered trace."""
+    placed = positions(trace, ["cid"], "ordinal")
+    event = F.concat_ws(":", F.col("step").cast("string"), F.when(F.col("main"), "main").otherwise("-"), F.col("line").cast("string"), F.col("tag"))
+    first = F.collect_list(F.when(F.col("position") < shown, F.struct("position", event.alias("x"))))  # ``shown`` entries at most
+    report = placed.groupBy("cid").agg(
+        F.count(F.lit(1)).alias("n_events"), *_line_aggregates(), F.array_join(F.transform(F.array_sort(first), lambda e: e["x"]), " ").alias("first_events")
     )
+    return findings.join(report, "cid", "left").fillna({"n_events": 0, "main_event_line": 0, "last_event_line": 0, "first_events": ""})

@@ -93,6 +93,20 @@ def finding_code(spark, d):
     return st.attach_code(_placed(spark, d), st.functions(st.line_facts(files)), files).select("cid", "code", "code_start_line", "code_source")
 
 
+@query(
+    """
+SELECT p.cid, coalesce(n.s, p.line)::BIGINT AS search_line, coalesce(w.name, '') AS fn_name FROM v_named p LEFT JOIN (SELECT path, name, min(start_line) AS s FROM v_span GROUP BY 1, 2) n ON n.path = p.path AND n.name = p.function
+LEFT JOIN v_span w ON w.path = p.path AND coalesce(n.s, p.line) BETWEEN w.start_line AND w.end_line""",
+    {**TREE, "v_named": PLACED.replace("cid % 140 AS line", "cid % 140 AS line, CASE WHEN cid % 5 = 0 THEN 'gone' ELSE function END AS function")},
+)
+def anchored_functions(spark, d):
+    """A named finding is looked up at its function's definition, any other at its line."""
+    placed = _placed(spark, d).withColumn("function", F.when(F.col("cid") % 5 == 0, "gone").otherwise(F.col("function")))
+    funcs = st.functions(_facts(spark, d))
+    found = st.enclosing_function(st.anchor_by_name(placed, funcs), funcs, "search_line")
+    return found.select("cid", F.col("search_line").cast("bigint").alias("search_line"), t.txt(F.col("fn_name")).alias("fn_name"))
+
+
 @query(
     """
 SELECT p.path, p.line, string_agg(lpad(l.line_no::VARCHAR, 5, ' ') || ' ' || CASE WHEN l.line_no = p.line THEN '>>>' ELSE '   ' END || ' ' || l.text, chr(10) ORDER BY l.line_no) AS snippet
@@ -519,7 +533,7 @@ def bound_verdicts(spark, d):
 
 @query(
     """
-SELECT cid, i::BIGINT AS i, event, left(s, 80) AS text FROM (SELECT *, CASE WHEN s = '' OR regexp_matches(s, '^(//|/\\*|\\*)') THEN NULL WHEN regexp_matches(s, '(?:int|char|void|uint\\w*|size_t|BYTE|struct\\s+\\w+)\\s*\\*?\\s*n\\b') THEN 'declared'
+SELECT cid, i::BIGINT AS i, event, s AS text FROM (SELECT *, CASE WHEN s = '' OR regexp_matches(s, '^(//|/\\*|\\*)') THEN NULL WHEN regexp_matches(s, '(?:int|char|void|uint\\w*|size_t|BYTE|struct\\s+\\w+)\\s*\\*?\\s*n\\b') THEN 'declared'
  WHEN regexp_matches(s, '\\bn\\s*=') THEN CASE WHEN regexp_matches(s, '\\b(?:recv|fgets|read|getenv|scanf|fread)\\s*\\(') THEN 'taint-src' ELSE 'assigned' END WHEN i = rel AND regexp_matches(s, '\\bn\\b') THEN 'used' END AS event
  FROM (SELECT *, trim(text) AS s FROM code_lines)) WHERE event IS NOT NULL"""
 )
@@ -529,6 +543,21 @@ def data_flow(spark, d):
     return e.select("cid", F.col("e.i").cast("bigint").alias("i"), F.col("e.event").alias("event"), F.col("e.text").alias("text"))
 
 
+@query(
+    """
+SELECT c.cid, coalesce('  Data flow for `n`:' || chr(10) || string_agg('    Line ' || lpad((e.i + e.code_start_line)::VARCHAR, 4, ' ') || ': ' || rpad(e.event, 10, ' ') || '  ' || e.s || CASE WHEN e.i = e.rel THEN '  ← DEFECT' ELSE '' END, chr(10) ORDER BY e.i), '') AS flow
+FROM v_code c LEFT JOIN v_flow_rows e USING (cid) GROUP BY c.cid""",
+    {"v_flow_rows": """
+SELECT cid, i, rel, code_start_line, event, s FROM (SELECT *, CASE WHEN s = '' OR regexp_matches(s, '^(//|/\\*|\\*)') THEN NULL WHEN regexp_matches(s, '(?:int|char|void|uint\\w*|size_t|BYTE|struct\\s+\\w+)\\s*\\*?\\s*n\\b') THEN 'declared'
+ WHEN regexp_matches(s, '\\bn\\s*=') THEN CASE WHEN regexp_matches(s, '\\b(?:recv|fgets|read|getenv|scanf|fread)\\s*\\(') THEN 'taint-src' ELSE 'assigned' END WHEN i = rel AND regexp_matches(s, '\\bn\\b') THEN 'used' END AS event
+ FROM (SELECT *, trim(text) AS s FROM code_lines)) WHERE event IS NOT NULL"""},
+)
+def data_flow_texts(spark, d):
+    """G26, rendered."""
+    s, n = _snip(spark, d), F.lit("n")
+    return s.select("cid", sn.data_flow_text(sn.data_flow(F.col("lines"), n, F.col("rel")), n, F.col("rel"), F.col("code_start_line")).alias("flow"))
+
+
 _BEN = dim.RETURN_BENIGN.replace("(?i)", "").replace("'", "''")
 _CRI = dim.RETURN_CRITICAL.replace("(?i)", "").replace("'", "''")
 _IGN = dim.RETURN_IGNORED.replace("(?i)", "").replace("'", "''")

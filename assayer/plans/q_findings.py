@@ -175,17 +175,17 @@ def weakness_reference(spark, d):
 
 @query(
     """
-SELECT cid, CASE WHEN cid % 4 = 0 THEN 'No fix required.' WHEN cwe_id IS NULL THEN fix WHEN length(fix) > 400 THEN 'if (n < 4) return; // CWE-' || cwe_id ELSE fix || ' // CWE-' || cwe_id END AS fix
-FROM (SELECT f.cid, w.cwe_id, CASE f.cid % 4 WHEN 1 THEN 'n = 0;' WHEN 2 THEN 'check ' || f.cid ELSE repeat('long text ', 41) || chr(10) || 'if (n < 4) return;' || chr(10) || 'x' END AS fix FROM v_findings f LEFT JOIN d_weak w USING (checker))"""
-    .replace("WHEN cwe_id IS NULL THEN fix", "WHEN cwe_id IS NULL AND length(fix) > 400 THEN 'if (n < 4) return;' WHEN cwe_id IS NULL THEN fix"),
+SELECT cid, CASE WHEN cid % 4 = 0 OR cwe_id IS NULL THEN fix ELSE fix || ' // CWE-' || cwe_id END AS fix,
+ CASE WHEN cid % 4 = 0 OR cwe_id IS NULL AND length(fix) <= 400 THEN fix WHEN length(fix) > 400 THEN 'if (n < 4) return;' || coalesce(' // CWE-' || cwe_id, '') ELSE fix || ' // CWE-' || cwe_id END AS short_fix
+FROM (SELECT f.cid, w.cwe_id, CASE f.cid % 4 WHEN 0 THEN 'No fix required.' WHEN 1 THEN 'n = 0;' WHEN 2 THEN 'check ' || f.cid ELSE repeat('long text ', 41) || chr(10) || 'if (n < 4) return;' || chr(10) || 'x' END AS fix FROM v_findings f LEFT JOIN d_weak w USING (checker))""",
     CATS,
 )
 def tagged_fixes(spark, d):
-    """Fix text with the weakness id; long text is cut to its first code line."""
+    """Fix text with the weakness id, whole and in the short form."""
     long = F.concat(F.repeat(F.lit("long text "), 41), F.lit("\nif (n < 4) return;\nx"))
     k = F.col("cid") % 4
     fix = F.when(k == 0, "No fix required.").when(k == 1, "n = 0;").when(k == 2, F.concat(F.lit("check "), F.col("cid").cast("string"))).otherwise(long)
-    return cat.with_weakness(v.findings(spark, d)).select("cid", cat.tagged_fix(fix).alias("fix"))
+    return cat.with_weakness(v.findings(spark, d)).select("cid", cat.tagged_fix(fix).alias("fix"), cat.tagged_fix(fix, short=True).alias("short_fix"))
 
 
 @query(
@@ -446,15 +446,8 @@ def class_counts(spark, d):
 
 @query("SELECT cid, category, row_number() OVER (ORDER BY category_order, ordinal) AS place FROM v_cat JOIN d_order USING (category)", CATS)
 def category_order(spark, d):
-    """A3: order inside each category from exact block positions, order of categories from their counts."""
-    from assayer.functions.frames import positions
-
-    f = cat.with_category(v.findings(spark, d)).join(F.broadcast(dim.category_order(spark)), "category")
-    sizes = f.groupBy("category_order").agg(F.count(F.lit(1)).alias("n"))  # one row per category
-    running = Window.orderBy("category_order").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select("category_order", F.sum("n").over(running).alias("off"))
-    placed = positions(f, ["category_order"], "ordinal").join(F.broadcast(offs), "category_order", "left")
-    return placed.select("cid", "category", (F.col("position") + F.coalesce("off", F.lit(0)) + 1).cast("bigint").alias("place"))
+    """A3."""
+    return sm.in_category_order(cat.with_category(v.findings(spark, d))).select("cid", "category", "place")
 
 
 _BREAK = {
@@ -496,15 +489,6 @@ def first_names(spark, d):
     return sm.first_names(v.findings(spark, d), "file", "function", 3)
 
 
-@query(
-    "SELECT cid, category FROM v_cat", CATS
-)
-def group_sort(spark, d):
-    """A7 (row set; the order is covered by tests)."""
-    f = cat.with_category(v.findings(spark, d)).withColumn("shown", F.when(F.col("cid") % 3 == 0, F.col("checker")).otherwise(F.col("line").cast("string")))
-    return sm.sorted_in_groups(f, "shown").select("cid", "category")
-
-
 @query(
     "SELECT cid, category, row_number() OVER (PARTITION BY category ORDER BY CASE WHEN regexp_matches(shown, '^[0-9]+$') THEN try_cast(shown AS BIGINT) END NULLS LAST, lower(shown), ordinal) AS place "
     "FROM (SELECT *, CASE WHEN cid % 3 = 0 THEN checker ELSE line::VARCHAR END AS shown FROM v_cat)", CATS

@@ -115,20 +115,6 @@ def sheet_findings(spark, d):
     return f.select("cid", "checker", "severity", "file", "line", flag(F.col("line_is_various")).alias("line_is_various"), "function")
 
 
-@query(
-    """
-SELECT f.cid, CASE WHEN e.l IS NULL THEN CASE WHEN f.cid % 17 = 0 THEN 0 ELSE f.line END ELSE e.l END AS line, CASE WHEN f.cid % 17 = 0 AND e.l IS NULL THEN 1 ELSE 0 END::BIGINT AS line_is_various
-FROM v_findings f LEFT JOIN (SELECT cid, arg_max(line, (step, -ordinal)) AS l FROM v_trace WHERE main AND line <> 0 GROUP BY 1) e USING (cid)"""
-)
-def sheet_lines_from_trace(spark, d):
-    """A main event gives the line and clears the flag. Flagged events only; :func:`sheet_lines_from_whole_trace` reads all."""
-    f = v.findings(spark, d).withColumn("line_is_various", F.col("cid") % 17 == 0)
-    f = f.withColumn("line", F.when(F.col("line_is_various"), 0).otherwise(F.col("line")))
-    mains = tr.elect(v.trace(spark, d).where("main")).select("cid", F.col("line").alias("event_line"))
-    out = tabular.settle_line(f, mains)
-    return out.select("cid", F.col("line").cast("bigint").alias("line"), flag(F.col("line_is_various")).alias("line_is_various"))
-
-
 @query(
     """
 SELECT f.cid, CASE WHEN e.line IS NULL THEN CASE WHEN f.cid % 17 = 0 THEN 0 ELSE f.line END ELSE e.line END AS line, CASE WHEN f.cid % 17 = 0 AND e.line IS NULL THEN 1 ELSE 0 END::BIGINT AS line_is_various

@@ -224,8 +224,7 @@ def described_variables(spark, d):
 
 
 @query(
-    "SELECT cid, CAST(floor((rn - 1) / 1000) AS BIGINT) AS part, string_agg(trim(description), ' | ' ORDER BY rn) AS text, string_agg(tag, ',' ORDER BY rn) AS tags "
-    "FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY ordinal) AS rn FROM v_trace) GROUP BY 1, 2"
+    "SELECT cid, string_agg(trim(description), ' | ' ORDER BY ordinal) AS text, string_agg(tag, ',' ORDER BY ordinal) AS tags FROM v_trace GROUP BY 1"
 )
 def trace_text(spark, d):
     """E13."""
@@ -285,10 +284,8 @@ def normalized_events(spark, d):
 def event_json_roundtrip(spark, d):
     """Traces to JSON cells and back."""
     cells = events_text.events_to_json(v.trace(spark, d))
-    back = events_text.events_from_json(cells.select(F.struct("cid", "part").alias("cid"), "events_json"))
-    return back.select(
-        F.col("cid.cid").alias("cid"), (F.col("cid.part") * 1000 + F.col("ordinal")).alias("ordinal"), "step", "tag", "description", "line", flag(F.col("main")).alias("main")
-    )
+    back = events_text.events_from_json(cells)
+    return back.select("cid", "ordinal", "step", "tag", "description", "line", flag(F.col("main")).alias("main"))
 
 
 @query(
@@ -297,8 +294,7 @@ def event_json_roundtrip(spark, d):
 def event_summary_roundtrip(spark, d):
     """Traces to summary text and back; the step is the place in the text."""
     cells = events_text.events_to_summary(v.trace(spark, d))
-    back = events_text.events_from_summary(cells.select(F.struct("cid", "part").alias("cid"), "events_summary"))
-    return back.select(F.col("cid.cid").alias("cid"), (F.col("cid.part") * 1000 + F.col("step")).alias("step"), "tag", "description", "line")
+    return events_text.events_from_summary(cells).select("cid", "step", "tag", "description", "line")
 
 
 INSTANCES = [

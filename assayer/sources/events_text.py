@@ -23,17 +23,20 @@ def events_from_json(df: DataFrame, json: str = "events_json") -> DataFrame:
     ).drop("type")
 
 
-def _collected(trace: DataFrame, part_size: int, shown) -> DataFrame:
-    placed = positions(trace, ["cid"], "ordinal")
-    part = F.floor(F.col("position") / part_size).cast("bigint")
-    return placed.groupBy("cid", part.alias("part")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", shown.alias("x")))), lambda e: e["x"]).alias("x")
-    )
+def _cells(trace: DataFrame, shown, name: str, separator: str, part_size: int | None) -> DataFrame:
+    """Events written one by one, where they lie, and joined in order: one row per cid, or per (cid, part) where a size is given."""
+    rows = trace.select("cid", "ordinal", shown.alias("__x"))
+    if part_size is not None:
+        rows = positions(rows, ["cid"], "ordinal").withColumn("part", F.floor(F.col("position") / part_size).cast("bigint"))
+    keys = ["cid"] if part_size is None else ["cid", "part"]
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "__x"))), lambda e: e["__x"]), separator)
+    return rows.groupBy(*keys).agg(joined.alias(name))
+
 
+def events_to_json(trace: DataFrame, part_size: int | None = None) -> DataFrame:
+    """Traces as JSON arrays: cid, events_json; one cell holds a whole trace, however long.
 
-def events_to_json(trace: DataFrame, part_size: int = 1000) -> DataFrame:
-    """Traces as JSON arrays: cid, part, events_json. A trace longer than
-    ``part_size`` events continues in further parts, so no cell is unbounded.
+    With ``part_size`` a longer trace goes on in further rows (cid, part).
     The heuristic mark is internal and not written."""
     event = F.struct(
         t.to_int(F.col("step")).alias("step"),
@@ -44,7 +47,8 @@ def events_to_json(trace: DataFrame, part_size: int = 1000) -> DataFrame:
         t.to_int(F.col("line")).alias("line"),
         F.coalesce("main", F.lit(False)).alias("main"),
     )
-    return _collected(trace, part_size, event).select("cid", "part", F.to_json("x").alias("events_json"))
+    cells = _cells(trace, F.to_json(event), "events_json", ",", part_size)
+    return cells.withColumn("events_json", F.concat(F.lit("["), "events_json", F.lit("]")))
 
 
 # One part of a summary
@@ -69,10 +73,10 @@ def events_from_summary(df: DataFrame, summary: str = "events_summary") -> DataF
     )
 
 
-def events_to_summary(trace: DataFrame, part_size: int = 1000) -> DataFrame:
-    """Traces as readable text: cid, part, events_summary."""
+def events_to_summary(trace: DataFrame, part_size: int | None = None) -> DataFrame:
+    """Traces as readable text: cid, events_summary; with ``part_size`` in rows (cid, part)."""
     shown = F.concat(
         t.first_text(F.col("tag"), F.lit("?")), F.lit("@"), t.txt(F.col("file")), F.lit(":"), t.txt(F.col("line")),
         F.lit(" — "), t.txt(F.col("description")),
     )
-    return _collected(trace, part_size, shown).select("cid", "part", F.array_join("x", "; ").alias("events_summary"))
+    return _cells(trace, shown, "events_summary", "; ", part_size)

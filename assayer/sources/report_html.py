@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer import dimensions as dim
 from assayer.functions import text as t
+from assayer.session import staged
 
 # Column patterns
 CID = r"^\d+$"
@@ -147,31 +148,34 @@ def scan_index(pages: DataFrame) -> DataFrame:
 
 
 def resolve_links(findings: DataFrame, listing: DataFrame) -> DataFrame:
-    """Detail page of each finding (S3): adds detail_file.
+    """Detail page of each finding (S3): adds detail_file ('' for none).
 
     ``listing(rel_path, ordinal)``. The linked path itself, then the last file of
-    that name, then the first file whose name ends with it. Each lookup joins a
-    table with one row per key.
+    that name, then the first file whose name ends with it. Findings without a link meet no
+    join. Only names that the path didn't answer are looked up, each once; for endings, file names are
+    cut to the lengths that those names have, so a file gives one row per asked length, not per character.
     """
     rel = F.regexp_replace(F.replace(t.txt(F.col("href")), F.lit("\\"), F.lit("/")), r"^(\./)+", "")
     keyed = findings.withColumn("__rel", rel).withColumn("__name", t.basename(rel))
     by_path = listing.select(F.col("rel_path").alias("__rel"), F.col("rel_path").alias("__f1")).distinct()
-    by_name = listing.groupBy(t.basename(F.col("rel_path")).alias("__name")).agg(F.max_by("rel_path", "ordinal").alias("__f2"))
-    tails = (
-        listing.select("rel_path", "ordinal", t.basename(F.col("rel_path")).alias("n"))
-        .select("rel_path", "ordinal", F.explode(F.transform(F.sequence(F.lit(1), F.length("n")), lambda i: F.substring(F.col("n"), i, F.length("n")))).alias("__name"))
-        .groupBy("__name")
-        .agg(F.min_by("rel_path", "ordinal").alias("__f3"))
-    )
-    return (
-        keyed.join(by_path, "__rel", "left")
-        .join(by_name, "__name", "left")
-        .join(tails, "__name", "left")
-        .withColumn(
-            "detail_file", F.when(F.col("__name") == "", "").otherwise(t.first_text(F.col("__f1"), F.col("__f2"), F.col("__f3")))
-        )
-        .drop("__rel", "__name", "__f1", "__f2", "__f3")
-    )
+    linked = staged(keyed.where("__name <> ''").join(by_path, "__rel", "left"), "links")
+    files = listing.select("rel_path", "ordinal", t.basename(F.col("rel_path")).alias("n"))
+    names = linked.where("__f1 IS NULL").select("__name").distinct()
+    by_name = files.groupBy(F.col("n").alias("__name")).agg(F.max_by("rel_path", "ordinal").alias("__f2"))
+    named = staged(names.join(by_name, "__name", "left"), "link-names")
+    left_over = named.where("__f2 IS NULL").select("__name")
+    lengths = [r[0] for r in left_over.select(F.length("__name")).distinct().collect()]  # as many as a file name has characters
+    own = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda k: k <= F.length("n"))
+    endings = files.select("rel_path", "ordinal", F.explode(F.transform(own, lambda k: F.substring(F.col("n"), F.length("n") - k + 1, k))).alias("__name"))
+    tails = endings.join(left_over, "__name", "left_semi").groupBy("__name").agg(F.min_by("rel_path", "ordinal").alias("__f3"))
+    found = named.join(tails, "__name", "left").select("__name", F.coalesce("__f2", "__f3").alias("__f"))
+    parts = [
+        keyed.where("__name = ''").withColumn("__f", F.lit("")),
+        linked.where("__f1 IS NOT NULL").withColumnRenamed("__f1", "__f"),
+        linked.where("__f1 IS NULL").drop("__f1").join(found, "__name", "left"),
+    ]
+    out = [x.select(*findings.columns, t.txt(F.col("__f")).alias("detail_file")) for x in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 # Line formats of a detail page

@@ -43,9 +43,8 @@ def decision_rows(decisions: DataFrame) -> DataFrame:
 
 
 def pull_rows(findings: DataFrame, summaries: DataFrame, jsons: DataFrame) -> DataFrame:
-    """The 9-column sheet of pulled findings. A trace in several parts takes several
-    rows of the same CID, in part order; an ordinary trace takes one."""
-    cells = jsons.join(summaries, ["cid", "part"])
+    """The 9-column sheet of pulled findings, one row per CID: both cells hold the whole trace."""
+    cells = jsons.join(summaries, "cid")
     joined = findings.join(cells, "cid", "left")
     src = ["cid", "checker", "type", "severity", "file", "line", "function"]
     return joined.select(

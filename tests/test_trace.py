@@ -1,5 +1,7 @@
 """Main-event election, marking, overrides and trace facts on small traces."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,24 @@ def test_long_trace_comes_in_parts(make_trace):
     assert [len(p["tags"].split(",")) for p in parts] == [10, 10, 5]
 
 
+@pytest.mark.parametrize("n", [1_500, 50_000])
+def test_a_long_trace_is_one_cell(spark, n):
+    """Whole traces in one row of each sheet, in order; parts only where asked for."""
+    t = spark.range(n + 3).select(
+        F.when(F.col("id") < n, 1).otherwise(2).cast("long").alias("cid"), (F.col("id") * 7919 % (n + 3)).alias("ordinal"), F.col("id").alias("step"), F.lit("tag").alias("tag"),
+        (F.col("id") * 7919 % (n + 3)).alias("line"), F.lit(False).alias("main"), F.lit("d").alias("description"), F.lit("f.c").alias("file"),
+    ).repartition(5)
+    cells = {r["cid"]: r["events_json"] for r in events_text.events_to_json(t).collect()}
+    lines = [e["line"] for e in json.loads(cells[1])]
+    assert len(cells) == 2 and len(lines) == n and lines == sorted(lines) and len(json.loads(cells[2])) == 3
+    assert [r["line"] for r in events_text.events_from_json(events_text.events_to_json(t.where("cid = 1"))).orderBy("ordinal").collect()] == lines
+    summary = {r["cid"]: r["events_summary"] for r in events_text.events_to_summary(t).collect()}
+    assert [int(x.split(":")[1].split(" ")[0]) for x in summary[1].split("; ")] == lines
+    assert len({r["cid"]: r["tags"] for r in tr.trace_text(t).collect()}[1].split(",")) == n
+    parts = events_text.events_to_json(t, 1000).where("cid = 1").orderBy("part").collect()
+    assert [e["line"] for p in parts for e in json.loads(p["events_json"])] == lines and len(parts) == -(-n // 1000)
+
+
 def test_result_does_not_depend_on_partitions(make_trace, make_findings):
     t, f = make_trace(*CHILD), make_findings((1, "OVERRUN"))
     assert tr.elect(t.repartition(7), f).collect() == tr.elect(t.coalesce(1), f).collect()
