@@ -76,6 +76,21 @@ def top_reasons(spark, d):
     return decision.decide(_ruled(spark, d)).select("cid", "classification", F.array_join("reasons", " | ").alias("reasons"))
 
 
+@query(
+    """
+SELECT cid, 'copies_outside_text' AS label, 'bug' AS polarity, 70::BIGINT AS weight_c, 'strcpy() of ' || origin AS description FROM v_known WHERE checker = 'CUSTOM_RULE' AND regexp_matches(code, '\\bstrcpy\\s*\\(') AND sink_func = 'strcpy'""",
+    fc.CODE_FACTS,
+)
+def registered_rule(spark, d):
+    """K: a checker and a rule of the user's own, beside the given ones."""
+    book = rules.RuleBook()
+    book.register_checker("CUSTOM_RULE")
+    book.register_rule(rules.Rule("CUSTOM_RULE", "copies_outside_text", rules.BUG, 70, "strcpy() of {origin}", all=(r"\bstrcpy\s*\(",), needs="sink_func = 'strcpy'"))
+    df = _known(spark, d).withColumn("rule_set", rules.rule_set(F.col("checker"), F.col("code") != "", book)).where("checker = 'CUSTOM_RULE'")
+    e = rules.evidence_rows(rules.evidence(rules.with_facts(df), book))
+    return e.select("cid", "label", "polarity", F.col("weight_c").cast("bigint").alias("weight_c"), "description")
+
+
 @query(
     "SELECT a.cid, a.label AS bug_label, b.label AS fp_label FROM v_ev a JOIN v_ev b ON a.cid = b.cid AND a.polarity = 'bug' AND b.polarity = 'fp' WHERE a.label = b.label OR "
     + " OR ".join(f"(contains(a.label, '{w}') AND contains(b.label, '{w}'))" for w in dim.DOMAIN_WORDS),

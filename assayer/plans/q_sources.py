@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.operators import trace as tr
+from assayer.functions import text as t
 from assayer.plans import views as v
 from assayer.plans.q_trace import RANKED
 from assayer.plans.registry import flag, query
-from assayer.sources import issues_json, report_html, tabular
+from assayer.session import scratch_dir
+from assayer.sources import issues_json, report_html, sinks, tabular, tree
 
 PAGE_NO = "CAST(floor(cid / 50) AS BIGINT)"
 _ROW = (
@@ -39,6 +41,24 @@ def scan_index(spark, d):
     return report_html.scan_index(_reports(spark, d)).drop("row_no")
 
 
+@query(_SCANNED)
+def pages_reread(spark, d):
+    """Report pages written as files and read again."""
+    root = scratch_dir(spark, "pages")
+    sinks.write_files(_reports(spark, d).select(F.concat("path", F.lit(".html")).alias("path"), F.col("html").alias("content")), root)
+    out = report_html.scan_index(report_html.read_pages(spark, root)).drop("row_no")
+    return out.withColumn("path", F.regexp_replace(t.basename(F.col("path")), r"\.html$", ""))
+
+
+@query("SELECT path, content, strlen(content) AS length FROM v_files")
+def tree_reread(spark, d):
+    """Source files written to folders and scanned again; build folders and other files stay out."""
+    root, files = scratch_dir(spark, "tree"), v.files(spark, d)
+    other = files.where("path LIKE '%7.c'")
+    sinks.write_files(files.unionByName(other.withColumn("path", F.concat(F.lit("build/"), "path"))).unionByName(other.withColumn("path", F.concat("path", F.lit(".txt")))), root)
+    return tree.scan_tree(spark, root).select("path", "content", "length")
+
+
 # a third of the detail pages at the linked place, a third elsewhere, a third under a longer name
 _LISTED = "concat(CASE cid % 3 WHEN 0 THEN 'Code/p' WHEN 1 THEN 'other/p' ELSE 'x/zp' END, CAST(cid AS STRING), '.html') AS rel_path"
 
@@ -104,6 +124,19 @@ SHEET = [
 ]
 
 
+COMMENT = "concat('said ', chr(34), 'ok, ', comment, chr(34), chr(10), CASE WHEN cid % 3 = 0 THEN concat(chr(10), '; ') ELSE 'line, ' END, CAST(cid AS STRING)) AS Comment"
+
+
+@query("""SELECT CASE WHEN cid % 23 = 0 THEN 'x' || cid ELSE cid::VARCHAR END AS issue, file, CASE WHEN cid % 17 = 0 THEN 'Various' WHEN cid % 19 = 0 THEN 'n/a' ELSE line::VARCHAR END AS line,
+ 'said "ok, ' || comment || '"' || chr(10) || CASE WHEN cid % 3 = 0 THEN chr(10) || '; ' ELSE 'line, ' END || cid AS comment FROM v_findings""")
+def sheet_reread(spark, d):
+    """A sheet with cells of several lines, written and read again in splits."""
+    path = scratch_dir(spark, "sheet")
+    sinks.write_table(v.findings(spark, d).selectExpr(*SHEET, COMMENT), path, "csv", by=None)
+    rows = tabular.read_table(spark, path)
+    return rows.select(F.col("Issue_ID").alias("issue"), F.col("`Source File`").alias("file"), t.strip(F.col("`Line-Number`")).alias("line"), F.col("Comment").alias("comment"))
+
+
 @query(
     """
 SELECT cid, checker, severity, file, CASE WHEN cid % 17 = 0 OR cid % 19 = 0 THEN 0 ELSE line END AS line, (cid % 17 = 0)::INT::BIGINT AS line_is_various,

@@ -20,10 +20,7 @@ IDENT = r"^[A-Za-z_][A-Za-z0-9_]*$"
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """HTML files below a folder: path, html. One row per file; files are the unit of work."""
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.html")
-        .text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
     )
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,3 +109,24 @@ def write_audit(results: DataFrame, path: str, run: str) -> None:
         .partitionBy("run")
         .json(path)
     )
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write each row (path, content) as a file below ``root``; gives their number.
+
+    A file is written under a passing name and renamed, so a repeated task leaves the same file.
+    """
+    where = root if "://" in root else f"file://{root}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, name = fs.FileSystem.from_uri(f"{where}/{path}")
+                store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                passing = f"{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(passing) as out:
+                    out.write((content or "").encode())
+                store.move(passing, name)
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from assayer.functions import text as t
 from assayer.operators import normalize as n
+from assayer.session import staged
 
 # Accepted headings per column, best first
 HEADINGS = {
@@ -38,12 +40,47 @@ def match_heading(headings: list[str], candidates: list[str]) -> str | None:
     return None
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with quoted multi-line cells; a byte-order mark is dropped."""
-    df = (
-        spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of quoted text tables, read in splits: file, block, at (order inside the file), is_first, record.
+
+    A file is cut into blocks of lines as any text is, and a line break ends a record where the quotes before it
+    are even. Quotes are summed up per block, a running sum over the blocks (one row each) tells whether a
+    block begins inside a cell, and inside blocks the lines are judged apart; a record whose lines lie
+    in several blocks is put together by its first line. Quotes must be doubled inside quoted cells and
+    stand nowhere else (RFC 4180).
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    meta = F.col("_metadata")
+    lines = staged(lines.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value"), t.count_of(F.col("value"), '"').alias("q")), "table-lines")
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.sum("q").alias("n"), F.min("at").alias("first"))
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"), F.count(F.lit(1)).over(earlier).alias("nth"), "first")
+    before = F.coalesce(F.sum("q").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    judged = lines.withColumn("before", before).join(blocks, ["file", "block"])
+    judged = judged.withColumn("start", F.when((F.col("before") + F.col("ahead")) % 2 == 0, F.col("at")))
+    judged = staged(judged.withColumn("own", F.last("start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))), "table-lines")
+    last = judged.groupBy("file", "block").agg(F.max("start").alias("last"))
+    last = last.select("file", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    keyed = judged.join(last, ["file", "block"]).withColumn("record_at", F.coalesce("own", "carried"))
+    joined = keyed.groupBy("file", "record_at").agg(
+        F.min(F.struct("block", "at")).alias("place"), F.max(F.coalesce((F.col("nth") == 0) & (F.col("start") == F.col("first")), F.lit(False))).alias("is_first"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), "\n").alias("record"),
     )
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return joined.select("file", "place.block", "place.at", "is_first", F.regexp_replace("record", "\r$", "").alias("record"))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with quoted multi-line cells, in as many tasks as its size asks for; a byte-order mark is dropped.
+
+    Every file begins with its headings; those of the first one hold. Empty lines are no rows.
+    """
+    quoted = {"quote": '"', "escape": '"', "multiLine": "true"}
+    names = spark.read.option("header", True).options(**quoted).csv(path).columns
+    schema = StructType([StructField(f"c{k}", StringType()) for k in range(len(names))])
+    rows = records(spark, path).where(~F.col("is_first") & (t.strip(F.col("record")) != ""))
+    cells = rows.select(F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), quoted).alias("r"))
+    return cells.select(*[F.col(f"r.c{k}").alias(n.lstrip("\ufeff")) for k, n in enumerate(names)])
 
 
 def map_headings(raw: DataFrame) -> DataFrame:

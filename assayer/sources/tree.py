@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer import dimensions as dim
 
 
+def _plain(root: str) -> str:
+    """The folder without its scheme, as it stands inside the names of its files."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root).rstrip("/") + "/"
+
+
 def list_tree(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
     """Files below ``root``: path (relative), length. The content is never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if extensions:
         files = files.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
-    base = root.rstrip("/") + "/"
+    base = _plain(root)
     rel = F.substring_index(F.col("path"), base, -1)
     return files.load(root).select(rel.alias("path"), "length")
 
@@ -27,7 +34,7 @@ def scan_tree(spark: SparkSession, root: str, for_calls: bool = True, max_bytes:
     """
     exts = dim.CALL_INDEX_EXTENSIONS if for_calls else dim.SYMBOL_INDEX_EXTENSIONS
     pruned = dim.PRUNED_FOR_CALLS if for_calls else dim.PRUNED_FOLDERS
-    base = root.rstrip("/") + "/"
+    base = _plain(root)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
