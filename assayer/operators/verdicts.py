@@ -11,6 +11,7 @@ from assayer.functions.frames import spread_join
 from assayer.operators import decision, rules, snippets as sn, trace as tr
 from assayer.operators.normalize import capped_confidence
 from assayer.operators.source_tree import corroborate, first_function, lines_of
+from assayer.operators.symbols import bounds_by_name
 from assayer.session import staged
 
 INTENTIONAL_SETS = ("DEADCODE", "ARRAY_VS_SINGLETON", "UNUSED_VALUE", "CONSTANT_EXPRESSION_RESULT", "NO_BREAK")
@@ -149,6 +150,7 @@ def overrun_access(df: DataFrame) -> DataFrame:
             "access_i": F.coalesce(F.col("acc.i"), F.lit(-1)),
             "access_kind": t.first_text(F.col("acc.kind"), F.when(loose_arr != "", "read"), F.lit("access")),
             "decl_size": F.coalesce(F.col("decl.size"), F.lit(0)).cast("bigint"),
+            "declared": F.col("decl").isNotNull(),
         }
     )
     df = df.withColumn("bound", F.when(F.col("decl_size") > 0, F.col("decl_size")).otherwise(F.coalesce("array_size", F.lit(0))).cast("bigint"))
@@ -156,9 +158,15 @@ def overrun_access(df: DataFrame) -> DataFrame:
     return df.drop("acc", "decl")
 
 
-def overrun_facts(df: DataFrame) -> DataFrame:
-    """Index flow and guard verdicts of overrun findings."""
-    df = sn.index_flow(overrun_access(df), "o_lines", "index_var", "access_i", "idx")
+def overrun_facts(df: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """Index flow and guard verdicts of overrun findings.
+
+    ``symbols(name, kind, value)``: sizes of the source tree that have a name (G22), see :mod:`assayer.operators.symbols`.
+    """
+    df = overrun_access(df)
+    if symbols is not None:
+        df = bounds_by_name(staged(df, "accesses"), symbols)
+    df = sn.index_flow(df, "o_lines", "index_var", "access_i", "idx")
     # a traced index of 0 counts as absent
     df = df.withColumn("traced_index", F.nullif(F.col("index_value"), F.lit(0)))
     provable = (F.col("idx_guard_op") != "") & (F.col("idx_guard_limit") != "") & (F.col("bound") > 0)
@@ -173,7 +181,7 @@ def overrun_facts(df: DataFrame) -> DataFrame:
             "named_access": ~F.col("array").isin("", "the buffer", "the array", "array")
             & ~F.col("index_var").isin("", "the offset", "the index", "index"),
         }
-    ).drop("o_lines")
+    ).drop("o_lines", "declared")
 
 
 # Calls that bring in a value from outside
@@ -453,7 +461,7 @@ def with_caller_count(df: DataFrame, call_sites: DataFrame | None) -> DataFrame:
     return out.withColumn("n_callers", count).drop("__name", "__callee")
 
 
-def judge(df: DataFrame, book: rules.RuleBook = rules.DEFAULT_BOOK, call_sites: DataFrame | None = None) -> DataFrame:
+def judge(df: DataFrame, book: rules.RuleBook = rules.DEFAULT_BOOK, call_sites: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
     """Gathered findings to verdicts: classification, confidence, reasons, evidence."""
     for name, default in (("used_fallback", False), ("line_is_various", False), ("corroborated_by", "")):
         if name not in df.columns:
@@ -464,8 +472,10 @@ def judge(df: DataFrame, book: rules.RuleBook = rules.DEFAULT_BOOK, call_sites:
     answers = None
     if call_sites is not None:
         asking = overrun_access(sn.prepare(df.where(F.col("rule_set") == "OVERRUN")))
+        if symbols is not None:
+            asking = bounds_by_name(staged(asking, "asking"), symbols)
         answers = caller_answers(caller_question(asking), call_sites)
-    df = staged(overrun_facts(staged(code_facts(df), "code-facts")), "overrun-facts")
+    df = staged(overrun_facts(staged(code_facts(df), "code-facts"), symbols), "overrun-facts")
     if answers is not None:
         df = caller_evidence(df, answers)
     else:
@@ -522,15 +532,16 @@ def _finish(df: DataFrame, book: rules.RuleBook) -> DataFrame:
 
 def analyze(
     findings: DataFrame, trace: DataFrame, code: DataFrame | None = None, book: rules.RuleBook = rules.DEFAULT_BOOK, call_sites: DataFrame | None = None,
-    bodies: DataFrame | None = None, hits: DataFrame | None = None,
+    bodies: DataFrame | None = None, hits: DataFrame | None = None, symbols: DataFrame | None = None,
 ) -> DataFrame:
     """The analysis of a report: findings, trace and code to verdicts.
 
-    Call sites, function bodies and another scanner's hits are joined in by :func:`with_context`.
+    Call sites, function bodies and another scanner's hits are joined in by :func:`with_context`; ``symbols`` give
+    array sizes that stand in other files.
     The gathered findings are staged: the verdict itself is then one scan and one
     projection, planned once.
     """
     gathered = gather(findings, trace, code)
     if call_sites is not None or bodies is not None:
         gathered = staged(gathered, "gathered-alone")
-    return judge(staged(with_context(gathered, call_sites, bodies, hits), "gathered"), book, call_sites)
+    return judge(staged(with_context(gathered, call_sites, bodies, hits), "gathered"), book, call_sites, symbols)

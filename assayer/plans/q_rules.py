@@ -12,6 +12,7 @@ from assayer import dimensions as dim
 from assayer.functions import text as t
 from assayer.operators import categories as cat
 from assayer.operators import decision, rules, snippets as sn, source_tree as st
+from assayer.operators import symbols as sy
 from assayer.operators import verdicts as vd
 from assayer.plans import fact_checks as fc
 from assayer.plans import verdict_checks as vc
@@ -141,6 +142,27 @@ def overrun_bounds(spark, d):
     )
 
 
+def _headers(spark, d):
+    """A header with sizes that have names, one behind the other; the numbers come from the parts."""
+    top = v.table(spark, d, "part").agg(F.max("p_size").cast("string").alias("m"))
+    text = F.concat(F.lit("// sizes\n#define BASE "), "m", F.lit("\n#define TWICE (BASE * 2)\n#define MAX (TWICE - 36) // bytes\n#define LOOP LOOP\nstruct box {\n  char name[TWICE];\n};"))
+    return top.select(F.lit("inc/x.h").alias("path"), text.alias("content"))
+
+
+@query("SELECT name, kind, value::BIGINT AS value FROM v_symbols", vc.SYMBOLS)
+def symbol_values(spark, d):
+    """Defines and members of the tree, folded."""
+    return sy.symbol_values(sy.symbols(v.files(spark, d).unionByName(_headers(spark, d))))
+
+
+@query("SELECT cid, buffer AS array, bound, bound_expr, index_guard, is_off_by_one::INT::BIGINT AS is_off_by_one, guard_is_safe::INT::BIGINT AS guard_is_safe FROM k_bound WHERE rule_set = 'OVERRUN'", vc.NAMED_BOUNDS)
+def overrun_bounds_by_name(spark, d):
+    """G22 in G23, G24: bounds whose size is a name of another file."""
+    values = sy.symbol_values(sy.symbols(v.files(spark, d).unionByName(_headers(spark, d))))
+    df = vd.overrun_facts(staged(_known(spark, d).where("rule_set = 'OVERRUN'"), "known"), values)
+    return df.select("cid", "array", "bound", "bound_expr", "index_guard", flag(F.col("is_off_by_one")).alias("is_off_by_one"), flag(F.col("guard_is_safe")).alias("guard_is_safe"))
+
+
 @query("SELECT cid, classification, confidence FROM k_corrected", vc.ALONE)
 def overrun_overrides(spark, d):
     """R6."""

@@ -45,6 +45,16 @@ SELECT *, op <> '' AND lim <> '' AND bound > 0 AND CASE WHEN n IS NOT NULL AND o
  buffer NOT IN ('', 'the buffer', 'the array', 'array') AND index_var NOT IN {_NO_INDEX} AS named_access, coalesce(bound > 0 AND traced_index >= bound, false) AS oob FROM k_read""",
 }
 
+# names of a header file: a base size from the parts, twice that, and what the snippets ask for
+SYMBOLS = {
+    "v_symbols": """
+WITH RECURSIVE d AS (SELECT max(p_size) AS m FROM part), chain AS (SELECT 'BASE' AS name, m AS value FROM d UNION ALL SELECT CASE name WHEN 'BASE' THEN 'TWICE' ELSE 'MAX' END, CASE name WHEN 'BASE' THEN value * 2 ELSE value - 36 END FROM chain WHERE name <> 'MAX')
+SELECT name, 'define' AS kind, value FROM chain UNION ALL SELECT 'name', 'member', value FROM chain WHERE name = 'TWICE'"""
+}
+NAMED = {
+    "k_access": OVERRUN["k_access"].replace("CASE WHEN coalesce(size, 0) > 0 THEN size ELSE coalesce(array_size, 0) END::BIGINT AS bound", "CASE WHEN coalesce(size, 0) > 0 THEN size ELSE coalesce((SELECT s.value FROM v_symbols s WHERE s.name = size_expr AND s.kind = 'define' AND s.value > 0), array_size, 0) END::BIGINT AS bound"),
+}
+
 # no caller says anything; queries with a call graph put its answers here
 NO_CALLERS = {"k_told": "SELECT cid, '' AS caller_verdict FROM v_code"}
 
@@ -145,6 +155,8 @@ SELECT k.cid, k.checker, CASE WHEN empty THEN 'Needs review' WHEN k.rule_set = '
 
 ALONE = fc.RULED | OVERRUN | NO_CALLERS | CORRECTED | FINAL
 
+NAMED_BOUNDS = ALONE | SYMBOLS | NAMED
+
 # what the call graph, the bodies of callees and another scanner say
 AROUND = {
     **q_code.TREE,
