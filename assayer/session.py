@@ -21,6 +21,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "assay
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # long column expressions: no call site per function call
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
