@@ -86,6 +86,18 @@ def test_positions_in_a_hot_group_with_sparse_ordinals(spark):
         assert sorted(got[k]) == list(enumerate(sorted(os)))
 
 
+def test_positions_stand_when_quantiles_differ_at_each_reading(spark, monkeypatch):
+    # sketches merged in another order give other quantiles
+    drawn = F.udf(lambda xs: sorted(random.SystemRandom().sample(xs, 7)), "array<bigint>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda c, shares, accuracy: drawn(F.collect_list(c)))
+    df = spark.range(3000).select(F.lit("a").alias("k"), F.col("id").alias("o"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # or one task may serve both readers by chance
+    try:
+        assert positions(df, ["k"], "o", large=100, pieces=8).where("position <> o").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 FINDING = "cid long, checker string, function string, line long, code string, code_start_line long"
 TRACE = "cid long, ordinal long, step long, tag string, line long, main boolean, description string, file string"
 SITE = "callee string, path string, line_no long, snippet string, caller string, caller_start long, body string"
