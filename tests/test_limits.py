@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer import dimensions as dim
-from assayer.functions.frames import positions
+from assayer.functions.frames import fixed_table, positions
 from assayer.operators import reconcile as rc
 from assayer.operators import snippets as sn
 from assayer.operators import source_tree as st
@@ -98,6 +98,16 @@ def test_positions_stand_when_quantiles_differ_at_each_reading(spark, monkeypatc
         spark.conf.unset("spark.sql.exchange.reuse")
 
 
+def test_line_windows_copy_and_broadcast_no_lines(spark):
+    files = fixed_table(spark, ["path", "content"], [("a.c", "\n".join(f"l{k}" for k in range(1, 41))), ("b.c", "x")])
+    points = fixed_table(spark, ["path", "line"], [("a.c", 1), ("a.c", 40), ("a.c", 90), ("b.c", 18), ("c.c", 1)])
+    out = st.line_window(points, st.source_lines(files), reach=2)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["path"], r["line"]): r["snippet"] for r in out.collect()}
+    first = "    1 >>> l1\n    2     l2\n    3     l3"
+    assert got == {("a.c", 1): first, ("a.c", 40): "   39     l39\n   40 >>> l40"}
+
+
 FINDING = "cid long, checker string, function string, line long, code string, code_start_line long"
 TRACE = "cid long, ordinal long, step long, tag string, line long, main boolean, description string, file string"
 SITE = "callee string, path string, line_no long, snippet string, caller string, caller_start long, body string"
