@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.functions.frames import heavy_keys, spread_join
+from assayer.functions.frames import fixed_table, heavy_keys, heavy_pieces, spread_join
 from assayer.operators import verdicts as vd
 from assayer.sources import decision_log
 from assayer.streaming import live
@@ -118,3 +118,12 @@ def test_a_callee_of_many_sites_and_many_bounds(spark):
     got = {r["bound"]: r["caller_verdict"] for r in vd.caller_answers(asked, sites).collect()}
     # values run from 100 to 599: all outside up to 100, mixed up to 599, all inside from 600 on; no bound, no answer
     assert got == {b: "" if b == 0 or 100 < b < 600 else "oob" if b <= 100 else "bounded" for b in range(1000)}
+
+
+def test_copies_for_heavy_keys_grow_with_their_shares_and_are_not_broadcast(spark):
+    big = spark.range(2560).selectExpr("CASE WHEN id < 1280 THEN 'half' WHEN id < 1300 THEN 'two' ELSE concat('k', id) END AS k", "id")
+    assert heavy_pieces(big, "k") == {128: ["half"], 2: ["two"]}
+    small = fixed_table(spark, ["k", "v"], [("half", 1), ("two", 2), ("k1300", 3)])
+    out = spread_join(big, small, "k", ["id"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in out.groupBy("v").count().collect()} == {(1, 1280), (2, 20), (3, 1)}
