@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assayer import dimensions as dim
 from assayer.functions import text as t
+from assayer.functions.frames import dealt
 from assayer.operators import categories as cat
 from assayer.operators import decision, rules, snippets as sn, source_tree as st
 from assayer.operators import symbols as sy
@@ -197,13 +198,13 @@ def caller_evidence(spark, d):
 
 
 def _with_access(code):
-    s = sn.prepare(code)
+    s = sn.prepare(dealt(code, "cid"))
     return s.withColumn("index_var", F.lit("n")).withColumn("array", F.lit("buf")).withColumn("bound", (F.col("cid") % 40 + 1).cast("bigint"))
 
 
 def _passing_sites(spark, d):
     """All calls on all lines of all snippets; the line that defines a function is no call of it."""
-    lines = v.code(spark, d).select("cid", "function", "code_start_line", "code", F.posexplode(F.split("code", "\n")).alias("i", "text"))
+    lines = dealt(v.code(spark, d), "cid").select("cid", "function", "code_start_line", "code", F.posexplode(F.split("code", "\n")).alias("i", "text"))
     sites = lines.select(
         F.explode(F.array_distinct(st.callees_in(F.col("text")))).alias("callee"), F.col("cid").cast("string").alias("path"), (F.col("code_start_line") + F.col("i")).alias("line_no"),
         t.strip(F.col("text")).alias("snippet"), F.col("function").alias("caller"), F.col("code_start_line").alias("caller_start"), F.col("code").alias("body"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import trace as tr
 from assayer.functions import text as t
+from assayer.functions.frames import dealt
 from assayer.plans import views as v
 from assayer.plans.q_trace import RANKED
 from assayer.plans.registry import flag, query
@@ -24,7 +25,7 @@ _HEAD = "<html><body><h1>Report</h1><table border=1><tr><th>CID</th><th>Checker<
 def _reports(spark, d):
     rows = v.findings(spark, d).selectExpr("cid", f"{PAGE_NO} AS page_no", f"{_ROW} AS tr")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cid", "tr"))), lambda x: x["tr"]), "\n")
-    return rows.groupBy("page_no").agg(body.alias("body")).select(
+    return dealt(rows, "page_no").groupBy("page_no").agg(body.alias("body")).select(
         F.concat(F.lit("r"), F.col("page_no").cast("string")).alias("path"), F.concat(F.lit(_HEAD), "body", F.lit("</table><table><tr><td>1</td><td>X_Y_Z</td><td>a/b.c</td></tr></table></body></html>")).alias("html")
     )
 
@@ -177,7 +178,7 @@ def _issue_struct():
 def _object_pages(spark, d):
     """Search pages whose rows are objects."""
     rows = v.findings(spark, d).select("cid", F.expr(f"{PAGE_NO} AS page_no"), _issue_struct().alias("issue"))
-    return rows.groupBy("page_no").agg(F.to_json(F.struct(F.collect_list("issue").alias("rows"))).alias("value"))
+    return dealt(rows, "page_no").groupBy("page_no").agg(F.to_json(F.struct(F.collect_list("issue").alias("rows"))).alias("value"))
 
 
 def _positional_pages(spark, d):
@@ -185,7 +186,7 @@ def _positional_pages(spark, d):
     row = F.array(F.col("cid").cast("string"), "checker", "severity", "file", F.col("line").cast("string"))
     names = F.from_json(F.lit('[{"name":"cid"},{"name":"checkerName"},{"name":"","id":"displayImpact"},{"name":"mainEventFilePath"},{"name":"mainEventLineNumber"},{"name":"unused"}]'), "ARRAY<STRUCT<name: STRING, id: STRING>>")
     rows = v.findings(spark, d).select(F.expr(f"{PAGE_NO} AS page_no"), row.alias("row"))
-    return rows.groupBy("page_no").agg(F.to_json(F.struct(names.alias("columns"), F.collect_list("row").alias("rows"))).alias("value"))
+    return dealt(rows, "page_no").groupBy("page_no").agg(F.to_json(F.struct(names.alias("columns"), F.collect_list("row").alias("rows"))).alias("value"))
 
 
 @query("SELECT CAST(floor(cid / 50) AS BIGINT) AS page_no, cid, checker, severity, file, line, line AS rest_main_line, CASE WHEN line <> 0 THEN 'rest_main' ELSE 'rest' END AS line_src FROM v_findings")

@@ -149,3 +149,11 @@ def test_streams_read_files_and_folders_in_several_batches(spark, tmp_path, as_f
     assert len([p for p in q.recentProgress if p["numInputRows"]]) == (3 if as_folder else 1)
     got = decision_log.current(spark, table, rows.schema).collect()
     assert {(r["cid"], r["ordinal"]) for r in got} == {(k, 8 + k) for k in range(4)}
+
+
+def test_work_on_small_tables_is_dealt_to_all_tasks(spark):
+    from assayer.plans import q_code, q_sources
+
+    d, tasks = "/root/testdata/sf0.001", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df in (q_code._snip(spark, d), q_sources._reports(spark, d), q_sources._object_pages(spark, d), q_sources._positional_pages(spark, d)):
+        assert df.rdd.getNumPartitions() == tasks
