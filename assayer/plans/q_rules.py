@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assayer import dimensions as dim
 from assayer.functions import text as t
-from assayer.functions.frames import dealt
+from assayer.functions.frames import dealt, unsized
 from assayer.operators import categories as cat
 from assayer.operators import decision, rules, snippets as sn, source_tree as st
 from assayer.operators import symbols as sy
@@ -249,7 +249,7 @@ def tree_verdicts(spark, d):
     code = st.attach_code(placed, funcs, files)
     located = st.callers(placed.select(F.col("function").alias("callee")), st.call_sites(facts).where("NOT (is_start AND callee = fn_name)"))
     bodies = staged(st.function_bodies(funcs, files), "bodies")
-    sites = located.join(bodies.select("path", F.col("start_line").alias("caller_start"), "body"), ["path", "caller_start"], "left").withColumn("body", t.txt(F.col("body")))
+    sites = located.join(unsized(bodies.select("path", F.col("start_line").alias("caller_start"), "body")), ["path", "caller_start"], "left").withColumn("body", t.txt(F.col("body")))
     found = code.select("cid", "path", "checker", "function", "line", "code", "code_start_line")
     out = vd.analyze(found, v.trace(spark, d), call_sites=staged(sites, "call-sites"), bodies=bodies, hits=_hits(files))
     return out.select("cid", "checker", "classification", "confidence")

@@ -108,6 +108,21 @@ def test_line_windows_copy_and_broadcast_no_lines(spark):
     assert got == {("a.c", 1): first, ("a.c", 40): "   39     l39\n   40 >>> l40"}
 
 
+def test_texts_hits_and_traces_are_not_broadcast(spark):
+    files = fixed_table(spark, ["path", "content"], [("a.c", "void f(int n) {\n  strcpy(d, s);\n}"), ("b.c", "")])
+    found = fixed_table(spark, ["cid", "path", "function", "line", "code", "code_start_line", "checker"], [(1, "a.c", "f", 2, "void f(int n) {\n  strcpy(d, s);\n}", 1, "OVERRUN"), (2, "c.c", "g", 9, "x", 1, "UNINIT")])
+    hits = fixed_table(spark, ["path", "line", "ordinal", "rule_id"], [("a.c", 4, 1, "unsafe-copy")])
+    bodies = st.function_bodies(st.functions(st.line_facts(files)), files)
+    rated = vd.callee_taint(sn.callees(found), vd.reading_functions(bodies))
+    near = st.corroborate(found, hits)
+    code = st.attach_code(found.select("cid", "path", "line"), st.functions(st.line_facts(files)), files)
+    context = vd.with_context(found.withColumns({c: F.lit(False) for c in ("guard_on_path", "guard_takes_true", "defect_confirmed", "taint_confirmed")}), bodies=bodies)
+    for df in (bodies, rated, near, code, context):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r["cid"]: r["rule_id"] for r in near.collect()} == {1: "unsafe-copy", 2: ""}
+    assert {r["cid"]: r["code_source"] for r in code.collect()} == {1: "function", 2: "none"}
+
+
 FINDING = "cid long, checker string, function string, line long, code string, code_start_line long"
 TRACE = "cid long, ordinal long, step long, tag string, line long, main boolean, description string, file string"
 SITE = "callee string, path string, line_no long, snippet string, caller string, caller_start long, body string"
