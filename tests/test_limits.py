@@ -123,6 +123,15 @@ def test_texts_hits_and_traces_are_not_broadcast(spark):
     assert {r["cid"]: r["code_source"] for r in code.collect()} == {1: "function", 2: "none"}
 
 
+def test_events_of_other_findings_leave_before_facts_are_read(spark, make_trace):
+    found = spark.createDataFrame([(1, "OVERRUN"), (3, "UNINIT")], "cid long, checker string").withColumns({"code": F.lit("x"), "code_start_line": F.lit(1)})
+    events = make_trace(("tainted_data", 4)).unionByName(make_trace(("step", 5), ("step", 6), cid=2))
+    out = vd.gather(found, events)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Aggregate") < plan.find("LeftSemi")
+    assert {r["cid"]: r["n_events"] for r in out.collect()} == {1: 1, 3: 0}
+
+
 FINDING = "cid long, checker string, function string, line long, code string, code_start_line long"
 TRACE = "cid long, ordinal long, step long, tag string, line long, main boolean, description string, file string"
 SITE = "callee string, path string, line_no long, snippet string, caller string, caller_start long, body string"
