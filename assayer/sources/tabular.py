@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from assayer.functions import text as t
+from assayer.functions.frames import dealt
 from assayer.operators import normalize as n
 from assayer.session import staged
 
@@ -40,24 +41,27 @@ def match_heading(headings: list[str], candidates: list[str]) -> str | None:
     return None
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def records(spark: SparkSession, path: str, block_bits: int = 15) -> DataFrame:
     """Records of quoted text tables, read in splits: file, block, at (order inside the file), is_first, record.
 
     A file is cut into blocks of lines as any text is, and a line break ends a record where the quotes before it
     are even. Quotes are summed up per block, a running sum over the blocks (one row each) tells whether a
     block begins inside a cell, and inside blocks the lines are judged apart; a record whose lines lie
-    in several blocks is put together by its first line. Quotes must be doubled inside quoted cells and
+    in several blocks is put together by its first line. A block has at most 2 ** ``block_bits`` lines, so that no task
+    holds a whole split. Quotes must be doubled inside quoted cells and
     stand nowhere else (RFC 4180).
     """
     lines = spark.read.option("lineSep", "\n").text(path)
     meta = F.col("_metadata")
-    lines = staged(lines.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value"), t.count_of(F.col("value"), '"').alias("q")), "table-lines")
+    lines = lines.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value"), t.count_of(F.col("value"), '"').alias("q"))
+    # blocks in the order of the file: by split, then by the lines in it
+    lines = staged(lines.withColumn("block", F.struct("split", F.shiftright("at", block_bits).alias("part"))).drop("split"), "table-lines")
     inside = Window.partitionBy("file", "block").orderBy("at")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = lines.groupBy("file", "block").agg(F.sum("q").alias("n"), F.min("at").alias("first"))
     blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"), F.count(F.lit(1)).over(earlier).alias("nth"), "first")
     before = F.coalesce(F.sum("q").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    judged = lines.withColumn("before", before).join(blocks, ["file", "block"])
+    judged = dealt(lines, "file", "block").withColumn("before", before).join(blocks, ["file", "block"])
     judged = judged.withColumn("start", F.when((F.col("before") + F.col("ahead")) % 2 == 0, F.col("at")))
     judged = staged(judged.withColumn("own", F.last("start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))), "table-lines")
     last = judged.groupBy("file", "block").agg(F.max("start").alias("last"))

@@ -159,3 +159,13 @@ def test_sheet_line_comes_from_a_trace_without_a_flagged_event(spark, make_trace
     monkeypatch.setattr(q_sources.v, "trace", lambda spark, d: plain.union(unlined).union(flagged))
     got = {(r.cid, r.line, r.line_is_various) for r in q_sources.sheet_lines_from_whole_trace(spark, "").collect()}
     assert got == {(17, 30, 0), (34, 0, 1), (1, 8, 0), (2, 7, 0)}
+
+
+def test_records_go_on_over_the_ends_of_blocks(spark, tmp_path):
+    cells = [f"{k}" + "\n" * (k % 4) + ('"q"\n\n' if k % 5 == 0 else "") for k in range(60)]
+    quoted = ['"' + c.replace('"', '""') + '"' for c in cells]
+    (tmp_path / "a.csv").write_text("Comment\n" + "\n".join(quoted) + "\n")
+    for bits in (0, 1, 3, 15):
+        got = tabular.records(spark, str(tmp_path), block_bits=bits)
+        assert got.groupBy("block").count().count() > (1 if bits < 15 else 0)
+        assert [r["record"] for r in got.orderBy("block", "at").collect()] == ["Comment", *quoted]
