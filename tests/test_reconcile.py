@@ -1,5 +1,8 @@
 """Selection, push rows, validation, batches, outcomes, review and upsert."""
 
+import functools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +171,28 @@ def test_run_partition_and_versions(spark, tmp_path):
     assert sorted((r["run"], r["comment"]) for r in spark.read.parquet(log).collect()) == [("r1", "a"), ("r2", "c")]
     sinks.write_table(cat.with_category(row("q").withColumn("checker", F.lit("OVERRUN"))), str(tmp_path / "csv"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first()["category"] == "Buffer overflow"
+
+
+@pytest.fixture
+def numbered_twice(spark, monkeypatch):
+    """Rows of one large group, numbered by quantiles that differ at each reading."""
+    drawn = F.udf(lambda xs: sorted(random.SystemRandom().sample(xs, 7)), "array<bigint>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda c, shares, accuracy: drawn(F.collect_list(c)))
+    monkeypatch.setattr(rc, "positions", functools.partial(positions, large=100, pieces=8))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    queue = spark.range(3000).select("id", F.col("id").alias("cid"), F.lit("Bug").alias("classification"), F.lit("c").alias("comment"), F.col("id").alias("ordinal")).drop("id")
+    yield rc.batch_rows(queue)
+    spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def _pushed(numbered):
+    """Of each batch the lowest row fails by name, as the numbers themselves tell."""
+    outcomes = numbered.groupBy("classification", "comment", "batch_no").agg(
+        (F.count(F.lit(1)) - 1).alias("ok_count"), F.array(F.min("target_cid")).alias("failed"), F.lit("Fault").alias("error")
+    )
+    return rc.fold_outcomes(numbered, outcomes, "store")
+
+
+def test_outcomes_of_a_large_group_fold_to_their_rows(numbered_twice):
+    got = {(r["cid"], r["batch_no"], r["status"]) for r in _pushed(numbered_twice).collect()}
+    assert got == {(k, k // 100, "failed" if k % 100 == 0 else "ok") for k in range(3000)}
