@@ -196,3 +196,9 @@ def _pushed(numbered):
 def test_outcomes_of_a_large_group_fold_to_their_rows(numbered_twice):
     got = {(r["cid"], r["batch_no"], r["status"]) for r in _pushed(numbered_twice).collect()}
     assert got == {(k, k // 100, "failed" if k % 100 == 0 else "ok") for k in range(3000)}
+
+
+def test_status_of_a_large_group_comes_back_to_every_finding(spark, numbered_twice):
+    out = rc.apply_status(spark.range(3001).withColumnRenamed("id", "cid"), _pushed(numbered_twice))
+    want = {(k, "failed" if k % 100 == 0 else "ok", k) for k in range(3000)} | {(3000, "", 0)}
+    assert {(r["cid"], r["push_status"], r["pushed_cid"]) for r in out.collect()} == want
