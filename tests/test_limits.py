@@ -132,6 +132,29 @@ def test_events_of_other_findings_leave_before_facts_are_read(spark, make_trace)
     assert {r["cid"]: r["n_events"] for r in out.collect()} == {1: 1, 3: 0}
 
 
+def test_lines_are_dealt_to_all_tasks(spark):
+    # few packed bytes, many lines: merged by their bytes, a task would sort the lines of all files
+    files = spark.range(200).select(F.concat(F.lit("f"), "id", F.lit(".c")).alias("path"), F.lit("int f(void) {\n  return 0;\n}").alias("content"))
+    facts = st.line_facts(files)
+    tasks = facts.groupBy(F.spark_partition_id().alias("task")).agg(F.max("fn_end")).collect()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert facts.count() == 600 and st.functions(facts).where("end_line = 3").count() == 200
+
+
+def test_no_body_is_sorted_by_name(spark):
+    from assayer.plans import catalog
+
+    rows = [("f", "b.c", 1, "gets(x);"), ("f", "a.c", 9, "fgets(x);"), ("f", "a.c", 2, "return;"), ("g", "a.c", 5, "recv(s); getenv(n);"), ("h", "c.c", 1, "")]
+    bodies = spark.createDataFrame(rows, "name string, path string, start_line long, body string")
+    reading = vd.reading_functions(bodies)
+    assert {r["callee"]: r["reads"] in ("recv", "getenv") for r in reading.collect()} == {"g": True}  # f's first definition reads nothing
+    whole = catalog.QUERIES["callee_taint"](spark, "/root/testdata/sf0.001")
+    for df in (reading, whole):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        aggregates = [line for line in plan.splitlines() if "Aggregate" in line and "name#" in line]
+        assert aggregates and not any("body" in line for line in aggregates)
+
+
 FINDING = "cid long, checker string, function string, line long, code string, code_start_line long"
 TRACE = "cid long, ordinal long, step long, tag string, line long, main boolean, description string, file string"
 SITE = "callee string, path string, line_no long, snippet string, caller string, caller_start long, body string"
